@@ -234,3 +234,12 @@ SELECT proposal_id || 'x', action, actor, decided_ts, notes FROM fx_decisions WH
 FIXTURES["fx_script_responses"] = """
 SELECT CAST(response_id AS BIGINT) AS response_id, CAST(response_id % (SELECT count(*) FROM part) AS BIGINT) AS script_id, raw FROM fx_responses
 """
+
+# Both kinds of scripts, and prose as scripts of one cell.
+FIXTURES["fx_all_scripts"] = """
+SELECT 's' || CAST(script_id AS STRING) AS script_id, path, source FROM fx_scripts
+UNION ALL
+SELECT 'l' || CAST(script_id AS STRING), path, source FROM fx_lineage_scripts
+UNION ALL
+SELECT 'd' || CAST(doc_id AS STRING), '/docs/' || CAST(doc_id AS STRING), text FROM documents
+"""

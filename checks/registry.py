@@ -45,10 +45,12 @@ def _text(name: str, engine: str) -> str:
     return re.sub(r"@SHA256\((.*?)\)@", hashed, sql.replace("@Q3@", '"""')).strip()
 
 
-def _needed(sql: str, seen: list[str], engine: str) -> list[str]:
+def _needed(sql: str, seen: list[str], engine: str, within: tuple[str, ...] = ()) -> list[str]:
+    """Names used, directly or not, in the order they must be defined; a
+    recursive text uses itself."""
     for name in dict.fromkeys(_NAME.findall(sql)):
-        if name not in seen and (name in FIXTURES or name in PARTS):
-            _needed(_text(name, engine), seen, engine)
+        if name not in seen and name not in within and (name in FIXTURES or name in PARTS):
+            _needed(_text(name, engine), seen, engine, (*within, name))
             seen.append(name)
     return seen
 
