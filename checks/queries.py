@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from checks import corpus_queries, run_queries  # noqa: F401
+from checks import corpus_queries, ledger_queries, run_queries, size_queries  # noqa: F401

@@ -83,13 +83,15 @@ def unsafe_closure(edges: DataFrame, seeds: DataFrame, keys: list[str] | None =
     the keys, name, derived_from (NULL for a seed; the smallest of the sources
     that made it unsafe first) and hops.
 
-    Eager: every round is written to the scratch folder, so the plan does not
-    grow and a lost executor costs one round. A round whose frontier is small
+    Eager: the edges and every round are written to the scratch folder, so the
+    edges are worked out once, the plan does not grow, and a lost executor
+    costs one round. A round whose frontier is small
     on disk is broadcast by Catalyst and leaves the edges unshuffled. Cycles
     end by themselves, because known names are never entered again.
     """
     keys = keys or []
     node = [*keys, "name"]
+    edges = materialize(edges.select(*keys, "dst", "src").distinct(), "edges")
     first = seeds.select(*node).distinct().select(
         *node, F.lit(None).cast("string").alias("derived_from"), F.lit(0).alias("hops")
     )

@@ -13,6 +13,7 @@ from pipewise.functions import cost, report
 from pipewise.functions.fixed_values import BROADCAST_LIMIT_MB, NO_SIZES_TEXT
 from pipewise.operators.corpus import read_inputs
 from pipewise.operators.lineage import lineage_edges, lookup_names, unsafe_closure
+from pipewise.sources.scratch import materialize
 
 COLUMNS = [
     "script_id", "name", "size_bytes", "size_mb", "broadcast_safe", "source_type", "derived_from",
@@ -149,8 +150,9 @@ def script_input_sizes(scripts: DataFrame, table_sizes: DataFrame, path_sizes: D
     Inputs of unknown size are left out; a derived record stands in for a
     direct one of the same name. Eager, see ``unsafe_closure``.
     """
-    sizes = direct_sizes(scripts, table_sizes, path_sizes, limit_mb)
-    derived = derived_sizes(lineage_edges(scripts), sizes)
+    # Both come from scanning all scripts and are used several times over.
+    sizes = materialize(direct_sizes(scripts, table_sizes, path_sizes, limit_mb), "sizes")
+    derived = derived_sizes(materialize(lineage_edges(scripts), "lineage"), sizes)
     kept = sizes.join(derived.select("script_id", "name"), ["script_id", "name"], "left_anti")
     return kept.select(*COLUMNS).unionByName(derived.select(*COLUMNS))
 

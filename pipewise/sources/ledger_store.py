@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 EVENTS = (
     "proposal_id STRING, event_ts TIMESTAMP_NTZ, seq INT, status STRING, actor STRING, "
-    "notes STRING, event_date DATE"
+    "notes STRING, event_month DATE"
 )
 PROPOSALS = (
     "proposal_id STRING, created_ts TIMESTAMP_NTZ, run_id BIGINT, task_key STRING, "
@@ -29,7 +29,7 @@ def create_ledger(spark: SparkSession, schema: str) -> None:
     """Create the ledger's tables where they do not exist."""
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
     for name, columns, partition in [
-        ("events", EVENTS, "PARTITIONED BY (event_date)"),
+        ("events", EVENTS, "PARTITIONED BY (event_month)"),
         ("proposals", PROPOSALS, "PARTITIONED BY (status)"),
         ("applied_changes", APPLIED, ""),
     ]:
@@ -39,14 +39,15 @@ def create_ledger(spark: SparkSession, schema: str) -> None:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Append to the event log, a folder per day.
+    """Append to the event log, a folder per month.
 
-    The rows of a day are brought together first, so that a batch writes a few
-    files per day and not one per task; adaptive execution splits a day that
-    holds most of the rows.
+    The rows of a month are brought together first, so that a batch writes a
+    few files per month and not one per task; adaptive execution splits a month
+    that holds most of the rows.
     """
-    dated = events.withColumn("event_date", F.to_date("event_ts"))
-    dated.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(
+    month = F.trunc("event_ts", "month")
+    dated = events.withColumn("event_month", month)
+    dated.hint("rebalance", "event_month").write.mode("append").partitionBy("event_month").parquet(
         path
     )
 
