@@ -18,11 +18,13 @@ from pipewise.functions.fixed_values import (
     TRUNCATION_CAP,
     WORD_OVERLAP,
 )
-from pipewise.functions.text import is_blank, normalize, thousands, trim_all
+from pipewise.functions.text import is_blank, let, normalize, thousands, trim_all
 
 # Unix line mode: a title ends at the line feed only.
 _TITLE = f"(?dU){CELL_TITLE}"
 
+CHANGES = "array<struct<cell_id:string,new_code:string>>"
+
 
 def split_cells(source: Column) -> Column:
     return F.split(source, rf"\Q{CELL_MARKER}\E")
@@ -39,14 +41,20 @@ def _title(cell: Column) -> Column:
 
 def cell_name(cell: Column) -> Column:
     """Title line, or else a preview of the first line of code."""
-    title = _title(cell)
     lines = F.transform(F.split(cell, LINE_END), trim_all)
     code = F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
     preview = F.substring(F.coalesce(F.get(code, F.lit(0)), F.lit("")), 1, PREVIEW_CHARS)
-    return (
-        F.when(title != "", F.concat(F.lit("# DBTITLE 1,"), trim_all(title)))
-        .when(preview != "", F.concat(F.lit("(unnamed — preview: "), preview, F.lit(")")))
-        .otherwise("(empty cell)")
+    unnamed = let(
+        preview,
+        lambda p: F.when(
+            p != "", F.concat(F.lit("(unnamed — preview: "), p, F.lit(")"))
+        ).otherwise("(empty cell)"),
+    )
+    return let(
+        _title(cell),
+        lambda title: F.when(
+            title != "", F.concat(F.lit("# DBTITLE 1,"), trim_all(title))
+        ).otherwise(unnamed),
     )
 
 
@@ -62,8 +70,10 @@ def cell_index(source: Column) -> Column:
 
 
 def _skeleton(cell: Column) -> Column:
-    title = _title(cell)
-    name = F.when(title != "", trim_all(title)).otherwise("(unnamed)")
+    name = let(
+        _title(cell),
+        lambda title: F.when(title != "", trim_all(title)).otherwise("(unnamed)"),
+    )
     return F.concat(
         F.lit("\n# DBTITLE 1,"), name, F.lit("\n# [cell omitted by smart truncation]\n")
     )
@@ -114,9 +124,7 @@ def truncate(source: Column, max_chars: int = TRUNCATION_CAP) -> Column:
             thousands(F.length(source)), F.lit(" chars]"),
         )
 
-    # A one-element array carries the count into render, so it is found once.
-    cut = F.get(F.transform(F.array(kept), render), F.lit(0))
-    return F.when(F.length(source) <= max_chars, source).otherwise(cut)
+    return F.when(F.length(source) <= max_chars, source).otherwise(let(kept, render))
 
 
 def match_cell(norm_cells: Column, cell_id: Column) -> Column:
@@ -126,61 +134,64 @@ def match_cell(norm_cells: Column, cell_id: Column) -> Column:
     id occurs in a normalized cell. Level 2: at least 60 % of the id's distinct
     words occur in a cell. Within a level the first cell wins.
     """
-    number = F.regexp_extract(trim_all(cell_id), r"(?i)^idx_(\d+)", 1).try_cast("bigint")
-    norm_id = normalize(cell_id)
-    words = F.array_distinct(F.split(norm_id, " "))
+
+    def found(level: int, pos: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), pos.cast("int").alias("pos"))
 
     def first(test) -> Column:
         return F.array_position(F.transform(norm_cells, test), True)
 
-    by_text = first(lambda cell: cell.contains(norm_id))
-    by_words = first(
-        lambda cell: F.size(F.filter(words, lambda w: cell.contains(w)))
-        >= F.lit(WORD_OVERLAP) * F.size(words)
-    )
+    def by_words(words: Column) -> Column:
+        needed = F.lit(WORD_OVERLAP) * F.size(words)
+        hit = first(
+            lambda cell: F.size(F.filter(words, lambda w: cell.contains(w))) >= needed
+        )
+        return let(hit, lambda at: F.when(at > 0, found(2, at - 1)))
 
-    def found(level: int, pos: Column) -> Column:
-        return F.struct(F.lit(level).alias("level"), pos.cast("int").alias("pos"))
+    def by_text(norm_id: Column) -> Column:
+        words = F.array_distinct(F.split(norm_id, " "))
+        return let(
+            first(lambda cell: cell.contains(norm_id)),
+            lambda at: F.when(at > 0, found(1, at - 1)).otherwise(let(words, by_words)),
+        )
 
-    return (
-        F.when(is_blank(cell_id), F.lit(None))
-        .when(number < F.size(norm_cells), found(0, number))
-        .when(by_text > 0, found(1, by_text - 1))
-        .when(by_words > 0, found(2, by_words - 1))
+    number = F.regexp_extract(trim_all(cell_id), r"(?i)^idx_(\d+)", 1).try_cast("bigint")
+    return let(
+        number,
+        lambda n: F.when(n < F.size(norm_cells), found(0, n)).otherwise(
+            let(normalize(cell_id), by_text)
+        ),
     )
 
 
-def matched_changes(cells: Column, changes: Column) -> Column:
+def matched_changes(norm_cells: Column, changes: Column) -> Column:
     """Changes with the level and cell each one meets, in their order.
 
     ``changes`` is ``array<struct<cell_id, new_code>>``. Changes with a blank
     id or blank code are left out. Matching is always against the cells as
-    they were.
+    they were, normalized.
     """
-    norm_cells = F.transform(cells, normalize)
-
-    def placed(change: Column, i: Column) -> Column:
-        hit = match_cell(norm_cells, change["cell_id"])
-        return F.struct(
-            i.cast("int").alias("change_pos"),
-            change["cell_id"].alias("cell_id"),
-            change["new_code"].alias("new_code"),
-            hit["level"].alias("match_level"),
-            hit["pos"].alias("cell_pos"),
-        )
-
+    numbered = F.transform(
+        F.coalesce(changes, F.array().cast(CHANGES)),
+        lambda c, i: F.struct(i.cast("int").alias("i"), c.alias("c")),
+    )
     usable = F.filter(
-        F.transform(changes, placed),
-        lambda c: ~is_blank(c["cell_id"]) & ~is_blank(c["new_code"]),
+        numbered, lambda x: ~is_blank(x["c"]["cell_id"]) & ~is_blank(x["c"]["new_code"])
     )
-    return F.coalesce(usable, F.filter(F.array(placed(_no_change(), F.lit(0))), lambda c: F.lit(False)))
 
+    def placed(x: Column) -> Column:
+        return let(
+            match_cell(norm_cells, x["c"]["cell_id"]),
+            lambda hit: F.struct(
+                x["i"].alias("change_pos"),
+                x["c"]["cell_id"].alias("cell_id"),
+                x["c"]["new_code"].alias("new_code"),
+                hit["level"].alias("match_level"),
+                hit["pos"].alias("cell_pos"),
+            ),
+        )
 
-def _no_change() -> Column:
-    return F.struct(
-        F.lit(None).cast("string").alias("cell_id"),
-        F.lit(None).cast("string").alias("new_code"),
-    )
+    return F.transform(usable, placed)
 
 
 def rebuild(cells: Column, matched: Column) -> Column:
@@ -188,10 +199,8 @@ def rebuild(cells: Column, matched: Column) -> Column:
 
     def final(cell: Column, i: Column) -> Column:
         mine = F.filter(matched, lambda c: c["cell_pos"] == i)
-        code = F.try_element_at(mine, F.lit(-1))["new_code"]
-        return F.when(
-            F.size(mine) > 0, F.concat(F.lit("\n\n"), trim_all(code), F.lit("\n\n"))
-        ).otherwise(cell)
+        code = trim_all(F.try_element_at(mine, F.lit(-1))["new_code"])
+        return F.coalesce(F.concat(F.lit("\n\n"), code, F.lit("\n\n")), cell)
 
     return join_cells(F.transform(cells, final))
 

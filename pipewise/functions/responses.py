@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pipewise.functions.text import is_blank, trim_all
+from pipewise.functions.text import is_blank, let, trim_all
 
 CHANGE = "array<struct<cell_id:string,new_code:string,celda_id:string,codigo_nuevo:string>>"
 DONE = (
@@ -30,16 +30,23 @@ def json_texts(raw: Column) -> list[Column]:
 
 
 def parsed_response(raw: Column) -> Column:
-    """``struct(method, doc)``: the first reading that is JSON; NULL if none is."""
-    out = F.when(F.lit(False), F.struct(F.lit(0).alias("method"), F.try_parse_json(raw).alias("doc")))
-    for i, text in enumerate(json_texts(raw), 1):
-        doc = F.try_parse_json(text)
-        out = out.when(doc.isNotNull(), F.struct(F.lit(i).alias("method"), doc.alias("doc")))
-    return out
+    """``struct(method, is_object, doc)`` of the first reading that is JSON; NULL
+    if none is. Readings after it are not tried."""
 
+    def attempt(method: int, text: Column) -> Column:
+        return let(
+            F.try_parse_json(text),
+            lambda doc: F.when(
+                doc.isNotNull(),
+                F.struct(
+                    F.lit(method).alias("method"),
+                    text.startswith("{").alias("is_object"),
+                    doc.alias("doc"),
+                ),
+            ),
+        )
 
-def is_object(doc: Column) -> Column:
-    return F.schema_of_variant(doc).startswith("OBJECT")
+    return F.coalesce(*[attempt(i, text) for i, text in enumerate(json_texts(raw), 1)])
 
 
 def _either(doc: Column, names: list[str], kind: str) -> Column:
@@ -90,7 +97,7 @@ def _full(text: Column) -> Column:
 def rewrite_kind(changes: Column, whole: Column) -> Column:
     """Which part of a response makes the new text."""
     return (
-        F.when(F.size(F.coalesce(changes, F.array().cast("array<struct<cell_id:string,new_code:string>>"))) > 0, "changes")
+        F.when(F.coalesce(F.size(changes), F.lit(0)) > 0, "changes")
         .when(~is_blank(whole), "whole_script")
         .otherwise("none")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from pipewise.functions.fixed_values import LINE_END, WHITESPACE
 _BLANKS = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_all(text: Column) -> Column:
     """Trim every kind of white space, not only the plain space."""
     return F.btrim(text, F.lit(WHITESPACE))

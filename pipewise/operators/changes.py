@@ -15,7 +15,7 @@ from pipewise.functions.fixed_values import (
     NO_TARGETS_TEXT,
     TRUNCATION_CAP,
 )
-from pipewise.functions.text import places
+from pipewise.functions.text import normalize, places
 
 TEMPLATE = (
     "SCRIPT: {script_path}\n"
@@ -52,12 +52,11 @@ def parse_responses(raw_responses: DataFrame) -> DataFrame:
     object is an error too.
     """
     parsed = raw_responses.withColumn("_p", responses.parsed_response(F.col("raw")))
-    ok = F.col("_p").isNotNull() & responses.is_object(F.col("_p.doc"))
     return parsed.select(
         *raw_responses.columns,
         F.coalesce(F.col("_p.method"), F.lit(0)).alias("method"),
-        F.coalesce(ok, F.lit(False)).alias("parsed"),
-        F.when(ok, F.col("_p.doc")).alias("doc"),
+        F.coalesce(F.col("_p.is_object"), F.lit(False)).alias("parsed"),
+        F.when(F.col("_p.is_object"), F.col("_p.doc")).alias("doc"),
     )
 
 
@@ -80,16 +79,20 @@ def _with_script(chosen: DataFrame, scripts: DataFrame) -> DataFrame:
     return (
         chosen.join(scripts.select("script_id", "source"), "script_id")
         .withColumn("_cells", cells.split_cells(F.col("source")))
-        .withColumn("_matched", cells.matched_changes(F.col("_cells"), F.col("changes")))
+        .withColumn("_norm", F.transform("_cells", normalize))
+        .withColumn("_matched", cells.matched_changes(F.col("_norm"), F.col("changes")))
     )
 
 
 def match_changes(chosen: DataFrame, scripts: DataFrame) -> DataFrame:
     """One row per usable change: the cell it meets and at which level."""
+    # Outer, because for a plain explode Spark infers a filter on the array,
+    # and would match all changes twice, once for the filter.
     return (
         _with_script(chosen, scripts)
-        .select("response_id", "script_id", F.explode("_matched").alias("m"))
+        .select("response_id", "script_id", F.explode_outer("_matched").alias("m"))
         .select("response_id", "script_id", "m.*")
+        .where(F.col("change_pos").isNotNull())
     )
 
 

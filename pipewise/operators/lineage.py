@@ -11,8 +11,6 @@ from pipewise.functions import text
 from pipewise.functions.fixed_values import PARQUET_VAR, SQL_SOURCE, SQL_VAR, TEMP_VIEW
 from pipewise.sources.scratch import materialize
 
-EDGE = "array<struct<kind:string,dst:string,src:string>>"
-
 
 def _pairs(code: Column, folded: Column, word: str, pattern: str) -> Column:
     """Both groups of every match, as ``array<struct<a, b>>``."""
@@ -63,9 +61,13 @@ def lineage_edges(scripts: DataFrame) -> DataFrame:
         _pairs(code, folded, "createorreplacetempview", f"(?iuU){TEMP_VIEW}"),
         lambda p: _edge("view", F.lower(p["b"]), F.lower(p["a"])),
     )
-    return prepared.select(
-        "script_id", F.explode(F.array_distinct(F.concat(parquet, sql, view))).alias("e")
-    ).select("script_id", "e.*")
+    # Outer: for a plain explode Spark would scan the text twice, see match_changes.
+    found = F.array_distinct(F.concat(parquet, sql, view))
+    return (
+        prepared.select("script_id", F.explode_outer(found).alias("e"))
+        .select("script_id", "e.*")
+        .where(F.col("dst").isNotNull())
+    )
 
 
 def lookup_names(key: Column) -> Column:

@@ -43,13 +43,13 @@ def direct_sizes(scripts: DataFrame, table_sizes: DataFrame, path_sizes: DataFra
     known_tables = table_sizes.where(F.col("size_bytes") >= 0)
     known_paths = path_sizes.where(F.col("size_bytes") >= 0)
     tables = (
-        inputs.select("script_id", F.explode("read_tables").alias("name"))
+        inputs.select("script_id", F.explode_outer("read_tables").alias("name"))
         .join(known_tables, "name")
         .select(*_record(F.col("name"), "delta", limit_mb))
     )
     key = F.concat(basename(F.col("path")), F.lit(" ("), F.col("path"), F.lit(")"))
     paths = (
-        inputs.select("script_id", F.explode("read_paths").alias("path"))
+        inputs.select("script_id", F.explode_outer("read_paths").alias("path"))
         .join(known_paths, "path")
         .select(*_record(key, "parquet", limit_mb))
     )
