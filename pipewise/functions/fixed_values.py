@@ -69,10 +69,10 @@ SIDE_EFFECTS = [
 ]
 
 # --- lineage patterns -------------------------------------------------------
-PARQUET_VAR = r"""(\w+)\s*=\s*spark\.read(?:\.[a-z]+)*\.parquet\(\s*['"]([^'"]+)['"]\s*\)"""
-SQL_VAR = r'(\w+)\s*=\s*spark\.sql\(\s*(?:f?""")(.*?)(?:""")\s*\)'
+PARQUET_VAR = r"""\b(\w+)\s*=\s*spark\.read(?:\.[a-z]+)*\.parquet\(\s*['"]([^'"]+)['"]\s*\)"""
+SQL_VAR = r'\b(\w+)\s*=\s*spark\.sql\(\s*(?:f?""")(.*?)(?:""")\s*\)'
 SQL_SOURCE = r"\b(?:FROM|JOIN)\s+(\w+(?:\.\w+)*)"
-TEMP_VIEW = r"""(\w+)\.createOrReplaceTempView\(\s*['"](\w+)['"]\s*\)"""
+TEMP_VIEW = r"""\b(\w+)\.createOrReplaceTempView\(\s*['"](\w+)['"]\s*\)"""
 
 # --- cells ------------------------------------------------------------------
 CELL_MARKER = "# COMMAND ----------"

@@ -33,19 +33,24 @@ def parsed_response(raw: Column) -> Column:
     """``struct(method, is_object, doc)`` of the first reading that is JSON; NULL
     if none is. Readings after it are not tried."""
 
-    def attempt(method: int, text: Column) -> Column:
+    def parse(method: int, text: Column) -> Column:
+        # Failing to parse is the dear case, so what cannot be JSON is not tried.
+        doc = F.when(text.rlike(r'^[\[{"\-0-9tfn]'), F.try_parse_json(text))
         return let(
-            F.try_parse_json(text),
-            lambda doc: F.when(
-                doc.isNotNull(),
+            doc,
+            lambda d: F.when(
+                d.isNotNull(),
                 F.struct(
                     F.lit(method).alias("method"),
                     text.startswith("{").alias("is_object"),
-                    doc.alias("doc"),
+                    d.alias("doc"),
                 ),
             ),
         )
 
+    def attempt(method: int, text: Column) -> Column:
+        return let(text, lambda t: parse(method, t))
+
     return F.coalesce(*[attempt(i, text) for i, text in enumerate(json_texts(raw), 1)])
 
 

@@ -78,7 +78,10 @@ def _with_script(chosen: DataFrame, scripts: DataFrame) -> DataFrame:
     """
     return (
         chosen.join(scripts.select("script_id", "source"), "script_id")
-        .withColumn("_cells", cells.split_cells(F.col("source")))
+        # only for responses with changes; the others leave the text alone
+        .withColumn(
+            "_cells", F.when(F.size("changes") > 0, cells.split_cells(F.col("source")))
+        )
         .withColumn("_norm", F.transform("_cells", normalize))
         .withColumn("_matched", cells.matched_changes(F.col("_norm"), F.col("changes")))
     )

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_WHOLE = 9e18
-_LIMB = 21
+_EXACT = float(1 << 53)
+"""Below this every whole number is a double of its own."""
 
 
 @dataclass(frozen=True)
@@ -74,87 +74,89 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def _limbs(value: Column, name: str) -> list[Column]:
-    """Sums of three 21-bit slices of a bigint.
+def _slices(bits: int) -> list[int]:
+    """Where a signed number of so many bits is cut: slices so narrow that their
+    long sums stay in range for 2**40 rows."""
+    cuts = [0]
+    while bits - cuts[-1] > 23:
+        cuts.append(cuts[-1] + 22)
+    return cuts
 
-    Plain long additions that stay in range for 2**42 rows, where one long sum
-    could overflow and a decimal per row would cost several times as much.
+
+def _sliced_sums(value: str, bits: int, name: str) -> list[str]:
+    """Sums of bit slices of a bigint, lowest first; the top one has the sign.
+
+    Plain long additions, where one long sum could overflow and a decimal per
+    row costs about twice as much.
     """
-    mask = F.lit((1 << _LIMB) - 1)
-    return [
-        F.sum(F.shiftright(value, 2 * _LIMB)).alias(f"{name}_hi"),
-        F.sum(F.shiftright(value, _LIMB).bitwiseAND(mask)).alias(f"{name}_mid"),
-        F.sum(value.bitwiseAND(mask)).alias(f"{name}_lo"),
-    ]
+    cuts = _slices(bits)
+    sums = []
+    for i, low in enumerate(cuts):
+        part = f"shiftright({value}, {low})" if low else value
+        if i + 1 < len(cuts):
+            part = f"({part} & {(1 << (cuts[i + 1] - low)) - 1}L)"
+        sums.append(f"sum({part}) AS {name}_{i}")
+    return sums
+
+
+def _whole_sum(bits: int, name: str) -> str:
+    """The sum again from its slices."""
+    cuts = _slices(bits)
+    parts = [f"CAST({name}_{i} AS DECIMAL(20,0))" for i in range(len(cuts))]
+    total = parts[-1]
+    for i in reversed(range(len(cuts) - 1)):
+        base = f"{1 << (cuts[i + 1] - cuts[i])}BD"
+        total = f"CAST(CAST({total} AS DECIMAL(30,0)) * {base} + {parts[i]} AS DECIMAL(38,0))"
+    return total
+
+
+_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
-def _from_limbs(name: str) -> Column:
-    def wide(part: str) -> Column:
-        return F.col(f"{name}_{part}").cast("decimal(20,0)")
-
-    base = F.lit(1 << _LIMB).cast("decimal(8,0)")
-    high = (wide("hi") * base + wide("mid")).cast("decimal(30,0)")
-    total = (high * base + wide("lo")).cast("decimal(38,0)")
-    return F.coalesce(total, F.lit(0).cast("decimal(38,0)"))
-
-
-def _column_sums(field: T.StructField, i: int, digits: int) -> list[Column]:
-    col, name = F.col(f"`{field.name}`"), f"c{i}"
-    filled = F.count(col).alias(f"{name}_n")
-    if isinstance(field.dataType, T.IntegralType):
-        return [*_limbs(col.cast("bigint"), name), filled]
-    if isinstance(field.dataType, T.DecimalType):
-        return [F.sum(col).alias(f"{name}_sum"), filled]
-    x = col.cast("double")
-    infinite = float("inf")
-    fits = F.abs(x) < _WHOLE
-    whole = F.when(fits, F.floor(x))
-    fraction = F.rint((x - whole) * float(10**digits)).cast("bigint")
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _column_sums(field: T.StructField, i: int, digits: int) -> list[str]:
+    col, name, kind = _quoted(field.name), f"c{i}", field.dataType
+    if isinstance(kind, T.IntegralType):
+        return _sliced_sums(f"CAST({col} AS BIGINT)", _BITS[type(kind)], name)
+    if isinstance(kind, T.DecimalType):
+        return [f"sum({col}) AS {name}_sum"]
+    x = f"CAST({col} AS DOUBLE)"
+    fits = f"abs({x}) < {_EXACT}D"
+    whole = f"CASE WHEN {fits} THEN floor({x}) END"
+    fraction = f"CAST(rint(({x} - {whole}) * 1e{digits}D) AS BIGINT)"
     return [
-        *_limbs(whole, name),
-        F.sum(fraction).alias(f"{name}_frac"),
-        F.sum(F.when(~fits & (F.abs(x) < infinite), x)).alias(f"{name}_huge"),
-        F.count_if(F.isnan(x)).alias(f"{name}_nan"),
-        F.count_if(x == infinite).alias(f"{name}_up"),
-        F.count_if(x == -infinite).alias(f"{name}_down"),
-        filled,
+        *_sliced_sums(whole, 54, name),
+        f"sum({fraction}) AS {name}_fraction",
+        f"sum(CASE WHEN NOT {fits} THEN {x} END) AS {name}_rough",
     ]
 
 
-def _column_record(field: T.StructField, i: int, digits: int) -> Column:
-    """``struct(column, exact, rough)``: the sum is their total.
+def _column_record(field: T.StructField, i: int, digits: int) -> str:
+    """``struct(i, exact, rough)``: the sum of column i is their total.
 
     ``exact`` is a decimal as text and does not depend on the order of
-    addition. Only values beyond any bigint, infinities and NaN are left to
-    ``rough``, which is NULL when there are none.
+    addition. Doubles of 2**53 and more, infinities and NaN are added as
+    doubles in ``rough``. Each is NULL when there is nothing to add.
     """
     name, kind = f"c{i}", field.dataType
-    wide = f"decimal(38,{digits})"
-    rough = F.lit(None).cast("double")
+    wide = f"DECIMAL(38,{digits})"
+    rough = "CAST(NULL AS DOUBLE)"
     if isinstance(kind, T.IntegralType):
-        exact = _from_limbs(name).cast(wide).cast("string")
+        exact = f"CAST(CAST({_whole_sum(_BITS[type(kind)], name)} AS {wide}) AS STRING)"
     elif isinstance(kind, T.DecimalType):
-        total = F.col(f"{name}_sum")
-        exact = total.cast("string")
+        exact = f"CAST({name}_sum AS STRING)"
         if kind.scale <= digits:
-            exact = F.coalesce(total.try_cast(wide).cast("string"), exact)
+            exact = f"coalesce(CAST(try_cast({name}_sum AS {wide}) AS STRING), {exact})"
     else:
-        unit = F.lit(Decimal(1).scaleb(-digits))
-        fraction = F.coalesce(F.col(f"{name}_frac"), F.lit(0)).cast("decimal(20,0)") * unit
-        exact = (_from_limbs(name).cast(wide) + fraction).cast(wide).cast("string")
-        up, down = F.col(f"{name}_up") > 0, F.col(f"{name}_down") > 0
-        rough = (
-            F.when((F.col(f"{name}_nan") > 0) | (up & down), F.lit(float("nan")))
-            .when(up, F.lit(float("inf")))
-            .when(down, F.lit(float("-inf")))
-            .otherwise(F.col(f"{name}_huge"))
-        )
-    some = F.col(f"{name}_n") > 0
-    return F.struct(
-        F.lit(field.name).alias("column"),
-        F.when(some, exact).alias("exact"),
-        F.when(some, rough).alias("rough"),
-    )
+        unit = f"{Decimal(1).scaleb(-digits):f}BD"
+        fraction = f"CAST({name}_fraction AS DECIMAL(20,0)) * {unit}"
+        whole = f"CAST({_whole_sum(54, name)} AS {wide})"
+        exact = f"CAST(CAST({whole} + {fraction} AS {wide}) AS STRING)"
+        rough = f"{name}_rough"
+    return f"named_struct('i', {i}, 'exact', {exact}, 'rough', {rough})"
 
 
 def table_profile(df: DataFrame, columns: list[str] | None = None,
@@ -166,23 +168,21 @@ def table_profile(df: DataFrame, columns: list[str] | None = None,
     """
     wanted = numeric_columns(df) if columns is None else columns
     fields = [f for f in df.schema.fields if f.name in wanted]
-    sums = [c for i, f in enumerate(fields) for c in _column_sums(f, i, digits)]
-    rows = F.struct(
-        F.lit(None).cast("string").alias("column"),
-        F.col("n_rows").cast(f"decimal(38,{digits})").cast("string").alias("exact"),
-        F.lit(None).cast("double").alias("rough"),
+    sums = [s for i, f in enumerate(fields) for s in _column_sums(f, i, digits)]
+    rows = (
+        f"named_struct('i', -1, 'exact', CAST(CAST(n_rows AS DECIMAL(38,{digits})) AS STRING), "
+        "'rough', CAST(NULL AS DOUBLE))"
     )
     records = [rows] + [_column_record(f, i, digits) for i, f in enumerate(fields)]
-    return (
-        df.agg(F.count(F.lit(1)).alias("n_rows"), *sums)
-        .select(F.explode(F.array(*records)).alias("r"))
-        .select(
-            "r.*",
-            F.coalesce(
-                F.col("r.exact").cast("double") + F.col("r.rough"),
-                F.col("r.exact").cast("double"),
-            ).alias("total"),
-        )
+    names = F.array(*[F.lit(f.name) for f in fields])
+    sums_row = df.selectExpr("count(*) AS n_rows", *sums)
+    return sums_row.selectExpr(f"inline(array({', '.join(records)}))").select(
+        F.when(F.col("i") >= 0, F.get(names, F.col("i"))).alias("column"),
+        "exact",
+        "rough",
+        F.expr(
+            "coalesce(CAST(exact AS DOUBLE) + rough, CAST(exact AS DOUBLE), rough)"
+        ).alias("total"),
     )
 
 
@@ -208,7 +208,7 @@ def table_diff(reference: DataFrame, candidate: DataFrame, rel_tol: float = 0.0,
         )
 
     both = side(reference, "ref").join(side(candidate, "cand"), "column")
-    # Huge values are added as doubles, so their order of addition may show.
+    # Values added as doubles: their order of addition may show.
     rough_tol = max(rel_tol, 1e-9)
     rough_same = F.col("ref_rough").eqNullSafe(F.col("cand_rough")) | F.coalesce(
         F.abs(F.col("ref_rough") - F.col("cand_rough"))

@@ -13,13 +13,18 @@ from pipewise.sources.scratch import materialize
 
 
 def _pairs(code: Column, folded: Column, word: str, pattern: str) -> Column:
-    """Both groups of every match, as ``array<struct<a, b>>``."""
-    groups = [F.regexp_extract_all(code, F.lit(pattern), F.lit(g)) for g in (1, 2)]
-    zipped = F.transform(
-        F.arrays_zip(groups[0].alias("a"), groups[1].alias("b")),
-        lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")),
+    """Both groups of every match, as ``array<struct<a, b>>``.
+
+    The text is searched once for whole matches; the groups come out of those.
+    """
+    matches = F.regexp_extract_all(code, F.lit(pattern), F.lit(0))
+    groups = F.transform(
+        matches,
+        lambda m: F.struct(
+            F.regexp_extract(m, pattern, 1).alias("a"), F.regexp_extract(m, pattern, 2).alias("b")
+        ),
     )
-    return F.when(folded.contains(word), zipped).otherwise(
+    return F.when(folded.contains(word), groups).otherwise(
         F.array().cast("array<struct<a:string,b:string>>")
     )
 
