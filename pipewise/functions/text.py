@@ -33,13 +33,15 @@ def normalize(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Case-folded text for the cheap "does this word occur" tests.
+    """Lower-case text for the cheap "does this word occur" tests.
 
-    upper-then-lower maps the letters that a Unicode ignore-case match treats
-    as plain s, k and i onto those letters, so a test on the folded text never
-    misses what the pattern itself would find.
+    The letters a Unicode ignore-case match takes for s and i become those, so
+    a test on the folded text never misses what the pattern itself would find.
     """
-    return F.lower(F.upper(F.replace(text, F.lit("İ"), F.lit("I"))))
+    folded = F.lower(text)
+    for letter, plain in (("\u017f", "s"), ("\u0131", "i"), ("i\u0307", "i")):
+        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+    return folded
 
 
 def _drop_lines(source: Column, pattern: str) -> Column:
