@@ -24,6 +24,7 @@ from pipewise.functions.fixed_values import (
 )
 from pipewise.operators.ranking import as_of_column
 from pipewise.operators.topk import first_row, top_k
+from pipewise.sources.scratch import materialize
 
 EVENT_COLUMNS = ["proposal_id", "event_ts", "seq", "status", "actor", "notes"]
 DETAIL_COLUMNS = [
@@ -121,9 +122,12 @@ def apply_decisions(decisions: DataFrame, state: DataFrame, scripts: DataFrame,
     are combined before the shuffle; no window runs over the decisions of one
     proposal. Approving changes the script, so of several approvals for one
     script in a batch the first stands and those with a stored hash after it
-    are stale.
+    are stale, even if the first is rolled back between them: such a one has
+    to be proposed again.
 
     ``result``: applied, stale, rejected, rolled_back or refused (``reason``).
+    Eager: the decisions with the state they meet are written once, so that the
+    ledger and the scripts are scanned once.
     """
     moment = F.struct("decided_ts", "action", "actor")
     hashes = scripts.select(
@@ -138,7 +142,9 @@ def apply_decisions(decisions: DataFrame, state: DataFrame, scripts: DataFrame,
         .join(last, "proposal_id", "left")
         .join(hashes, "original_path", "left")
     )
-    asked = decisions.join(known, "proposal_id", "left").withColumn("at", moment)
+    asked = materialize(
+        decisions.join(known, "proposal_id", "left").withColumn("at", moment), "decisions-asked"
+    )
 
     approvable = (
         (F.col("action") == "approve") & F.col("before").isin(_OPEN)

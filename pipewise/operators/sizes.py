@@ -24,36 +24,41 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
 
 
-def _record(name: Column, kind: str, limit_mb: float) -> list[Column]:
-    return [
-        F.col("script_id"),
+def direct_sizes(scripts: DataFrame, table_sizes: DataFrame, path_sizes: DataFrame,
+                 limit_mb: float = BROADCAST_LIMIT_MB) -> DataFrame:
+    """Tables and parquet paths each script reads, where their size is known.
+
+    One pass over the scripts and one join, on the kind of input and its name.
+    """
+    inputs = read_inputs(scripts.select("script_id", "source"))
+
+    def reads(column: str, kind: str) -> Column:
+        return F.transform(
+            column, lambda name: F.struct(F.lit(kind).alias("source_type"), name.alias("ref"))
+        )
+
+    wanted = inputs.select(
+        "script_id",
+        F.explode_outer(
+            F.concat(reads("read_tables", "delta"), reads("read_paths", "parquet"))
+        ).alias("r"),
+    ).select("script_id", "r.*")
+    tables = table_sizes.select(F.lit("delta").alias("source_type"), F.col("name").alias("ref"), "size_bytes")
+    paths = path_sizes.select(F.lit("parquet").alias("source_type"), F.col("path").alias("ref"), "size_bytes")
+    known = tables.unionByName(paths).where(F.col("size_bytes") >= 0)
+    name = F.when(
+        F.col("source_type") == "parquet",
+        F.concat(basename(F.col("ref")), F.lit(" ("), F.col("ref"), F.lit(")")),
+    ).otherwise(F.col("ref"))
+    return wanted.join(known, ["source_type", "ref"]).select(
+        "script_id",
         name.alias("name"),
-        F.col("size_bytes"),
+        "size_bytes",
         F.round(cost.size_mb(F.col("size_bytes")), 1).alias("size_mb"),
         cost.broadcast_safe(F.col("size_bytes"), limit_mb).alias("broadcast_safe"),
-        F.lit(kind).alias("source_type"),
+        "source_type",
         F.lit(None).cast("string").alias("derived_from"),
-    ]
-
-
-def direct_sizes(scripts: DataFrame, table_sizes: DataFrame, path_sizes: DataFrame,
-                 limit_mb: float = BROADCAST_LIMIT_MB) -> DataFrame:
-    """Tables and parquet paths each script reads, where their size is known."""
-    inputs = read_inputs(scripts.select("script_id", "source")).drop("source")
-    known_tables = table_sizes.where(F.col("size_bytes") >= 0)
-    known_paths = path_sizes.where(F.col("size_bytes") >= 0)
-    tables = (
-        inputs.select("script_id", F.explode_outer("read_tables").alias("name"))
-        .join(known_tables, "name")
-        .select(*_record(F.col("name"), "delta", limit_mb))
-    )
-    key = F.concat(basename(F.col("path")), F.lit(" ("), F.col("path"), F.lit(")"))
-    paths = (
-        inputs.select("script_id", F.explode_outer("read_paths").alias("path"))
-        .join(known_paths, "path")
-        .select(*_record(key, "parquet", limit_mb))
-    )
-    return tables.unionByName(paths)
+    )
 
 
 def parquet_var_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -16,21 +16,18 @@ def _columns(order: Order) -> list[Column]:
 
 
 def top_k(df: DataFrame, keys: list[str], order: Order, k: int,
-          rank: str = "rank", salts: int = 64) -> DataFrame:
+          rank: str = "rank", salts: int = 64, plain_k: int = 64) -> DataFrame:
     """The first ``k`` rows of each group, numbered from 1.
 
-    For an ordinary ``k`` Spark cuts every group to ``k`` rows in each input
-    partition before the shuffle, so a hot group costs no more than k rows per
-    task. Beyond the limit at which Spark does that, the groups are salted by
-    their rows' order key and cut within each salt first.
+    Spark cuts every group to ``k`` rows in each input partition before the
+    shuffle, so a hot group costs its task k rows per map task. For a small
+    ``k`` that is little. For a larger one the groups are first cut within
+    salts of their rows' order key, so that the work of a hot group is shared
+    and its last task sees at most ``salts * k`` rows.
     """
     if k <= 0:
         return df.withColumn(rank, F.lit(1)).where(F.lit(False))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*_columns(order)))
-    cut_by_spark = int(
-        df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
-    )
-    if k > cut_by_spark:
+    if k > plain_k:
         salt = F.pmod(F.xxhash64(*[c for c, _ in order]), F.lit(salts))
         within = Window.partitionBy(*keys, "_salt").orderBy(*_columns(order))
         df = (
@@ -39,6 +36,7 @@ def top_k(df: DataFrame, keys: list[str], order: Order, k: int,
             .where(F.col("_first") <= k)
             .drop("_salt", "_first")
         )
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*_columns(order)))
     return df.withColumn(rank, number).where(F.col(rank) <= k)
 
 

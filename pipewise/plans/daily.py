@@ -78,7 +78,11 @@ def prompt_batch(day: Day) -> Candidates:
     gains = ranking.performance_gains(day.applied, day.proposals, durations, day.as_of)
 
     free = ranked.join(cooled, ["job_id", "task_key"], "left_anti")
-    scanned = corpus.with_hash(corpus.scan_scripts(day.scripts)).withColumnRenamed(
+    # only scripts of tasks in the ranking are scanned, each of them once
+    in_ranking = day.scripts.join(
+        free.select(F.col("script_path").alias("path")).distinct(), "path", "left_semi"
+    )
+    scanned = corpus.with_hash(corpus.scan_scripts(in_ranking)).withColumnRenamed(
         "path", "script_path"
     )
     history = ledger.rejected_history(day.proposals)

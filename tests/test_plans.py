@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from checks.fixtures import AS_OF
 from checks.registry import fx
 from pipewise.operators import corpus, ledger, lineage, runs
+from pipewise.operators.topk import top_k
 from pipewise.plans import daily
 from pipewise.sources import ledger_store, records, report_sink
 from pipewise.sources.scratch import new_path
@@ -117,10 +118,12 @@ def test_scans_do_not_shuffle_and_read_only_text(spark, sf):
         assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
-def test_latest_runs_are_cut_before_the_shuffle(spark, sf):
-    plan = plan_of(runs.latest_runs(fx(spark, sf, "fx_runs"), 200))
-    last = plan.index("WindowGroupLimit")
-    assert "WindowGroupLimit" in plan[plan.index("Exchange", last):] or "Partial" in plan
+def test_groups_are_cut_before_the_shuffle(spark, sf):
+    df = fx(spark, sf, "fx_runs")
+    for n, shuffles in ((2, 1), (200, 2)):
+        plan = plan_of(top_k(df, ["job_id"], runs.NEWEST_RUN, n))
+        assert len(re.findall(rf"WindowGroupLimit.*, {n}, Partial", plan)) == shuffles
+        assert plan.count("Exchange hashpartitioning") == shuffles
 
 
 def test_no_python_in_any_plan(spark, sf):

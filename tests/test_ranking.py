@@ -85,16 +85,11 @@ def test_rank_over_many_tasks_equals_rank_in_one(spark):
     assert hot[0] == hot[1] == hot[2] > 1000
 
 
-def test_top_k_of_large_k_equals_plain(spark):
+def test_salted_top_k_equals_plain(spark):
     df = skewed(spark)
     order = [("score", "desc"), ("task_key", "asc")]
-    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
     want = sorted(top_k(df, ["job_id"], order, 50).collect())
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
-    try:
-        assert sorted(top_k(df, ["job_id"], order, 50).collect()) == want
-    finally:
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+    assert sorted(top_k(df, ["job_id"], order, 50, plain_k=10).collect()) == want
     assert top_k(df, ["job_id"], order, 0).count() == 0
 
 
