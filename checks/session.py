@@ -6,18 +6,21 @@ import os
 
 from pyspark.sql import SparkSession
 
+from pipewise.session import SETTINGS
+
 
 def local_session(cpus: int | None = None) -> SparkSession:
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("pipewise")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "16g")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -80,6 +80,17 @@ def analysis_of(doc: Column) -> Column:
     return F.coalesce(*found, F.lit("{}"))
 
 
+def summary_of(analysis_json: Column) -> Column:
+    """What the script does, in the words of the analysis; NULL without any."""
+    names = ["que_hace", "what_it_does"]
+    return let(
+        F.try_parse_json(analysis_json),
+        lambda doc: F.coalesce(
+            *[_full(F.try_variant_get(doc, f"$.{n}", "string")) for n in names]
+        ),
+    )
+
+
 def applied_changes_of(analysis_json: Column) -> Column:
     """``array<struct<description, savings>>`` of an analysis; empty if bad JSON."""
     doc = F.try_parse_json(analysis_json)

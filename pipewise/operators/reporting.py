@@ -62,6 +62,7 @@ def proposal_cards(reported: DataFrame) -> DataFrame:
             F.col("pos"), F.col("task_key"), F.col("tier"), status,
             F.col("duration_s") / 60.0, F.col("cost_weight"),
         ),
+        F.concat(F.lit("_"), responses.summary_of(F.col("analysis")), F.lit("_")),
         report.card_body(status, F.col("error"), changes),
         report.card_footer(
             report.validation_line(F.col("tier"), status), F.col("v2_path"), F.col("proposal_id")
@@ -70,11 +71,12 @@ def proposal_cards(reported: DataFrame) -> DataFrame:
     return reported.select("job_id", "pos", text.alias("card"))
 
 
-def report_header(runs: DataFrame, labels: DataFrame, top_n: int = TOP_N) -> DataFrame:
-    """One line per job: which runs, how many candidates, ranked by what.
+def report_header(runs: DataFrame, labels: DataFrame, top_n: int = TOP_N,
+                  as_of: str | None = None) -> DataFrame:
+    """Head of each job's report: which runs, how many candidates, ranked by what.
 
     ``runs`` is the output of ``latest_runs``; only the first two are named, so
-    only these are gathered.
+    only these are gathered. ``as_of`` adds a line with the date and time.
     """
     first_two = (
         runs.where(F.col("run_pos") <= 2)
@@ -86,6 +88,9 @@ def report_header(runs: DataFrame, labels: DataFrame, top_n: int = TOP_N) -> Dat
         report.run_label(F.col("run_ids")), F.lit(f"  ·  Top {top_n} "), F.col("rank_label"),
         F.lit(" notebooks"),
     )
+    if as_of is not None:
+        day = f"Daily optimization report  ·  {as_of[:10]}  ·  {as_of[11:16]} UTC\n"
+        line = F.concat(F.lit(day), line)
     return labels.join(first_two, "job_id", "left").select("job_id", line.alias("header"))
 
 

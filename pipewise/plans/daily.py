@@ -23,6 +23,7 @@ from pipewise.operators import (
     runs,
     sizes,
 )
+from pipewise.operators.topk import rank_in_group
 from pipewise.sources.scratch import materialize
 
 
@@ -157,6 +158,12 @@ def settle(found: Candidates, rewrites: DataFrame, checked: DataFrame, day: Day,
     primary = found.chosen_runs.where(F.col("run_pos") == 1).select("job_id", "run_id")
     stamp = F.regexp_replace(F.lit(day.as_of[:10]), "-", "")
     has_v2 = F.col("accepted")
+    error = F.when(
+        F.col("outcome") == "llm_error", "no usable JSON object found in the response"
+    ).when(F.col("outcome") == "export_error", "the script could not be read")
+    analysis = F.when(
+        F.col("outcome") == "llm_error", F.to_json(F.struct(error.alias("error")))
+    ).otherwise(F.col("analysis"))
     rows = reported.join(primary, "job_id", "left").select(
         "*",
         F.when(
@@ -169,17 +176,19 @@ def settle(found: Candidates, rewrites: DataFrame, checked: DataFrame, day: Day,
         F.col("script_path").alias("original_path"),
         F.col("avg_s").alias("duration_original_s"),
         F.col("reason").alias("tier_reason"),
-        F.col("analysis").alias("llm_analysis"),
+        analysis.alias("llm_analysis"),
         F.lit(None).cast("double").alias("llm_duration_s"),
         F.lit(None).cast("string").alias("validation_details"),
         F.lit(None).cast("bigint").alias("validation_run_id"),
         F.col("source_hash").alias("original_source_hash"),
-        F.lit(None).cast("string").alias("error"),
+        error.alias("error"),
     ).drop("validation_status")
     new_rows = ledger.proposal_rows(rows, day.as_of, model)
     placed = rows.join(positions(reported), ["job_id", "rank_pos"])
     report = reporting.report_rows(
-        reporting.report_header(found.chosen_runs, ranking.rank_labels(found.ranked), day.top_n),
+        reporting.report_header(
+            found.chosen_runs, ranking.rank_labels(found.ranked), day.top_n, day.as_of
+        ),
         reporting.gain_lines(found.gains),
         reporting.proposal_cards(placed),
     )
@@ -188,8 +197,6 @@ def settle(found: Candidates, rewrites: DataFrame, checked: DataFrame, day: Day,
 
 def positions(reported: DataFrame) -> DataFrame:
     """Place of each candidate in its job's report."""
-    from pipewise.operators.topk import rank_in_group
-
     return rank_in_group(
         reported.select("job_id", "rank_pos"), ["job_id"], [("rank_pos", "asc")], rank="pos"
     )

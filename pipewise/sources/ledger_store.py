@@ -25,9 +25,10 @@ APPLIED = (
 )
 
 
-def create_ledger(spark: SparkSession, schema: str) -> None:
+def create_ledger(spark: SparkSession, schema: str, location: str | None = None) -> None:
     """Create the ledger's tables where they do not exist."""
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+    at = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}{at}")
     for name, columns, partition in [
         ("events", EVENTS, "PARTITIONED BY (event_month)"),
         ("proposals", PROPOSALS, "PARTITIONED BY (status)"),
