@@ -247,7 +247,7 @@ def table_diff(spark, sf):
 
 @query(
     "validate_tables",
-    "SELECT proposal, 1 AS n_pairs, CASE WHEN bool_and(match) THEN 'passed' ELSE 'data_mismatch' END AS validation_status FROM (\n"
+    "SELECT proposal, CAST(1 AS BIGINT) AS n_pairs, CASE WHEN bool_and(match) THEN 'passed' ELSE 'data_mismatch' END AS validation_status FROM (\n"
     + "\nUNION ALL ".join(_diff(n) for n in _CANDIDATES if n != "cand_schema")
     + "\n) GROUP BY proposal UNION ALL SELECT 'cand_schema', 1, 'schema_mismatch'",
 )

@@ -86,18 +86,19 @@ def truncate(source: Column, max_chars: int = TRUNCATION_CAP) -> Column:
     each, are set aside first; whole cells are then taken from the end until
     one does not fit.
     """
-    cells = split_cells(source)
-    skeletons = F.transform(cells, _skeleton)
-    reserved = F.aggregate(
-        skeletons,
-        F.lit(0),
-        lambda total, s: total + F.length(s) + len(CELL_MARKER),
-    )
-    start = F.struct(
-        (F.lit(max_chars) - reserved).alias("left"),
-        F.lit(0).alias("kept"),
-        F.lit(False).alias("closed"),
-    )
+    def shorten(cells: Column) -> Column:
+        reserved = F.aggregate(
+            F.transform(cells, _skeleton),
+            F.lit(0),
+            lambda total, s: total + F.length(s) + len(CELL_MARKER),
+        )
+        start = F.struct(
+            (F.lit(max_chars) - reserved).alias("left"),
+            F.lit(0).alias("kept"),
+            F.lit(False).alias("closed"),
+        )
+        kept = F.aggregate(F.reverse(cells), start, take, lambda state: state["kept"])
+        return let(kept, lambda n_kept: render(cells, F.size(cells) - n_kept, n_kept))
 
     def take(state: Column, cell: Column) -> Column:
         fits = ~state["closed"] & (state["left"] >= F.length(cell))
@@ -109,22 +110,21 @@ def truncate(source: Column, max_chars: int = TRUNCATION_CAP) -> Column:
             (~fits).alias("closed"),
         )
 
-    kept = F.aggregate(F.reverse(cells), start, take, lambda state: state["kept"])
-    n = F.size(cells)
-
-    def render(n_kept: Column) -> Column:
+    def render(cells: Column, n_cut: Column, n_kept: Column) -> Column:
         parts = F.transform(
-            cells, lambda cell, i: F.when(i >= n - n_kept, cell).otherwise(_skeleton(cell))
+            cells, lambda cell, i: F.when(i >= n_cut, cell).otherwise(_skeleton(cell))
         )
         return F.concat(
             join_cells(parts),
             F.lit("\n# [SMART TRUNCATION: "), n_kept.cast("string"), F.lit("/"),
-            n.cast("string"), F.lit(" cells full (last ones), "),
-            (n - n_kept).cast("string"), F.lit(" summarized. Total original: "),
+            F.size(cells).cast("string"), F.lit(" cells full (last ones), "),
+            n_cut.cast("string"), F.lit(" summarized. Total original: "),
             thousands(F.length(source)), F.lit(" chars]"),
         )
 
-    return F.when(F.length(source) <= max_chars, source).otherwise(let(kept, render))
+    return F.when(F.length(source) <= max_chars, source).otherwise(
+        let(split_cells(source), shorten)
+    )
 
 
 def match_cell(norm_cells: Column, cell_id: Column) -> Column:
@@ -179,9 +179,9 @@ def matched_changes(norm_cells: Column, changes: Column) -> Column:
         numbered, lambda x: ~is_blank(x["c"]["cell_id"]) & ~is_blank(x["c"]["new_code"])
     )
 
-    def placed(x: Column) -> Column:
+    def placed(norm: Column, x: Column) -> Column:
         return let(
-            match_cell(norm_cells, x["c"]["cell_id"]),
+            match_cell(norm, x["c"]["cell_id"]),
             lambda hit: F.struct(
                 x["i"].alias("change_pos"),
                 x["c"]["cell_id"].alias("cell_id"),
@@ -191,18 +191,21 @@ def matched_changes(norm_cells: Column, changes: Column) -> Column:
             ),
         )
 
-    return F.transform(usable, placed)
+    return let(norm_cells, lambda norm: F.transform(usable, lambda x: placed(norm, x)))
 
 
 def rebuild(cells: Column, matched: Column) -> Column:
     """Put the changes into the cells; the last change to a cell wins."""
 
-    def final(cell: Column, i: Column) -> Column:
-        mine = F.filter(matched, lambda c: c["cell_pos"] == i)
-        code = trim_all(F.try_element_at(mine, F.lit(-1))["new_code"])
-        return F.coalesce(F.concat(F.lit("\n\n"), code, F.lit("\n\n")), cell)
+    def renewed(changes: Column) -> Column:
+        def final(cell: Column, i: Column) -> Column:
+            mine = F.filter(changes, lambda c: c["cell_pos"] == i)
+            code = trim_all(F.try_element_at(mine, F.lit(-1))["new_code"])
+            return F.coalesce(F.concat(F.lit("\n\n"), code, F.lit("\n\n")), cell)
+
+        return join_cells(F.transform(cells, final))
 
-    return join_cells(F.transform(cells, final))
+    return let(matched, renewed)
 
 
 def is_no_change(source: Column, rewrite: Column) -> Column:

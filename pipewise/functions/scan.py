@@ -16,7 +16,7 @@ from pipewise.functions.fixed_values import (
     SCRIPT_CHAR_CAP,
     SIDE_EFFECTS,
 )
-from pipewise.functions.text import thousands
+from pipewise.functions.text import let, thousands
 
 _NO_NAMES = "array<string>"
 
@@ -61,7 +61,9 @@ def side_effects(source: Column, folded: Column) -> Column:
 
 def self_reference(targets: Column, reads: Column) -> Column:
     """Targets that the script also reads (``reads`` is lower case)."""
-    return F.filter(targets, lambda t: F.array_contains(reads, F.lower(t)))
+    return let(
+        reads, lambda r: F.filter(targets, lambda t: F.array_contains(r, F.lower(t)))
+    )
 
 
 def tier(n_chars: Column, effects: Column, targets: Column, own: Column,

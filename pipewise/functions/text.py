@@ -13,7 +13,12 @@ _BLANKS = r"[\s\x1c-\x1f]"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
+    """``use(value)`` with the value worked out once, however often it is used.
+
+    Also for a value used inside a lambda over an array: an expression there is
+    worked out again for every element, and Catalyst moves a column that is
+    used only there into the lambda.
+    """
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
@@ -29,7 +34,7 @@ def is_blank(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Collapse white space, trim, lower."""
-    return F.lower(trim_all(F.regexp_replace(text, rf"(?U){_BLANKS}+", " ")))
+    return F.lower(trim_all(F.regexp_replace(text, f"[{WHITESPACE}]+", " ")))
 
 
 def fold(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pipewise.functions import cost, report
 from pipewise.functions.fixed_values import BROADCAST_LIMIT_MB, NO_SIZES_TEXT
+from pipewise.functions.text import let
 from pipewise.operators.corpus import read_inputs
 from pipewise.operators.lineage import lineage_edges, lookup_names, unsafe_closure
 from pipewise.sources.scratch import materialize
@@ -76,10 +77,13 @@ def parquet_var_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
             )
         ).alias("records")
     )
-    path, last = F.col("path"), F.lower(basename(F.col("path")))
-    fitting = F.filter(
-        "records",
-        lambda r: r["name"].contains(path) | F.lower(r["name"]).contains(last),
+    path = F.col("path")
+    fitting = let(
+        F.lower(basename(path)),
+        lambda last: F.filter(
+            "records",
+            lambda r: r["name"].contains(path) | F.lower(r["name"]).contains(last),
+        ),
     )
     return (
         edges.where(F.col("kind") == "parquet")
