@@ -29,13 +29,23 @@ FROM fx_decision_log d LEFT JOIN fx_state s ON d.proposal_id = s.proposal_id
 LEFT JOIN oq_hashes h ON h.path = s.original_path
 LEFT JOIN (SELECT proposal_id, arg_max(rollback_ts, applied_ts) AS rollback_ts FROM fx_applied GROUP BY proposal_id) a ON a.proposal_id = d.proposal_id
 """
+PARTS["oq_first_closing"] = """
+SELECT * FROM oq_asked WHERE closes AND n = (SELECT min(n) FROM oq_asked m WHERE m.proposal_id = oq_asked.proposal_id AND m.closes)
+"""
+PARTS["oq_first_change"] = """
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY original_path ORDER BY decided_ts, action, actor, proposal_id) AS rn FROM (
+    SELECT original_path, decided_ts, action, actor, proposal_id FROM oq_first_closing WHERE action = 'approve' AND NOT coalesce(edited, FALSE)
+    UNION ALL
+    SELECT original_path, decided_ts, action, actor, proposal_id FROM oq_asked
+    WHERE action = 'rollback' AND before = 'applied' AND was_applied AND rollback_ts IS NULL))
+WHERE rn = 1
+"""
 PARTS["oq_closed"] = """
-SELECT *, CASE WHEN action = 'reject' THEN 'rejected'
-    WHEN coalesce(edited, FALSE) OR (coalesce(stored_hash, '') <> '' AND coalesce(fresh_before, 0) > 0) THEN 'stale' ELSE 'applied' END AS closed_as
-FROM (
-  SELECT *, sum(CASE WHEN action = 'approve' AND NOT coalesce(edited, FALSE) THEN 1 ELSE 0 END)
-    OVER (PARTITION BY original_path ORDER BY decided_ts, action, actor, proposal_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fresh_before
-  FROM oq_asked WHERE closes AND n = (SELECT min(n) FROM oq_asked m WHERE m.proposal_id = oq_asked.proposal_id AND m.closes))
+SELECT c.*, CASE WHEN c.action = 'reject' THEN 'rejected'
+    WHEN coalesce(edited, FALSE) OR (coalesce(stored_hash, '') <> ''
+      AND coalesce((c.decided_ts, c.action, c.actor, c.proposal_id) > (f.decided_ts, f.action, f.actor, f.proposal_id), FALSE)) THEN 'stale' ELSE 'applied' END AS closed_as
+FROM oq_first_closing c LEFT JOIN oq_first_change f ON c.original_path = f.original_path
 """
 PARTS["oq_decided"] = """
 SELECT proposal_id, task_key, original_path, action, actor, decided_ts, notes, old_notes, v2_path, before, n, closed_n, undone_n, closed_as,

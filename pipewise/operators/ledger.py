@@ -120,10 +120,10 @@ def apply_decisions(decisions: DataFrame, state: DataFrame, scripts: DataFrame,
     and an applied one rolled back once, so it is enough to know the first
     closing decision and the first rollback after it. Both are minima, which
     are combined before the shuffle; no window runs over the decisions of one
-    proposal. Approving changes the script, so of several approvals for one
-    script in a batch the first stands and those with a stored hash after it
-    are stale, even if the first is rolled back between them: such a one has
-    to be proposed again.
+    proposal. Approvals and rollbacks change the script, so after the first of
+    them in a batch every further approval for that script that has a stored
+    hash is stale. This holds even if a later rollback brings the old text
+    back: such a proposal has to be made again.
 
     ``result``: applied, stale, rejected, rolled_back or refused (``reason``).
     Eager: the decisions with the state they meet are written once, so that the
@@ -160,10 +160,20 @@ def apply_decisions(decisions: DataFrame, state: DataFrame, scripts: DataFrame,
     fresh = ~F.coalesce(
         cost.is_stale(F.col("stored_hash"), F.col("current_hash")), F.lit(False)
     )
+    applied_before = (
+        (F.col("before") == "applied") & F.col("was_applied") & F.col("rollback_ts").isNull()
+    )
+    rolls_back = F.col("action") == "rollback"
+    restored = asked.where(rolls_back & applied_before).groupBy("original_path", "proposal_id").agg(
+        F.min("at").alias("at")
+    )
+    replaced = closing.where((F.col("closed_at.action") == "approve") & fresh).select(
+        "original_path", "proposal_id", F.col("closed_at").alias("at")
+    )
     first_on_script = (
-        closing.where((F.col("closed_at.action") == "approve") & fresh)
+        replaced.unionByName(restored)
         .groupBy("original_path")
-        .agg(F.min(F.struct("closed_at", "proposal_id")).alias("first"))
+        .agg(F.min(F.struct(F.col("at").alias("closed_at"), "proposal_id")).alias("first"))
     )
     guarded = F.coalesce(F.col("stored_hash"), F.lit("")) != ""
     later = F.struct("closed_at", "proposal_id") > F.col("first")
@@ -176,12 +186,9 @@ def apply_decisions(decisions: DataFrame, state: DataFrame, scripts: DataFrame,
     judged = asked.join(closed, "proposal_id", "left")
 
     can_undo = (F.col("closed_as") == "applied") & (F.col("at") > F.col("closed_at"))
-    applied_before = (
-        (F.col("before") == "applied") & F.col("was_applied") & F.col("rollback_ts").isNull()
+    undone = judged.where(rolls_back & (can_undo | applied_before)).groupBy("proposal_id").agg(
+        F.min("at").alias("undone_at")
     )
-    undone = judged.where((F.col("action") == "rollback") & (can_undo | applied_before)).groupBy(
-        "proposal_id"
-    ).agg(F.min("at").alias("undone_at"))
     judged = judged.join(undone, "proposal_id", "left")
 
     status_then = (

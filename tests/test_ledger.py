@@ -71,6 +71,7 @@ def one_by_one(texts, state, applied, decisions):
                 result = status[pid] = "rejected"
             elif action == "rollback" and now == "applied" and undoable.get(pid):
                 result, status[pid] = "rolled_back", "rejected"
+                changed.add(path)
         out.append(result)
     return out, status
 
