@@ -238,7 +238,7 @@ def apply_decisions(spark, sf):
 
 @query(
     "decision_events",
-    """SELECT proposal_id, decided_ts AS event_ts, 2 AS seq, CASE result WHEN 'rolled_back' THEN 'rejected' ELSE result END AS status, actor,
+    """SELECT proposal_id, decided_ts AS event_ts, CASE result WHEN 'rolled_back' THEN 3 ELSE 2 END AS seq, CASE result WHEN 'rolled_back' THEN 'rejected' ELSE result END AS status, actor,
   CASE result WHEN 'stale' THEN coalesce(old_notes, '') || '[STALE: notebook manually edited after proposal]'
     WHEN 'rolled_back' THEN coalesce(old_notes, '') || chr(10) || '[ROLLBACK] ' ELSE notes END AS notes
 FROM oq_decided WHERE result <> 'refused'""",
@@ -306,6 +306,22 @@ def mark_reported(spark, sf):
     return ledger.mark_reported(fx(spark, sf, "fx_applied"), _gains(spark, sf), AS_OF)
 
 
+@query(
+    "applied_state",
+    f"""SELECT a.proposal_id, a.applied_ts, a.applied_by,
+  CASE WHEN a.rollback_ts IS NOT NULL THEN a.rollback_ts WHEN d.decided_ts >= a.applied_ts THEN d.decided_ts END AS rollback_ts,
+  CASE WHEN a.rollback_ts IS NULL AND d.decided_ts >= a.applied_ts THEN d.actor END AS rollback_by,
+  CASE WHEN a.first_reported_ts IS NOT NULL THEN a.first_reported_ts WHEN g.proposal_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' END AS first_reported_ts
+FROM fx_applied a
+LEFT JOIN (SELECT * FROM oq_decided WHERE result = 'rolled_back') d ON d.proposal_id = a.proposal_id
+LEFT JOIN oq_gains g ON g.proposal_id = a.proposal_id""",
+)
+def applied_state(spark, sf):
+    applied = fx(spark, sf, "fx_applied").withColumn("rollback_by", F.lit(None).cast("string"))
+    reported = ledger.mark_reported(applied, _gains(spark, sf), AS_OF)
+    return ledger.applied_state(applied, ledger.rollback_rows(_outcome(spark, sf)), reported)
+
+
 @query("rejected_history", "SELECT job_id, task_key, rejected_history FROM oq_history")
 def rejected_history(spark, sf):
     return ledger.rejected_history(fx(spark, sf, "fx_proposals"))

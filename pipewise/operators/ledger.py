@@ -220,7 +220,7 @@ def decision_events(outcome: DataFrame) -> DataFrame:
     return outcome.where(F.col("result") != "refused").select(
         "proposal_id",
         F.col("decided_ts").alias("event_ts"),
-        F.lit(2).alias("seq"),
+        F.when(F.col("result") == "rolled_back", 3).otherwise(2).alias("seq"),
         F.when(F.col("result") == "rolled_back", "rejected")
         .otherwise(F.col("result")).alias("status"),
         "actor",
@@ -244,6 +244,38 @@ def applied_rows(outcome: DataFrame, backup_dir: str = "backups") -> DataFrame:
     )
 
 
+def rollback_rows(outcome: DataFrame) -> DataFrame:
+    """Which proposals' applied changes were undone, when and by whom."""
+    return outcome.where(F.col("result") == "rolled_back").select(
+        "proposal_id", F.col("decided_ts").alias("rollback_ts"), F.col("actor").alias("rollback_by")
+    )
+
+
+def applied_state(applied: DataFrame, rollbacks: DataFrame, reported: DataFrame) -> DataFrame:
+    """Applied changes with what was logged about them later; first news stay.
+
+    ``applied`` are rows as they were appended, ``rollbacks`` the output of
+    ``rollback_rows`` and ``reported`` that of ``mark_reported``. A rollback
+    counts for the changes of its proposal that came before it.
+    """
+    undone = rollbacks.groupBy("proposal_id").agg(
+        F.max(F.struct("rollback_ts", "rollback_by")).alias("_undone")
+    )
+    shown = reported.groupBy("proposal_id").agg(F.min("first_reported_ts").alias("_shown"))
+    old = F.struct("rollback_ts", "rollback_by")
+    late = F.when(F.col("_undone.rollback_ts") >= F.col("applied_ts"), F.col("_undone"))
+    now = F.when(F.col("rollback_ts").isNotNull(), old).otherwise(late)
+    return (
+        applied.join(undone, "proposal_id", "left")
+        .join(shown, "proposal_id", "left")
+        .withColumn("_now", now)
+        .withColumn("rollback_ts", F.col("_now.rollback_ts"))
+        .withColumn("rollback_by", F.col("_now.rollback_by"))
+        .withColumn("first_reported_ts", F.coalesce("first_reported_ts", "_shown"))
+        .drop("_undone", "_shown", "_now")
+    )
+
+
 def script_updates(outcome: DataFrame, scripts: DataFrame) -> DataFrame:
     """New text of each script that changed; its last change in the batch wins.
 

@@ -47,6 +47,7 @@ class Day:
     cooldown_days: int = COOLDOWN_DAYS
     runs_to_average: int = RUNS_TO_AVERAGE
     self_task: str | None = None
+    run_id: int | None = None
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,7 @@ def prompt_batch(day: Day) -> Candidates:
     The chosen runs are written first: their real size then decides whether
     the join with all task runs is a broadcast or a shuffle.
     """
-    chosen = materialize(runs.latest_runs(day.runs, day.runs_to_average), "runs")
+    chosen = materialize(runs.latest_runs(day.runs, day.runs_to_average, day.run_id), "runs")
     durations = materialize(
         runs.avg_task_durations(day.task_runs, chosen, day.self_task), "durations"
     )

@@ -17,6 +17,7 @@ class Decided:
     outcome: DataFrame
     events: DataFrame
     applied: DataFrame
+    rollbacks: DataFrame
     scripts: DataFrame
     audit: DataFrame
 
@@ -34,6 +35,7 @@ def decide(decisions: DataFrame, events: DataFrame, proposals: DataFrame, script
         outcome=outcome,
         events=ledger.decision_events(outcome),
         applied=ledger.applied_rows(outcome),
+        rollbacks=ledger.rollback_rows(outcome),
         scripts=ledger.script_updates(outcome, scripts),
         audit=reporting.result_lines(outcome),
     )

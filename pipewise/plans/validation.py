@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipewise.operators.equivalence import Pair, ladder, schema_diff, schema_summary, table_diff
+from pipewise.sources.scratch import materialize
 
 CHECKS = (
     "proposal string, table string, smoke_ok boolean, smoke_only boolean, "
@@ -28,14 +30,39 @@ def data_checks(pairs: list[Pair], rel_tol: float = 0.0) -> DataFrame:
     return reduce(DataFrame.unionByName, diffs)
 
 
+def smoke(pairs: list[Pair]) -> tuple[list[Pair], set[str]]:
+    """Run every candidate once, into a scratch table.
+
+    Gives the pairs over what was written, so that no later step runs a
+    candidate again, and the proposals of which a candidate failed.
+    """
+    written, failed = [], set()
+    for p in pairs:
+        try:
+            written.append(replace(p, candidate=materialize(p.candidate, "candidate")))
+        except Exception:  # noqa: BLE001 - whatever stops a candidate is its failure
+            failed.add(p.proposal)
+            written.append(p)
+    return written, failed
+
+
+def _isolated(pair: Pair, rel_tol: float) -> DataFrame | None:
+    """The comparison of one pair on its own; None if it cannot be made."""
+    try:
+        return materialize(data_checks([pair], rel_tol), "check")
+    except Exception:  # noqa: BLE001 - a check that fails is a mismatch
+        return None
+
+
 def validate_tables(spark: SparkSession, pairs: list[Pair], smoke_failed: set[str] = frozenset(),
                     smoke_only: set[str] = frozenset(), proposals: list[str] | None = None,
-                    rel_tol: float = 0.0) -> DataFrame:
+                    rel_tol: float = 0.0, isolate: bool = False) -> DataFrame:
     """Validation status of every proposal.
 
     The schema step reads metadata only; data is scanned only for proposals
     whose schemas all match and that are to be checked in full. ``proposals``
-    names those without any pair, too.
+    names those without any pair, too. All comparisons are one plan; with
+    ``isolate`` each is run by itself, and one that raises is a mismatch.
     """
     names = sorted(set(proposals or []) | {p.proposal for p in pairs})
     fields = {
@@ -59,9 +86,14 @@ def validate_tables(spark: SparkSession, pairs: list[Pair], smoke_failed: set[st
         (n, None, n not in smoke_failed, n in smoke_only, None, None)
         for n in names if n not in {p.proposal for p in pairs}
     ]
+    compared = [data_checks(full, rel_tol)] if full else []
+    if isolate:
+        each = [(p, _isolated(p, rel_tol)) for p in full]
+        compared = [df for _, df in each if df is not None]
+        rows += [(p.proposal, p.table, True, False, True, False) for p, df in each if df is None]
     checks = spark.createDataFrame(rows, CHECKS)
-    if full:
-        measured = data_checks(full, rel_tol).groupBy("proposal", "table").agg(
+    for df in compared:
+        measured = df.groupBy("proposal", "table").agg(
             F.bool_and("match").alias("data_match")
         ).select(
             "proposal", "table", F.lit(True).alias("smoke_ok"), F.lit(False).alias("smoke_only"),

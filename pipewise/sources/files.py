@@ -77,7 +77,7 @@ def table_sizes(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
 def table_location(spark: SparkSession, name: str) -> str | None:
     """Where a catalog table lies; None if it cannot be resolved."""
     try:
-        described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}")
+        described = spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:name)", args={"name": name})
         row = described.where(F.col("col_name") == "Location").select("data_type").first()
     except Exception:
         return None

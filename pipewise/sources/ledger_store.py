@@ -71,4 +71,4 @@ def empty_copy(df: DataFrame) -> DataFrame:
 
 def drop_scratch(spark: SparkSession, tables: list[str]) -> None:
     for table in tables:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": table})

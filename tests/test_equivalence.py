@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 
 from pipewise.operators.equivalence import Pair, schema_diff, table_diff, table_profile
-from pipewise.plans.validation import schema_report, validate_tables
+from pipewise.plans.validation import schema_report, smoke, validate_tables
 
 
 def profile(df, **kw):
@@ -111,3 +111,17 @@ def test_ladder(spark):
         "good": "passed", "half": "data_mismatch", "shape": "schema_mismatch",
         "crashed": "smoke_failed", "smoke": "smoke_passed", "none": "data_mismatch",
     }
+
+
+def test_smoke_and_isolated_checks(spark):
+    good = spark.createDataFrame([(1, Decimal("9" * 38))], "x int, y decimal(38,0)")
+    twice = good.unionAll(good)
+    broken = good.selectExpr("CAST(raise_error('no') AS INT) AS x", "y")
+    pairs = [Pair("ok", "a", good, good), Pair("crash", "a", good, broken),
+             Pair("overflow", "a", twice, twice)]
+    written, failed = smoke(pairs)
+    assert failed == {"crash"}
+    got = validate_tables(spark, written, smoke_failed=failed, isolate=True)
+    assert {r.proposal: r.validation_status for r in got.collect()} == {
+        "ok": "passed", "crash": "smoke_failed", "overflow": "data_mismatch",
+    }
