@@ -11,6 +11,9 @@ from pipewise.functions import text
 from pipewise.functions.fixed_values import PARQUET_VAR, SQL_SOURCE, SQL_VAR, TEMP_VIEW
 from pipewise.sources.scratch import materialize
 
+_ROUNDS_APART = 16
+"""So many rounds are kept as tables of their own before they are put together."""
+
 
 def _pairs(code: Column, folded: Column, word: str, pattern: str) -> Column:
     """Both groups of every match, as ``array<struct<a, b>>``.
@@ -83,7 +86,7 @@ def lookup_names(key: Column) -> Column:
 
 
 def unsafe_closure(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None,
-                   max_hops: int = 20) -> DataFrame:
+                   max_hops: int | None = None) -> DataFrame:
     """Everything that is derived, directly or not, from an unsafe input.
 
     ``edges`` has the keys, dst and src; ``seeds`` has the keys and name. Gives
@@ -92,9 +95,10 @@ def unsafe_closure(edges: DataFrame, seeds: DataFrame, keys: list[str] | None =
 
     Eager: the edges and every round are written to the scratch folder, so the
     edges are worked out once, the plan does not grow, and a lost executor
-    costs one round. A round whose frontier is small
-    on disk is broadcast by Catalyst and leaves the edges unshuffled. Cycles
-    end by themselves, because known names are never entered again.
+    costs one round. A round whose frontier is small on disk is broadcast by
+    Catalyst and leaves the edges unshuffled. Known names are never entered
+    again, so cycles end by themselves and the loop stops at the first round
+    that finds nothing new.
     """
     keys = keys or []
     node = [*keys, "name"]
@@ -102,18 +106,22 @@ def unsafe_closure(edges: DataFrame, seeds: DataFrame, keys: list[str] | None =
     first = seeds.select(*node).distinct().select(
         *node, F.lit(None).cast("string").alias("derived_from"), F.lit(0).alias("hops")
     )
-    rounds = [materialize(first, "unsafe-0")]
-    for hop in range(1, max_hops + 1):
-        frontier = rounds[-1].select(*keys, F.col("name").alias("src"))
-        known = reduce(DataFrame.unionByName, [r.select(*node) for r in rounds])
+    frontier = materialize(first, "unsafe-0")
+    seen, hop = [frontier], 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
+        known = reduce(DataFrame.unionByName, [r.select(*node) for r in seen])
         reached = (
-            edges.join(frontier, [*keys, "src"])
+            edges.join(frontier.select(*keys, F.col("name").alias("src")), [*keys, "src"])
             .groupBy(*keys, F.col("dst").alias("name"))
             .agg(F.min("src").alias("derived_from"))
             .join(known, node, "left_anti")
             .select(*node, "derived_from", F.lit(hop).alias("hops"))
         )
-        rounds.append(materialize(reached, f"unsafe-{hop}"))
-        if rounds[-1].isEmpty():
+        frontier = materialize(reached, f"unsafe-{hop}")
+        if frontier.isEmpty():
             break
-    return reduce(DataFrame.unionByName, rounds)
+        seen.append(frontier)
+        if len(seen) > _ROUNDS_APART:
+            seen = [materialize(reduce(DataFrame.unionByName, seen), "unsafe-so-far")]
+    return reduce(DataFrame.unionByName, seen)

@@ -116,6 +116,8 @@ class Settled:
     proposals: DataFrame
     events: DataFrame
     report: DataFrame
+    shown_gains: DataFrame
+    """To be appended once the report is out."""
 
 
 def rewrites_of(found: Candidates, responses: DataFrame, mode: str = "on") -> DataFrame:
@@ -193,7 +195,8 @@ def settle(found: Candidates, rewrites: DataFrame, checked: DataFrame, day: Day,
         reporting.gain_lines(found.gains),
         reporting.proposal_cards(placed),
     )
-    return Settled(rewrites, reported, new_rows, ledger.proposed_events(new_rows), report)
+    shown = ledger.mark_reported(day.applied, found.gains, day.as_of)
+    return Settled(rewrites, reported, new_rows, ledger.proposed_events(new_rows), report, shown)
 
 
 def positions(reported: DataFrame) -> DataFrame:

@@ -82,6 +82,8 @@ def test_a_day_from_runs_to_report(spark, day):
     assert all((r.v2_path is None) == (r.validation_status == "llm_error") for r in rows)
     assert done.proposals.columns == [c.split()[0] for c in ledger_store.PROPOSALS.split(", ")]
 
+    gains = found.gains.collect()
+    assert {r.proposal_id for r in done.shown_gains.collect()} == {g.proposal_id for g in gains}
     path = new_path(spark, "report")
     report_sink.write_report(done.report, path, "text")
     assert spark.read.text(path).count() > 0

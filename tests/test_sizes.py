@@ -30,7 +30,7 @@ def test_closure_on_graphs_with_cycles_and_hubs(spark, seed):
     seeds = rng.sample(names, 3)
     e = spark.createDataFrame(sorted(edges), "dst string, src string")
     s = spark.createDataFrame([(n,) for n in seeds], "name string")
-    got = {r.name: r for r in unsafe_closure(e, s, max_hops=60).collect()}
+    got = {r.name: r for r in unsafe_closure(e, s).collect()}
     want = reach(edges, seeds)
     assert {n: r.hops for n, r in got.items()} == want
     for n, r in got.items():
@@ -38,6 +38,14 @@ def test_closure_on_graphs_with_cycles_and_hubs(spark, seed):
             assert (n, r.derived_from) in edges and want[r.derived_from] == r.hops - 1
 
 
+def test_closure_follows_long_chains(spark):
+    e = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(40)], "dst string, src string")
+    s = spark.createDataFrame([("n0",)], "name string")
+    got = {r.name: r.hops for r in unsafe_closure(e, s).collect()}
+    assert got == {f"n{i}": i for i in range(41)}
+    assert unsafe_closure(e, s, max_hops=3).count() == 4
+
+
 def test_closure_stays_inside_its_key(spark):
     e = spark.createDataFrame([(1, "b", "a"), (2, "b", "a")], "script_id int, dst string, src string")
     s = spark.createDataFrame([(1, "a")], "script_id int, name string")
