@@ -86,15 +86,15 @@ def lookup_names(key: Column) -> Column:
 
 
 def unsafe_closure(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None,
-                   max_hops: int | None = None) -> DataFrame:
+                   max_hops: int | None = None, written: bool = False) -> DataFrame:
     """Everything that is derived, directly or not, from an unsafe input.
 
     ``edges`` has the keys, dst and src; ``seeds`` has the keys and name. Gives
     the keys, name, derived_from (NULL for a seed; the smallest of the sources
     that made it unsafe first) and hops.
 
-    Eager: the edges and every round are written to the scratch folder, so the
-    edges are worked out once, the plan does not grow, and a lost executor
+    Eager: the edges (unless they are ``written`` already) and every round are
+    written to the scratch folder, so the edges are worked out once, the plan does not grow, and a lost executor
     costs one round. A round whose frontier is small on disk is broadcast by
     Catalyst and leaves the edges unshuffled. Known names are never entered
     again, so cycles end by themselves and the loop stops at the first round
@@ -102,7 +102,8 @@ def unsafe_closure(edges: DataFrame, seeds: DataFrame, keys: list[str] | None =
     """
     keys = keys or []
     node = [*keys, "name"]
-    edges = materialize(edges.select(*keys, "dst", "src").distinct(), "edges")
+    if not written:
+        edges = materialize(edges.select(*keys, "dst", "src").distinct(), "edges")
     first = seeds.select(*node).distinct().select(
         *node, F.lit(None).cast("string").alias("derived_from"), F.lit(0).alias("hops")
     )

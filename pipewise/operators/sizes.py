@@ -102,7 +102,8 @@ def parquet_var_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
 def derived_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """Variables and views that come from something too large or of unknown size.
 
-    Eager, see ``unsafe_closure``.
+    Eager, see ``unsafe_closure``; ``edges`` and ``sizes`` are read several
+    times and should be written tables.
     """
     variables = parquet_var_sizes(edges, sizes)
     sized = variables.where(~F.col("broadcast_safe")).select(
@@ -126,7 +127,7 @@ def derived_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     spread = (
         unsafe_closure(
             edges.where(F.col("kind") != "parquet").select("script_id", "dst", "src"),
-            seeds, keys=["script_id"],
+            seeds, keys=["script_id"], written=True,
         )
         .where(F.col("hops") > 0)
         .select("script_id", "name", "derived_from")
@@ -161,7 +162,8 @@ def script_input_sizes(scripts: DataFrame, table_sizes: DataFrame, path_sizes: D
     """
     # Both come from scanning all scripts and are used several times over.
     sizes = materialize(direct_sizes(scripts, table_sizes, path_sizes, limit_mb), "sizes")
-    derived = derived_sizes(materialize(lineage_edges(scripts), "lineage"), sizes)
+    edges = materialize(lineage_edges(scripts), "lineage")
+    derived = materialize(derived_sizes(edges, sizes), "derived")
     kept = sizes.join(derived.select("script_id", "name"), ["script_id", "name"], "left_anti")
     return kept.select(*COLUMNS).unionByName(derived.select(*COLUMNS))
 
