@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewise.llm import line_dedup, packing
+from pipewise.llm import line_dedup, packing, simhash
 from pipewise.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,16 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op1_simhash_near_dedup")
+def op1(spark, sf_dir):
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), simhash.EXACT64)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 LINES_SQL = """
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents
