@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewise.llm import line_dedup, packing, simhash
+from pipewise.llm import line_dedup, packing, quality, simhash, toxicity
 from pipewise.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,31 @@ def op1(spark, sf_dir):
     )
 
 
+def _scored(scores: DataFrame, held_out, threshold: float) -> DataFrame:
+    return scores.select(
+        F.col("id").alias("doc_id"),
+        held_out(F.col("id")).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scores = toxicity.score_toxicity(docs, model)
+    return _scored(scores, toxicity.held_out, toxicity.THRESHOLD)
+
+
+@query("op9_quality_classifier")
+def op9(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    scores = quality.score_quality(docs, model)
+    return _scored(scores, quality.held_out, quality.THRESHOLD)
+
+
 LINES_SQL = """
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents
