@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewise.llm import line_dedup, packing, quality, simhash, toxicity
+from pipewise.llm import html_text, line_dedup, packing, quality, simhash, toxicity
 from pipewise.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op1(spark, sf_dir):
     )
 
 
+@query("op4_html_extraction")
+def op4(spark, sf_dir):
+    return html_text.extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def _scored(scores: DataFrame, held_out, threshold: float) -> DataFrame:
     return scores.select(
         F.col("id").alias("doc_id"),
