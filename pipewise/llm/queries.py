@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewise.llm import html_text, line_dedup, packing, quality, simhash, toxicity
+from pipewise.llm import html_text, line_dedup, packing, quality, simhash, substring_dedup, toxicity
 from pipewise.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,14 @@ def op7(spark, sf_dir):
 @query("op8_packing")
 def op8(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op10_substring_dedup")
+def op10(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return substring_dedup.remove_repeated_passages(docs).select(
+        "doc_id",
+        F.col("n_tokens").alias("n_words"),
+        "n_removed",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
