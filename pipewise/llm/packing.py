@@ -31,24 +31,41 @@ from pipewise.llm.shared import record_batch
 WINDOW, END_ID = 2048, 1
 POOL = 1024
 """Pieces a task keeps waiting; the longer the pool, the smaller the slack."""
-CACHED_PIECES = 400_000
-"""Words a Python worker remembers the ids of."""
+CACHED_PIECES = 1_500_000
+"""Pieces a Python worker remembers the ids of."""
 BATCH_CHARS = 500_000
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long"
 )
 
-_UNSAFE = re.compile(r"\s\s|[^\S \n]|\s\Z")
-_PIECE = re.compile(r"[ \n]?[^ \n]+")
+_BREAK = "\x1f"
+_ODD_SPACE = re.compile(r"\s\s|[^\S \n]|\s\Z")
+_ODD_STOP = re.compile(r"[.,](?<=[\W_].)")
 
 
-class WordTokenizer:
+def pieces_of(text: str) -> list[str] | None:
+    """The text cut where the pre-tokenizer always starts a token.
+
+    That is before a blank or line end between two other characters, and before
+    a stop or comma after a letter or digit. A text with stops after other
+    signs is cut at fewer places, one with other white space not at all (None).
+    """
+    blank = text.replace("\n", " ")
+    if "  " in blank or blank[-1:] == " " or not blank.isprintable():
+        if _ODD_SPACE.search(text) or _BREAK in text:
+            return None
+    cut = text.replace(" ", _BREAK + " ").replace("\n", _BREAK + "\n")
+    if not _ODD_STOP.search(text):
+        cut = cut.replace(".", _BREAK + ".").replace(",", _BREAK + ",")
+    return cut.split(_BREAK)
+
+
+class PieceTokenizer:
     """Ids of whole texts from a byte-level BPE file of ``tokenizers``.
 
-    Its pre-tokenizer always starts a token at a single white space between two
-    other characters, so the words that such spaces begin are encoded one by
-    one and remembered. Texts with any other white space are encoded whole.
+    The ids of a text are those of its pieces one after the other; pieces are
+    encoded once and remembered, as most of them come again.
     """
 
     def __init__(self, path: str):
@@ -59,35 +76,52 @@ class WordTokenizer:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.known: dict[str, bytes] = {}
+        # in the vocabulary of a byte-level file one character stands for one byte
+        self.lengths = np.zeros(1 << 16, np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.lengths[number] = len(token)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, np.uint16).tobytes() for x in found]
+        return [np.array(x.ids, np.uint16) for x in found]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces as lines of one text: a line end is a token of its own,
+        and the tokens' lengths in bytes tell which one ends a piece."""
+        for at in range(0, len(pieces), 20_000):
+            part = pieces[at : at + 20_000]
+            ids = self._ids(["\n".join([*part, ""])])[0]
+            ends = np.cumsum([len(p.encode()) + 1 for p in part])
+            place = np.cumsum(self.lengths[ids])
+            line_end = np.searchsorted(place, ends)
+            if not (place[line_end] == ends).all() or (self.lengths[ids[line_end]] != 1).any():
+                self.known.update(zip(part, [x.tobytes() for x in self._ids(part)]))
+                continue
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(part, (2 * line_end).tolist()):
+                self.known[piece] = raw[start:end]
+                start = end + 2
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [None if _UNSAFE.search(t) else _PIECE.findall(t) for t in texts]
+        pieces = [pieces_of(t) for t in texts]
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
-        new = [
-            p for p in set().union(*[x for x in pieces if x is not None]) if p not in self.known
-        ]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            self.known.update(zip(part, self._ids(part)))
+        cut = [p for p in pieces if p is not None]
+        self._learn(list(set().union(*cut).difference(self.known)))
         known = self.known.__getitem__
         return [
-            np.frombuffer(self._ids([t])[0] if p is None else b"".join(map(known, p)), np.uint16)
+            self._ids([t])[0] if p is None else np.frombuffer(b"".join(map(known, p)), np.uint16)
             for t, p in zip(texts, pieces)
         ]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[str, PieceTokenizer] = {}
 
 
-def tokenizer_at(path: str) -> WordTokenizer:
+def tokenizer_at(path: str) -> PieceTokenizer:
     """One per Python worker and file."""
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = PieceTokenizer(path)
     return _tokenizers[path]
 
 
