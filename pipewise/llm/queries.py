@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewise.llm import html_text, line_dedup, packing, quality, simhash, substring_dedup, toxicity
+from pipewise.llm import (
+    html_text,
+    line_dedup,
+    packing,
+    quality,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 from pipewise.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +78,18 @@ def op9(spark, sf_dir):
     return _scored(scores, quality.held_out, quality.THRESHOLD)
 
 
+@query("op6_suffix_array_dedup")
+def op6(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return suffix_dedup.remove_repeated_bytes(docs).select(
+        "doc_id",
+        F.col("n_tokens").alias("n_bytes"),
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 LINES_SQL = """
 WITH split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents

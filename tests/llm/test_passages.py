@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from pipewise.llm import grams, substring_dedup
+from pipewise.llm import grams, substring_dedup, suffix_dedup
 
 
 def brute(pairs, window, by_word, within):
@@ -110,3 +110,25 @@ def test_words_whole_table(spark, sf):
 
 def test_no_rows(docs_of):
     assert substring_dedup.remove_repeated_passages(docs_of([])).collect() == []
+
+
+@pytest.mark.parametrize("seed, limit", [(5, 16384), (6, 2)])
+def test_bytes_equal_brute_force(docs_of, seed, limit):
+    rng = random.Random(seed)
+    pairs = mosaic(rng, 40)
+    pairs += [(100 + k, pairs[k][1]) for k in range(6)]
+    pairs += [(200, None), (201, ""), (202, "é" * 70), (5, pairs[5][1]), (None, pairs[3][1])]
+    pairs += [(203, "w " * 3000), (204, "x" * 99), (205, "x" * 100), (206, "\x00" * 150)]
+    docs = docs_of(pairs).repartition(3)
+    kind = suffix_dedup.scheme(limit=limit)
+    assert got(suffix_dedup.remove_repeated_bytes(docs, kind)) == brute(pairs, 100, False, True)
+
+
+def test_bytes_whole_table(spark, sf):
+    from pipewise.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = brute([(r.doc_id, r.text) for r in docs], 100, False, True)
+    rows = QUERIES["op6_suffix_array_dedup"](spark, sf).collect()
+    found = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows]
+    assert sorted(found) == sorted(want)
