@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipewise.llm import (
+    fingerprints,
     html_text,
     line_dedup,
     packing,
@@ -48,6 +49,12 @@ def op1(spark, sf_dir):
     )
 
 
+@query("op3_document_fingerprints")
+def op3(spark, sf_dir):
+    found = fingerprints.compare_versions(read(spark, sf_dir, "documents"))
+    return found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
 @query("op4_html_extraction")
 def op4(spark, sf_dir):
     return html_text.extract_main_text(read(spark, sf_dir, "pages"))
