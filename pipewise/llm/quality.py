@@ -91,11 +91,9 @@ def score_quality(docs: DataFrame, model: nbsvm.Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: nbsvm.Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, same columns, that score at least ``threshold``."""
-    from pyspark.sql.functions import pandas_udf
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def score(texts):
         return texts.map(lambda t: shared.value.score(word_ngrams(bytes(t))))
 

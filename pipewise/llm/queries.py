@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pipewise.llm import (
+    decontamination,
     fingerprints,
     html_text,
     line_dedup,
@@ -19,7 +20,7 @@ from pipewise.llm import (
     suffix_dedup,
     toxicity,
 )
-from pipewise.llm.shared import read
+from pipewise.llm.shared import read, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,10 +36,6 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def tokenizer_path() -> str:
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
-
-
 @query("op1_simhash_near_dedup")
 def op1(spark, sf_dir):
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), simhash.EXACT64)
@@ -49,6 +46,12 @@ def op1(spark, sf_dir):
     )
 
 
+@query("op2_benchmark_decontamination")
+def op2(spark, sf_dir):
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return decontamination.contaminated(docs, items)
+
+
 @query("op3_document_fingerprints")
 def op3(spark, sf_dir):
     found = fingerprints.compare_versions(read(spark, sf_dir, "documents"))
@@ -146,3 +149,8 @@ def op10(spark, sf_dir):
         "n_removed",
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

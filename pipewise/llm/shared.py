@@ -15,6 +15,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """Where the installed vocabulary file of the registered queries lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def text_of(column: str | Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -48,6 +55,7 @@ def unpacked(df: DataFrame, packed: str, like: DataFrame, **changed: Column) ->
 _ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
     "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
+    "array<string>": pa.list_(pa.string()),
 }
 
 

@@ -4,7 +4,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from pipewise.llm import packing
-from pipewise.llm.queries import tokenizer_path
+from pipewise.llm.shared import tokenizer_path
 
 
 @pytest.fixture(scope="module")
