@@ -87,9 +87,8 @@ SELECT script_id, source, {TARGETS} AS targets, {STRICT} AS reads, {EFFECTS} AS
 """
 PARTS["oq_classified"] = """
 SELECT script_id, targets, effects, own,
-  CASE WHEN length(source) <= 3000 AND len(effects) = 0 AND len(targets) > 0 AND len(own) = 0 THEN 'green' ELSE 'yellow' END AS tier,
-  CASE WHEN length(source) > 3000 THEN 'notebook too large (' || format('{:,}', length(source)) || ' chars > 3,000). Generates proposal without automatic validation.'
-    WHEN len(effects) > 0 THEN 'has side effects: ' || array_to_string(effects, ', ') || '. Generates proposal but does NOT validate automatically.'
+  CASE WHEN len(effects) = 0 AND len(targets) > 0 AND len(own) = 0 THEN 'green' ELSE 'yellow' END AS tier,
+  CASE WHEN len(effects) > 0 THEN 'has side effects: ' || array_to_string(effects, ', ') || '. Generates proposal but does NOT validate automatically.'
     WHEN len(targets) = 0 THEN 'no output tables detected. Generates proposal without automatic validation.'
     WHEN len(own) > 0 THEN 'self-reference detected: notebook reads AND writes ' || array_to_string(own, ', ') || '. Automatic validation cannot run correctly on this pattern.'
     ELSE 'Automatically validatable over ' || len(targets) || ' Delta table(s).' END AS reason
@@ -121,7 +120,7 @@ FROM (
     FROM fx_script_responses))
 """
 PARTS["oq_chosen"] = """
-SELECT response_id, script_id, method, method > 0 AS parsed,
+SELECT response_id, script_id, method, method > 0 AND starts_with(doc, '{') AS parsed,
   CASE WHEN json_array_length(doc, '$.changes') > 0 THEN 'changes'
        WHEN trim(coalesce(json_extract_string(doc, '$.optimized_code'), '')) <> '' THEN 'whole_script' ELSE 'none' END AS kind,
   CAST(coalesce(json_array_length(doc, '$.changes'), 0) AS BIGINT) AS n_changes,
@@ -282,7 +281,7 @@ def self_reference(spark, sf):
     "SELECT script_id, tier, reason, array_to_string(targets, ',') AS target_tables FROM oq_classified",
 )
 def classify_scripts(spark, sf):
-    return corpus.scan_scripts(_corpus(spark, sf), cap=3000).select(
+    return corpus.scan_scripts(_corpus(spark, sf)).select(
         "script_id", "tier", "reason", _joined("target_tables").alias("target_tables")
     )
 
@@ -293,7 +292,7 @@ def classify_scripts(spark, sf):
 FROM oq_classified""",
 )
 def validation_plan(spark, sf):
-    return corpus.scan_scripts(_corpus(spark, sf), cap=3000).select(
+    return corpus.scan_scripts(_corpus(spark, sf)).select(
         "script_id", scan.rewrite_check(F.col("tier"), F.col("side_effects"), "auto").alias("check")
     )
 

@@ -11,13 +11,13 @@ AS_OF = "1998-07-01 00:00:00"
 FIXTURES: dict[str, str] = {}
 
 FIXTURES["fx_runs"] = """
-SELECT CAST(o_custkey % 3 AS BIGINT) AS job_id, o_orderkey AS run_id,
+SELECT CAST(floor(o_custkey / 30) AS BIGINT) AS job_id, o_orderkey AS run_id,
        o_orderkey * 86400000 AS start_ms, o_orderkey % 997 = 0 AS is_active
 FROM orders
 """
 
 FIXTURES["fx_task_runs"] = """
-SELECT CAST(o_custkey % 3 AS BIGINT) AS job_id, o_orderkey AS run_id,
+SELECT CAST(floor(o_custkey / 30) AS BIGINT) AS job_id, o_orderkey AS run_id,
        'task_' || CAST(l_partkey % 40 AS STRING) AS task_key,
        CASE WHEN min(l_returnflag) = 'R' THEN 'FAILED' ELSE 'SUCCESS' END AS result_state,
        o_orderkey * 86400000 AS start_ms,
@@ -28,14 +28,14 @@ GROUP BY o_custkey, o_orderkey, l_partkey % 40
 """
 
 FIXTURES["fx_job_tasks"] = """
-SELECT DISTINCT CAST(s_suppkey % 3 AS BIGINT) AS job_id,
-       'task_' || CAST(s_suppkey % 40 AS STRING) AS task_key,
-       CASE WHEN s_suppkey % 40 % 13 = 12 THEN NULL
-            ELSE '/jobs/' || CAST(s_suppkey % 3 AS STRING) || '/task_' || CAST(s_suppkey % 40 AS STRING) END AS script_path,
-       CASE WHEN s_suppkey % 40 % 3 = 0 THEN 'jc_' || CAST(s_suppkey % 40 % 4 AS STRING) END AS job_cluster_key,
-       CASE WHEN s_suppkey % 40 % 3 = 1 THEN 'ec_' || CAST(s_suppkey % 40 % 7 AS STRING) END AS existing_cluster_id,
-       CASE WHEN s_suppkey % 40 % 5 <> 0 THEN 'task_' || CAST((s_suppkey % 40) - 1 AS STRING) END AS depends_on
-FROM supplier
+SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS job_id,
+       'task_' || CAST(p_partkey % 40 AS STRING) AS task_key,
+       CASE WHEN p_partkey % 40 % 13 = 12 THEN NULL
+            ELSE '/jobs/' || CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING) || '/task_' || CAST(p_partkey % 40 AS STRING) END AS script_path,
+       CASE WHEN p_partkey % 40 % 3 = 0 THEN 'jc_' || CAST(p_partkey % 40 % 4 AS STRING) END AS job_cluster_key,
+       CASE WHEN p_partkey % 40 % 3 = 1 THEN 'ec_' || CAST(p_partkey % 40 % 7 AS STRING) END AS existing_cluster_id,
+       CASE WHEN p_partkey % 40 % 5 <> 0 THEN 'task_' || CAST((p_partkey % 40) - 1 AS STRING) END AS depends_on
+FROM part
 """
 
 FIXTURES["fx_clusters"] = """
@@ -62,7 +62,7 @@ SELECT * FROM (VALUES
 
 FIXTURES["fx_scripts"] = """
 SELECT CAST(p_partkey AS BIGINT) AS script_id,
-  '/jobs/' || CAST(p_partkey % 3 AS STRING) || '/task_' || CAST(p_partkey AS STRING) AS path,
+  '/jobs/' || CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING) || '/task_' || CAST(p_partkey % 40 AS STRING) AS path,
   '# Notebook' || chr(10) || '# COMMAND ----------' || chr(10) || '# DBTITLE 1,Load ' || p_name || chr(10) ||
   CASE p_partkey % 8
     WHEN 0 THEN 'df = spark.read.table("wh.src_' || CAST(p_size AS STRING) || '")' || chr(10) || 'df.write.saveAsTable("wh.out_' || CAST(p_size AS STRING) || '")'
@@ -78,19 +78,22 @@ FROM part
 """
 
 FIXTURES["fx_edges"] = """
-SELECT 'v' || CAST(p_partkey AS STRING) AS dst, 'v' || CAST(p_partkey - 1 AS STRING) AS src
-FROM part WHERE p_partkey % 8 <> 0
+SELECT 'v' || CAST(p_partkey AS STRING) AS dst,
+       CASE WHEN p_partkey % 8 = 0 THEN 'root_' || CAST(p_size AS STRING) ELSE 'v' || CAST(p_partkey - 1 AS STRING) END AS src
+FROM part
 """
 
 FIXTURES["fx_sizes"] = """
 SELECT 'v' || CAST(p_partkey AS STRING) AS name,
-       CASE WHEN p_partkey % 48 = 0 THEN CAST(-1 AS BIGINT)
-            ELSE CAST(p_partkey * 1048576 AS BIGINT) END AS size_bytes
-FROM part WHERE p_partkey % 8 = 0
+       CASE WHEN p_partkey % 48 = 0 THEN CAST(-1 AS BIGINT) WHEN p_partkey % 40 = 3 THEN CAST(p_partkey AS BIGINT) * 1048576
+            ELSE CAST(p_size AS BIGINT) * 1048576 END AS size_bytes
+FROM part
+UNION ALL
+SELECT DISTINCT 'root_' || CAST(p_size AS STRING), CASE WHEN p_size % 3 = 0 THEN CAST(-1 AS BIGINT) ELSE CAST(p_size AS BIGINT) * 8388608 END FROM part
 """
 
 FIXTURES["fx_proposals"] = """
-SELECT 'p' || CAST(o_orderkey AS STRING) AS proposal_id, CAST(o_custkey % 3 AS BIGINT) AS job_id,
+SELECT 'p' || CAST(o_orderkey AS STRING) AS proposal_id, CAST(floor(o_custkey / 30) AS BIGINT) AS job_id,
        'task_' || CAST(o_orderkey % 40 AS STRING) AS task_key, o_orderdate AS created_ts,
        CAST((o_orderkey * 37) % 7200 AS DOUBLE) AS duration_original_s,
        CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE '/proposals/p' || CAST(o_orderkey AS STRING) END AS v2_path,
@@ -107,7 +110,7 @@ SELECT 'p' || CAST(o_orderkey AS STRING) AS proposal_id, o_orderdate + INTERVAL
        'user' || CAST(o_orderkey % 5 AS STRING) || '@example.com' AS applied_by,
        CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL '2' DAY END AS rollback_ts,
        CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate + INTERVAL '3' DAY END AS first_reported_ts
-FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'F' AND o_orderkey % 5 = 0)
+FROM orders WHERE o_orderstatus <> 'P'
 """
 
 FIXTURES["fx_decisions"] = """
@@ -115,11 +118,11 @@ SELECT 'p' || CAST(o_orderkey AS STRING) AS proposal_id,
        CASE o_orderkey % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'rollback' END AS action,
        'user' || CAST(o_orderkey % 5 AS STRING) || '@example.com' AS actor,
        o_orderdate + INTERVAL '5' DAY AS decided_ts, 'n' AS notes
-FROM orders WHERE o_orderkey % 2 = 0
+FROM orders
 """
 
 FIXTURES["fx_outcomes"] = """
-SELECT CAST(o_custkey % 3 AS BIGINT) AS job_id, o_orderkey AS rank_pos,
+SELECT CAST(floor(o_custkey / 30) AS BIGINT) AS job_id, o_orderkey AS rank_pos,
   CASE o_orderkey % 7 WHEN 0 THEN 'export_error' WHEN 1 THEN 'llm_error' WHEN 2 THEN 'no_changes'
     WHEN 3 THEN 'schema_mismatch' WHEN 4 THEN 'data_mismatch' WHEN 5 THEN 'passed' ELSE 'skipped' END AS outcome
 FROM orders
@@ -127,12 +130,18 @@ FROM orders
 
 FIXTURES["fx_responses"] = """
 SELECT o_orderkey AS response_id,
-  CASE o_orderkey % 6
+  CASE o_orderkey % 12
     WHEN 0 THEN '{"changes":[{"cell_id":"idx_1","new_code":"x = ' || CAST(o_orderkey AS STRING) || '"}]}'
     WHEN 1 THEN '```json' || chr(10) || '{"changes":[{"cell_id":"idx_99","new_code":"y = 1"}]}' || chr(10) || '```'
     WHEN 2 THEN 'Sure:' || chr(10) || '```json' || chr(10) || '{"changes":[]}' || chr(10) || '```' || chr(10) || 'Done.'
     WHEN 3 THEN 'Preamble {"optimized_code":"z = 1"} postamble'
     WHEN 4 THEN 'no json here'
+    WHEN 5 THEN '2 changes proposed:' || chr(10) || '```json' || chr(10) || '{"changes":[{"cell_id":"idx_1","new_code":"n = 2"}]}' || chr(10) || '```'
+    WHEN 6 THEN 'null: see below {"changes":[{"cell_id":"idx_1","new_code":"n = 3"},{"cell_id":"idx_1","new_code":"n = 4"}]}'
+    WHEN 7 THEN '"ok" here: {"optimized_code":"z = 2"}'
+    WHEN 8 THEN '{"changes":[{"cell_id":"idx_0","new_code":"t = 1"}]} and that is all of it'
+    WHEN 9 THEN '[{"changes":[]}]'
+    WHEN 10 THEN '12'
     ELSE '{"changes":[{"cell_id":"Load","new_code":"a = 1"},{"cell_id":"print(1)","new_code":"b = 2"}]}' END AS raw
 FROM orders
 """
@@ -242,4 +251,32 @@ UNION ALL
 SELECT 'l' || CAST(script_id AS STRING), path, source FROM fx_lineage_scripts
 UNION ALL
 SELECT 'd' || CAST(doc_id AS STRING), '/docs/' || CAST(doc_id AS STRING), text FROM documents
+UNION ALL
+SELECT 'p' || CAST(page_id AS STRING), url, html FROM pages
+"""
+
+# A listing of files, and tables that lie in its folders or nowhere.
+FIXTURES["fx_files"] = """
+SELECT '/data/' || source || '/' || lang || '+x/a%41 ' || CAST(doc_id AS STRING) || '.bin' AS path, n_chars AS length FROM documents
+UNION ALL
+SELECT '/wh/t' || CAST(p_size AS STRING) || '/jobs/wh/part-' || CAST(p_partkey AS STRING), CAST(p_partkey AS BIGINT) FROM part
+"""
+
+FIXTURES["fx_roots"] = """
+SELECT DISTINCT 'Docs.' || source AS name, '/data/' || source AS root FROM documents
+UNION ALL
+SELECT DISTINCT 'docs.' || source || '_' || lang, 'hdfs://host:8020/data/' || source || '/' || lang || '+x/' FROM documents
+UNION ALL
+SELECT 'wh.t' || CAST(p_size AS STRING) || '_' || CAST(p_partkey AS STRING),
+  CASE p_partkey % 3 WHEN 0 THEN '/wh/t' || CAST(p_size AS STRING) WHEN 1 THEN '/wh/t' || CAST(p_size AS STRING) || '/jobs/' ELSE '/wh/t' || CAST(p_partkey AS STRING) || 'x' END FROM part
+"""
+
+# All texts a batch of decisions may need: scripts, new scripts, and backups but
+# for a few that got lost.
+FIXTURES["fx_texts"] = """
+SELECT path, source FROM fx_scripts
+UNION ALL
+SELECT v2_path, 'new text of ' || proposal_id FROM fx_proposals WHERE v2_path IS NOT NULL
+UNION ALL
+SELECT 'b/' || proposal_id, 'old text of ' || proposal_id FROM fx_applied WHERE proposal_id NOT LIKE '%71'
 """

@@ -9,7 +9,7 @@ from checks.registry import PARTS, fx, query
 from checks.run_queries import _gains
 from pipewise.operators import acceptance, ledger, reporting
 from pipewise.plans.daily import positions
-from pipewise.sources.ledger_store import append_events, read_events
+from pipewise.sources.ledger_store import append, read
 from pipewise.sources.report_sink import write_report
 from pipewise.sources.scratch import new_path
 
@@ -18,9 +18,27 @@ SELECT proposal_id, status, event_ts AS status_updated_ts, actor AS status_updat
 FROM (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY event_ts DESC, seq DESC) AS rn FROM fx_events) WHERE rn = 1
 """
 PARTS["oq_hashes"] = "SELECT path, sha256(source) AS current_hash FROM fx_scripts"
+PARTS["oq_change_steps"] = """
+SELECT original_path, proposal_id, result, task_key, decided_ts, v2_path, CASE WHEN before = 'applied' THEN backup_path END AS backup_path,
+  row_number() OVER (PARTITION BY original_path ORDER BY decided_ts, action, actor, proposal_id) AS k,
+  count(*) OVER (PARTITION BY original_path) AS n
+FROM oq_decided WHERE result IN ('applied', 'rolled_back')
+"""
+# one change after the other: the path of the current text, and what approvals found
+PARTS["oq_replayed"] = """
+SELECT original_path, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, '' AS proposal_id, '' AS result, '' AS task_key, CAST(NULL AS TIMESTAMP) AS decided_ts,
+  original_path AS base, original_path AS now, CAST([] AS VARCHAR[]) AS known_ids, CAST([] AS VARCHAR[]) AS known_bases
+FROM (SELECT DISTINCT original_path FROM oq_change_steps)
+UNION ALL
+SELECT s.original_path, s.k, s.n, s.proposal_id, s.result, s.task_key, s.decided_ts, r.now,
+  CASE WHEN s.result = 'applied' THEN s.v2_path ELSE coalesce(r.known_bases[list_position(r.known_ids, s.proposal_id)], s.backup_path) END,
+  CASE WHEN s.result = 'applied' THEN list_append(r.known_ids, s.proposal_id) ELSE r.known_ids END,
+  CASE WHEN s.result = 'applied' THEN list_append(r.known_bases, r.now) ELSE r.known_bases END
+FROM oq_replayed r JOIN oq_change_steps s ON s.original_path = r.original_path AND s.k = r.k + 1
+"""
 PARTS["oq_asked"] = """
 SELECT d.*, s.task_key, s.original_path, s.v2_path, s.stored_hash, s.status AS before, s.notes AS old_notes, h.current_hash,
-  a.proposal_id IS NOT NULL AS was_applied, a.rollback_ts,
+  a.proposal_id IS NOT NULL AS was_applied, a.rollback_ts, 'b/' || a.proposal_id AS backup_path, b.path IS NOT NULL AS has_backup,
   row_number() OVER (PARTITION BY d.proposal_id ORDER BY d.decided_ts, d.action, d.actor) AS n,
   s.stored_hash <> '' AND s.stored_hash <> h.current_hash AS edited,
   (d.action = 'approve' AND s.status IN ('proposed', 'approved') AND s.v2_path IS NOT NULL AND h.current_hash IS NOT NULL)
@@ -28,6 +46,7 @@ SELECT d.*, s.task_key, s.original_path, s.v2_path, s.stored_hash, s.status AS b
 FROM fx_decision_log d LEFT JOIN fx_state s ON d.proposal_id = s.proposal_id
 LEFT JOIN oq_hashes h ON h.path = s.original_path
 LEFT JOIN (SELECT proposal_id, arg_max(rollback_ts, applied_ts) AS rollback_ts FROM fx_applied GROUP BY proposal_id) a ON a.proposal_id = d.proposal_id
+LEFT JOIN (SELECT path FROM fx_texts) b ON b.path = 'b/' || a.proposal_id
 """
 PARTS["oq_first_closing"] = """
 SELECT * FROM oq_asked WHERE closes AND n = (SELECT min(n) FROM oq_asked m WHERE m.proposal_id = oq_asked.proposal_id AND m.closes)
@@ -38,7 +57,7 @@ SELECT * FROM (
     SELECT original_path, decided_ts, action, actor, proposal_id FROM oq_first_closing WHERE action = 'approve' AND NOT coalesce(edited, FALSE)
     UNION ALL
     SELECT original_path, decided_ts, action, actor, proposal_id FROM oq_asked
-    WHERE action = 'rollback' AND before = 'applied' AND was_applied AND rollback_ts IS NULL))
+    WHERE action = 'rollback' AND before = 'applied' AND was_applied AND rollback_ts IS NULL AND has_backup))
 WHERE rn = 1
 """
 PARTS["oq_closed"] = """
@@ -48,12 +67,12 @@ SELECT c.*, CASE WHEN c.action = 'reject' THEN 'rejected'
 FROM oq_first_closing c LEFT JOIN oq_first_change f ON c.original_path = f.original_path
 """
 PARTS["oq_decided"] = """
-SELECT proposal_id, task_key, original_path, action, actor, decided_ts, notes, old_notes, v2_path, before, n, closed_n, undone_n, closed_as,
+SELECT proposal_id, task_key, original_path, action, actor, decided_ts, notes, CASE WHEN n > closed_n THEN closing_notes ELSE old_notes END AS old_notes, v2_path, backup_path, before, n, closed_n, undone_n, closed_as,
   CASE WHEN n = closed_n THEN closed_as WHEN n = undone_n THEN 'rolled_back' ELSE 'refused' END AS result,
   CASE WHEN n > undone_n THEN 'rejected' WHEN n > closed_n THEN closed_as ELSE before END AS status_then, was_applied, rollback_ts
 FROM (
-  SELECT a.*, c.n AS closed_n, c.closed_as, min(CASE WHEN a.action = 'rollback' AND ((c.closed_as = 'applied' AND a.n > c.n)
-      OR (a.before = 'applied' AND a.was_applied AND a.rollback_ts IS NULL)) THEN a.n END) OVER (PARTITION BY a.proposal_id) AS undone_n
+  SELECT a.*, c.n AS closed_n, c.closed_as, c.notes AS closing_notes, min(CASE WHEN a.action = 'rollback' AND ((c.closed_as = 'applied' AND a.n > c.n)
+      OR (a.before = 'applied' AND a.was_applied AND a.rollback_ts IS NULL AND a.has_backup)) THEN a.n END) OVER (PARTITION BY a.proposal_id) AS undone_n
   FROM oq_asked a LEFT JOIN oq_closed c ON a.proposal_id = c.proposal_id)
 """
 PARTS["oq_history"] = """
@@ -89,7 +108,7 @@ def _state(spark, sf):
 
 def _outcome(spark, sf):
     return ledger.apply_decisions(
-        fx(spark, sf, "fx_decision_log"), _state(spark, sf), fx(spark, sf, "fx_scripts"),
+        fx(spark, sf, "fx_decision_log"), _state(spark, sf), fx(spark, sf, "fx_texts"),
         fx(spark, sf, "fx_applied").withColumn("backup_path", F.concat(F.lit("b/"), "proposal_id")),
     )
 
@@ -103,6 +122,19 @@ def _reported(spark, sf):
     ).join(state, "proposal_id")
 
 
+def _proposal_rows(spark, sf):
+    rows = _reported(spark, sf).select(
+        "*", F.lit(1).cast("bigint").alias("run_id"), F.lit("").alias("tier_reason"),
+        F.array().cast("array<string>").alias("target_tables"),
+        F.array().cast("array<string>").alias("side_effects"),
+        F.col("analysis").alias("llm_analysis"), F.lit(1.5).alias("llm_duration_s"),
+        F.lit(None).cast("string").alias("validation_details"),
+        F.lit(None).cast("bigint").alias("validation_run_id"),
+        F.col("stored_hash").alias("original_source_hash"),
+    )
+    return ledger.proposal_rows(rows, AS_OF, "some-model")
+
+
 def _cards(spark, sf):
     reported = _reported(spark, sf)
     return reporting.proposal_cards(
@@ -124,11 +156,18 @@ def ledger_current(spark, sf):
 @query(
     "proposal_details",
     """SELECT s.proposal_id, created_ts, task_key, original_path, v2_path, duration_original_s, tier, validation_status,
+  'wh.t,wh.u' AS target_tables, CASE WHEN tier = 'yellow' THEN 'Email' ELSE '' END AS side_effects, analysis AS llm_analysis,
   c.status, c.status_updated_ts FROM fx_state s LEFT JOIN oq_current c ON s.proposal_id = c.proposal_id""",
 )
 def proposal_details(spark, sf):
-    return ledger.proposal_details(
-        _state(spark, sf), ledger.ledger_current(fx(spark, sf, "fx_events"))
+    effects = F.when(F.col("tier") == "yellow", F.array(F.lit("Email"))).otherwise(F.array())
+    state = _state(spark, sf).select(
+        "*", F.array(F.lit("wh.t"), F.lit("wh.u")).alias("target_tables"),
+        effects.alias("side_effects"), F.col("analysis").alias("llm_analysis"),
+    )
+    details = ledger.proposal_details(state, ledger.ledger_current(fx(spark, sf, "fx_events")))
+    return details.withColumns(
+        {c: F.array_join(c, ",") for c in ("target_tables", "side_effects")}
     )
 
 
@@ -139,22 +178,11 @@ UNION ALL
 SELECT proposal_id, TIMESTAMP '1998-07-01 00:00:00', 0, 'proposed', 'agent', NULL, DATE '1998-07-01' FROM oq_reported WHERE in_ledger""",
 )
 def ledger_append(spark, sf):
-    path = new_path(spark, "events")
-    append_events(fx(spark, sf, "fx_events"), path)
-    rows = ledger.proposal_rows(
-        _reported(spark, sf).select(
-            "*", F.lit(1).cast("bigint").alias("run_id"), F.lit("").alias("tier_reason"),
-            F.array().cast("array<string>").alias("target_tables"),
-            F.array().cast("array<string>").alias("side_effects"),
-            F.col("analysis").alias("llm_analysis"), F.lit(1.5).alias("llm_duration_s"),
-            F.lit(None).cast("string").alias("validation_details"),
-            F.lit(None).cast("bigint").alias("validation_run_id"),
-            F.col("stored_hash").alias("original_source_hash"),
-        ),
-        AS_OF, "some-model",
-    )
-    append_events(ledger.proposed_events(rows), path)
-    return read_events(spark, path)
+    place = new_path(spark, "ledger")
+    append(fx(spark, sf, "fx_events"), place, "events")
+    rows = _proposal_rows(spark, sf)
+    append(ledger.proposed_events(rows), place, "events")
+    return read(spark, place, "events").withColumnRenamed("month", "event_month")
 
 
 @query(
@@ -165,16 +193,7 @@ def ledger_append(spark, sf):
 FROM oq_reported WHERE in_ledger""",
 )
 def proposal_rows(spark, sf):
-    rows = _reported(spark, sf).select(
-        "*", F.lit(1).cast("bigint").alias("run_id"), F.lit("").alias("tier_reason"),
-        F.array().cast("array<string>").alias("target_tables"),
-        F.array().cast("array<string>").alias("side_effects"),
-        F.col("analysis").alias("llm_analysis"), F.lit(1.5).alias("llm_duration_s"),
-        F.lit(None).cast("string").alias("validation_details"),
-        F.lit(None).cast("bigint").alias("validation_run_id"),
-        F.col("stored_hash").alias("original_source_hash"),
-    )
-    return ledger.proposal_rows(rows, AS_OF, "some-model").select(
+    return _proposal_rows(spark, sf).select(
         "proposal_id", "created_ts", "task_key", "validation_status", "v2_path",
         "llm_duration_s", "status",
     )
@@ -185,11 +204,11 @@ def proposal_rows(spark, sf):
     "SELECT proposal_id, applied_ts, applied_by, rollback_ts, first_reported_ts FROM fx_applied",
 )
 def latest_applied(spark, sf):
-    applied = fx(spark, sf, "fx_applied")
+    applied = fx(spark, sf, "fx_applied").withColumn("backup_path", F.lit("b"))
     earlier = applied.withColumn("applied_ts", F.expr("applied_ts - INTERVAL '3' DAY")).withColumn(
         "applied_by", F.lit("earlier")
     )
-    return ledger.latest_applied(earlier.unionByName(applied))
+    return ledger.latest_applied(earlier.unionByName(applied)).drop("backup_path")
 
 
 @query(
@@ -227,7 +246,7 @@ def decision_guard(spark, sf):
     WHEN action = 'approve' AND v2_path IS NULL THEN 'there is no new script to apply'
     WHEN action = 'reject' AND status_then <> 'proposed' THEN 'current status is ''' || status_then || ''', cannot reject'
     WHEN action = 'rollback' AND status_then <> 'applied' THEN 'can only rollback a proposal with status=''applied'', current status: ''' || status_then || ''''
-    WHEN action = 'approve' THEN 'the script does not exist' WHEN NOT was_applied THEN 'no applied change found' ELSE 'already rolled back' END AS reason
+    WHEN action = 'approve' THEN 'the script does not exist' WHEN NOT was_applied THEN 'no applied change found' WHEN rollback_ts IS NOT NULL THEN 'already rolled back' ELSE 'the backup text is missing' END AS reason
 FROM oq_decided""",
 )
 def apply_decisions(spark, sf):
@@ -250,7 +269,7 @@ def decision_events(spark, sf):
 @query(
     "applied_rows",
     """SELECT decided_ts AS applied_ts, proposal_id, original_path AS script_path,
-  'backups/' || task_key || '_' || strftime(decided_ts, '%Y%m%d_%H%M%S') AS backup_path, actor AS applied_by
+  'backups/' || task_key || '_' || proposal_id || '_' || strftime(decided_ts, '%Y%m%d_%H%M%S') AS backup_path, actor AS applied_by
 FROM oq_decided WHERE result = 'applied'""",
 )
 def applied_rows(spark, sf):
@@ -261,29 +280,21 @@ def applied_rows(spark, sf):
 
 @query(
     "script_updates",
-    """SELECT path, source FROM (
-  SELECT original_path AS path, CASE result WHEN 'applied' THEN 'new text of ' ELSE 'old text of ' END || proposal_id AS source,
-    row_number() OVER (PARTITION BY original_path ORDER BY decided_ts DESC, proposal_id DESC) AS rn
-  FROM oq_decided WHERE result IN ('applied', 'rolled_back')) WHERE rn = 1""",
+    """WITH RECURSIVE ends AS (SELECT original_path, now FROM oq_replayed WHERE k = n AND k > 0)
+SELECT e.original_path AS path, t.source FROM ends e JOIN fx_texts t ON t.path = e.now""",
 )
 def script_updates(spark, sf):
-    state = _state(spark, sf)
-    texts = state.where(F.col("v2_path").isNotNull()).select(
-        F.col("v2_path").alias("path"), F.concat(F.lit("new text of "), "proposal_id").alias("source")
-    ).unionByName(
-        fx(spark, sf, "fx_applied").select(
-            F.concat(F.lit("b/"), "proposal_id").alias("path"),
-            F.concat(F.lit("old text of "), "proposal_id").alias("source"),
-        )
-    )
-    outcome = _outcome(spark, sf).withColumn(
-        "backup_path", F.coalesce("backup_path", F.concat(F.lit("b/"), "proposal_id"))
-    )
-    extra = outcome.where(F.col("result") == "rolled_back").select(
-        F.col("backup_path").alias("path"),
-        F.concat(F.lit("old text of "), "proposal_id").alias("source"),
-    )
-    return ledger.script_updates(outcome, texts.unionByName(extra).distinct())
+    return ledger.script_updates(_outcome(spark, sf), fx(spark, sf, "fx_texts"))
+
+
+@query(
+    "script_backups",
+    """WITH RECURSIVE found AS (SELECT * FROM oq_replayed WHERE result = 'applied')
+SELECT 'backups/' || f.task_key || '_' || f.proposal_id || '_' || strftime(f.decided_ts, '%Y%m%d_%H%M%S') AS path, t.source
+FROM found f JOIN fx_texts t ON t.path = f.base""",
+)
+def script_backups(spark, sf):
+    return ledger.script_backups(_outcome(spark, sf), fx(spark, sf, "fx_texts"))
 
 
 @query(
@@ -306,6 +317,37 @@ def mark_reported(spark, sf):
     return ledger.mark_reported(fx(spark, sf, "fx_applied"), _gains(spark, sf), AS_OF)
 
 
+@query(
+    "ledger_tables",
+    """SELECT 'applied_changes' AS "table", a.proposal_id, a.applied_ts AS at, CAST(date_trunc('month', a.applied_ts) AS DATE) AS month FROM fx_applied a
+UNION ALL
+SELECT 'rollbacks', proposal_id, decided_ts, CAST(date_trunc('month', decided_ts) AS DATE) FROM oq_decided WHERE result = 'rolled_back'
+UNION ALL
+SELECT 'proposals', proposal_id, TIMESTAMP '1998-07-01 00:00:00', DATE '1998-07-01' FROM oq_reported WHERE in_ledger""",
+)
+def ledger_tables(spark, sf):
+    place = new_path(spark, "ledger")
+    applied = fx(spark, sf, "fx_applied").select(
+        "*", F.lit("s").alias("script_path"), F.lit("b").alias("backup_path"),
+        F.lit(None).cast("string").alias("rollback_by"),
+    )
+    append(applied, place, "applied_changes")
+    append(ledger.rollback_rows(_outcome(spark, sf)), place, "rollbacks")
+    append(_proposal_rows(spark, sf), place, "proposals")
+
+    def told(table, time):
+        rows = read(spark, place, table)
+        return rows.select(
+            F.lit(table).alias("table"), "proposal_id", F.col(time).alias("at"), "month"
+        )
+
+    return (
+        told("applied_changes", "applied_ts")
+        .unionByName(told("rollbacks", "rollback_ts"))
+        .unionByName(told("proposals", "created_ts"))
+    )
+
+
 @query(
     "applied_state",
     f"""SELECT a.proposal_id, a.applied_ts, a.applied_by,
@@ -356,7 +398,7 @@ PARTS["oq_cards"] = f"""
 SELECT job_id, pos, concat_ws(chr(10),
   '*' || pos || '. `' || task_key || '`*  ' || CASE tier WHEN 'green' THEN '🟢' ELSE '🟡' END || ' '
     || CASE outcome WHEN 'passed' THEN '✅' WHEN 'skipped' THEN '⏭️' WHEN 'no_changes' THEN '💤' WHEN 'llm_error' THEN '💥' ELSE '🚫' END
-    || chr(10) || '*' || CAST(CAST(round(duration_original_s / 60, 1) AS DECIMAL(18,1)) AS VARCHAR) || ' min*' || CASE WHEN pos = 1 THEN '  ·  *3.0×*' ELSE '' END,
+    || chr(10) || '*' || CAST(CAST(round(duration_original_s / 60, 1) AS DECIMAL(18,1)) AS VARCHAR) || ' min*' || CASE WHEN pos = 1 AND outcome NOT IN ('no_changes', 'llm_error', 'export_error') THEN '  ·  *3.0×*' ELSE '' END,
   CASE WHEN outcome = 'no_changes' THEN '💤 _No changes — LLM found no worthwhile optimizations._'
     WHEN outcome = 'llm_error' THEN '_💥 Error: ' || substr(coalesce(analysis, 'see the proposals table'), 1, 180) || '_'
     WHEN outcome = 'export_error' THEN '_🚫 Error: ' || substr(coalesce(analysis, 'see the proposals table'), 1, 180) || '_'

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import PARTS, TABLES, fx, query, table
+from checks.registry import PARTS, fx, query, table
 from pipewise.operators import equivalence, lineage, sizes
 from pipewise.operators.equivalence import Pair
 from pipewise.plans.validation import data_checks, validate_tables
@@ -54,7 +54,7 @@ WHERE size_bytes >= 0
 PARTS["oq_vars"] = r"""
 SELECT script_id, var, path, arg_min(name, ord) AS size_name, arg_min(size_bytes, ord) AS size_bytes, arg_min(size_mb, ord) AS size_mb, arg_min(broadcast_safe, ord) AS broadcast_safe
 FROM (
-  SELECT e.script_id, e.dst AS var, e.src AS path, d.name, d.size_bytes, d.size_mb, d.broadcast_safe, d.source_type || ' ' || d.name AS ord
+  SELECT e.script_id, e.dst AS var, e.src AS path, d.name, d.size_bytes, d.size_mb, d.broadcast_safe, d.source_type || ' ' || CASE WHEN d.source_type = 'parquet' THEN regexp_extract(d.name, '^[^(]* \((.*)\)$', 1) ELSE d.name END AS ord
   FROM oq_edges e LEFT JOIN oq_direct d ON d.script_id = e.script_id
     AND (contains(d.name, e.src) OR contains(lower(d.name), lower(regexp_extract(e.src, '([^/]*)/*$', 1))))
   WHERE e.kind = 'parquet')
@@ -67,7 +67,7 @@ SELECT script_id, name, CAST(NULL AS VARCHAR) AS derived_from, 0 AS hops FROM (
   UNION SELECT script_id, var FROM oq_vars WHERE size_name IS NULL OR NOT broadcast_safe)
 UNION
 SELECT s.script_id, e.dst, e.src, s.hops + 1 FROM oq_spread s JOIN oq_edges e ON e.script_id = s.script_id AND e.src = s.name AND e.kind <> 'parquet'
-WHERE s.hops < 20
+WHERE s.hops < 1000
 """
 PARTS["oq_derived"] = r"""
 SELECT script_id, var AS name, size_bytes, size_mb, FALSE AS broadcast_safe, 'parquet_var' AS source_type, size_name AS derived_from FROM oq_vars WHERE NOT broadcast_safe
@@ -84,7 +84,7 @@ UNION ALL SELECT * FROM oq_derived
 """
 PARTS["oq_unsafe"] = f"""
 SELECT name, CAST(NULL AS VARCHAR) AS derived_from, 0 AS hops FROM fx_sizes WHERE size_bytes < 0 OR size_bytes >= {LIMIT}
-UNION SELECT e.dst, e.src, u.hops + 1 FROM oq_unsafe u JOIN fx_edges e ON e.src = u.name WHERE u.hops < 20
+UNION SELECT e.dst, e.src, u.hops + 1 FROM oq_unsafe u JOIN fx_edges e ON e.src = u.name WHERE u.hops < 1000
 """
 _CANDIDATES = {
     "cand_same": "SELECT * FROM lineitem",
@@ -153,15 +153,36 @@ def _pairs(spark, sf):
 # --- queries ----------------------------------------------------------------
 
 
-@query("dir_sizes")
+def _listing(spark, sf):
+    """Files as a listing names them, with their file system."""
+    return fx(spark, sf, "fx_files").select(
+        F.concat(F.lit("hdfs://host:8020"), "path").alias("path"), "length"
+    )
+
+
+PARTS["oq_levels"] = """
+SELECT length, path, array_to_string(list_slice(parts, 1, n), '/') AS dir FROM (
+  SELECT length, path, string_split(path, '/') AS parts, unnest(generate_series(1, len(string_split(path, '/')))) AS n FROM fx_files)
+"""
+
+
+@query(
+    "dir_sizes",
+    """SELECT r.root, coalesce(CAST(sum(l.length) AS BIGINT), -1) AS size_bytes
+FROM (SELECT DISTINCT root FROM fx_roots) r LEFT JOIN oq_levels l
+  ON l.dir = rtrim(replace(r.root, 'hdfs://host:8020', ''), '/') GROUP BY r.root""",
+)
 def dir_sizes(spark, sf):
-    roots = [sf, f"{sf}/lineitem.parquet", f"{sf}/missing"]
-    return files.dir_sizes(spark, roots)
+    return files.dir_sizes(_listing(spark, sf), fx(spark, sf, "fx_roots"))
 
 
-@query("table_sizes")
+@query(
+    "table_sizes",
+    """SELECT lower(r.name) AS name, coalesce(CAST(sum(l.length) AS BIGINT), -1) AS size_bytes
+FROM fx_roots r LEFT JOIN oq_levels l ON l.dir = rtrim(replace(r.root, 'hdfs://host:8020', ''), '/') GROUP BY r.name""",
+)
 def table_sizes(spark, sf):
-    return files.table_sizes(spark, {t: f"{sf}/{t}.parquet" for t in TABLES})
+    return files.table_sizes(_listing(spark, sf), fx(spark, sf, "fx_roots"))
 
 
 @query("lineage_edges", "SELECT script_id, kind, dst, src FROM oq_edges")

@@ -15,7 +15,6 @@ from pipewise.functions.fixed_values import (
     CELL_TITLE,
     LINE_END,
     PREVIEW_CHARS,
-    TRUNCATION_CAP,
     WORD_OVERLAP,
 )
 from pipewise.functions.text import is_blank, let, normalize, thousands, trim_all
@@ -79,7 +78,7 @@ def _skeleton(cell: Column) -> Column:
     )
 
 
-def truncate(source: Column, max_chars: int = TRUNCATION_CAP) -> Column:
+def truncate(source: Column, max_chars: int) -> Column:
     """Keep the last cells whole as far as they fit, the others as skeletons.
 
     Text that fits is left alone. The skeletons of all cells, and a marker for

@@ -7,9 +7,6 @@ everywhere else by name.
 
 # --- limits -----------------------------------------------------------------
 BROADCAST_LIMIT_MB = 200
-LISTING_CAP = 5_000
-SCRIPT_CHAR_CAP = 200_000
-TRUNCATION_CAP = 160_000
 HISTORY_DEPTH = 5
 GAIN_THRESHOLD_PCT = 3.0
 PHOTON_MULTIPLIER = 1.5

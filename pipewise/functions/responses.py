@@ -30,12 +30,21 @@ def json_texts(raw: Column) -> list[Column]:
 
 
 def parsed_response(raw: Column) -> Column:
-    """``struct(method, is_object, doc)`` of the first reading that is JSON; NULL
-    if none is. Readings after it are not tried."""
+    """``struct(method, is_object, doc)`` of the first reading that is JSON as a
+    whole; NULL if none is. Readings after it are not tried."""
+
+    def whole(text: Column) -> Column:
+        # The parser stops after the first value. With more text behind it, the
+        # value is no single element of a list, or no single field of an object.
+        listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+        field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+        return let(
+            listed, lambda found: F.when(field.isNotNull(), F.try_variant_get(found, "$[0]", "variant"))
+        )
 
     def parse(method: int, text: Column) -> Column:
         # Failing to parse is the dear case, so what cannot be JSON is not tried.
-        doc = F.when(text.rlike(r'^[\[{"\-0-9tfn]'), F.try_parse_json(text))
+        doc = F.when(text.rlike(r'^[\[{"\-0-9tfn]'), whole(text))
         return let(
             doc,
             lambda d: F.when(

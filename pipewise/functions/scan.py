@@ -13,7 +13,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pipewise.functions.fixed_values import (
-    SCRIPT_CHAR_CAP,
     SIDE_EFFECTS,
 )
 from pipewise.functions.text import let, thousands
@@ -66,10 +65,15 @@ def self_reference(targets: Column, reads: Column) -> Column:
     )
 
 
+def _too_large(n_chars: Column, cap: int | None) -> Column:
+    return F.lit(False) if cap is None else n_chars > cap
+
+
 def tier(n_chars: Column, effects: Column, targets: Column, own: Column,
-         cap: int = SCRIPT_CHAR_CAP) -> Column:
+         cap: int | None = None) -> Column:
+    """``cap``: characters above which a script is never green; none by default."""
     safe = (
-        (n_chars <= cap)
+        ~_too_large(n_chars, cap)
         & (F.size(effects) == 0)
         & (F.size(targets) > 0)
         & (F.size(own) == 0)
@@ -78,14 +82,14 @@ def tier(n_chars: Column, effects: Column, targets: Column, own: Column,
 
 
 def tier_reason(n_chars: Column, effects: Column, targets: Column, own: Column,
-                cap: int = SCRIPT_CHAR_CAP) -> Column:
+                cap: int | None = None) -> Column:
     """Why a script has its tier; the first rule that holds speaks."""
     return (
         F.when(
-            n_chars > cap,
+            _too_large(n_chars, cap),
             F.concat(
                 F.lit("notebook too large ("), thousands(n_chars),
-                F.lit(" chars > "), thousands(F.lit(cap)),
+                F.lit(" chars > "), thousands(F.lit(cap or 0)),
                 F.lit("). Generates proposal without automatic validation."),
             ),
         )

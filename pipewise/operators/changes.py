@@ -13,7 +13,6 @@ from pipewise.functions import cells, responses
 from pipewise.functions.fixed_values import (
     NO_SIZE_CONTEXT_TEXT,
     NO_TARGETS_TEXT,
-    TRUNCATION_CAP,
 )
 from pipewise.functions.text import normalize, places
 
@@ -39,7 +38,7 @@ def cell_index(scripts: DataFrame) -> DataFrame:
     return scripts.select("script_id", cells.cell_index(F.col("source")).alias("cell_index"))
 
 
-def truncate_scripts(scripts: DataFrame, max_chars: int = TRUNCATION_CAP) -> DataFrame:
+def truncate_scripts(scripts: DataFrame, max_chars: int) -> DataFrame:
     return scripts.select(
         "script_id", cells.truncate(F.col("source"), max_chars).alias("source")
     )
@@ -124,8 +123,9 @@ def rebuild_scripts(chosen: DataFrame, scripts: DataFrame) -> DataFrame:
 
 
 def prompt_rows(scripts: DataFrame, template: str = TEMPLATE,
-                max_chars: int = TRUNCATION_CAP) -> DataFrame:
-    """The template filled for each script; the script's text goes in last.
+                max_chars: int | None = None) -> DataFrame:
+    """The template filled for each script; the script's text goes in last, whole
+    unless the caller names a limit.
 
     ``scripts`` has script_id, path, source, duration_s, target_tables,
     size_context and rejected_history.
@@ -144,7 +144,10 @@ def prompt_rows(scripts: DataFrame, template: str = TEMPLATE,
         ),
         ("cell_index", cells.cell_index(F.col("source"))),
         ("rejected_history", F.coalesce("rejected_history", F.lit(""))),
-        ("source", cells.truncate(F.col("source"), max_chars)),
+        (
+            "source",
+            F.col("source") if max_chars is None else cells.truncate(F.col("source"), max_chars),
+        ),
     ]:
         filled = F.replace(filled, F.lit("{" + slot + "}"), value)
     return scripts.select("script_id", filled.alias("prompt"))

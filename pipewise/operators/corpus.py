@@ -12,7 +12,6 @@ from pipewise.functions import scan, text
 from pipewise.functions.fixed_values import (
     READ_PATH_PATTERNS,
     READ_PATTERNS,
-    SCRIPT_CHAR_CAP,
     STRICT_READ_PATTERNS,
     TARGET_PATTERNS,
 )
@@ -39,7 +38,7 @@ def _prepared(scripts: DataFrame, strip, words: set[str]) -> DataFrame:
     )
 
 
-def scan_scripts(scripts: DataFrame, cap: int = SCRIPT_CHAR_CAP,
+def scan_scripts(scripts: DataFrame, cap: int | None = None,
                  extra_targets: list[tuple[str, str]] | None = None) -> DataFrame:
     """Targets, reads, side effects, tier and reason of every script.
 

@@ -49,12 +49,15 @@ def proposal_details(proposals: DataFrame, current: DataFrame) -> DataFrame:
     stated = proposals.drop("status", "status_updated_ts").join(
         current.select("proposal_id", "status", "status_updated_ts"), "proposal_id", "left"
     )
-    return stated.select(*[c for c in DETAIL_COLUMNS if c in stated.columns])
+    return stated.select(*DETAIL_COLUMNS)
 
 
 def latest_applied(applied: DataFrame) -> DataFrame:
-    """The newest applied change of each proposal."""
-    return first_row(applied, ["proposal_id"], [("applied_ts", "desc")])
+    """The newest applied change of each proposal; of two at one time the one
+    whose backup path is smaller."""
+    return first_row(
+        applied, ["proposal_id"], [("applied_ts", "desc"), ("backup_path", "asc")]
+    )
 
 
 def stale_proposals(state: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -130,18 +133,27 @@ def apply_decisions(decisions: DataFrame, state: DataFrame, scripts: DataFrame,
     ledger and the scripts are scanned once.
     """
     moment = F.struct("decided_ts", "action", "actor")
-    hashes = scripts.select(
-        F.col("path").alias("original_path"), F.sha2("source", 256).alias("current_hash")
-    )
-    last = latest_applied(applied).select(
+    named = decisions.select("proposal_id").distinct()
+    last = latest_applied(applied.join(named, "proposal_id", "left_semi")).select(
         "proposal_id", F.lit(True).alias("was_applied"), "rollback_ts", "backup_path"
     )
     known = (
         state.select("proposal_id", "task_key", "original_path", "v2_path", "stored_hash",
                      F.col("status").alias("before"), F.col("notes").alias("old_notes"))
+        .join(named, "proposal_id", "left_semi")
         .join(last, "proposal_id", "left")
-        .join(hashes, "original_path", "left")
     )
+    known = materialize(known, "decisions-known")
+    # from the decisions outward: only scripts they are about are hashed
+    wanted = known.select(F.col("original_path").alias("path")).distinct()
+    hashes = scripts.join(wanted, "path", "left_semi").select(
+        F.col("path").alias("original_path"), F.sha2("source", 256).alias("current_hash")
+    )
+    kept = known.select(F.col("backup_path").alias("path")).distinct()
+    backups = scripts.select("path").join(kept, "path", "left_semi").select(
+        F.col("path").alias("backup_path"), F.lit(True).alias("has_backup")
+    )
+    known = known.join(hashes, "original_path", "left").join(backups, "backup_path", "left")
     asked = materialize(
         decisions.join(known, "proposal_id", "left").withColumn("at", moment), "decisions-asked"
     )
@@ -153,15 +165,16 @@ def apply_decisions(decisions: DataFrame, state: DataFrame, scripts: DataFrame,
     rejectable = (F.col("action") == "reject") & (F.col("before") == "proposed")
     closing = asked.where(approvable | rejectable).groupBy("proposal_id").agg(
         F.min(
-            F.struct("at", "original_path", "stored_hash", "current_hash")
+            F.struct("at", "original_path", "stored_hash", "current_hash", "notes")
         ).alias("c")
     ).select("proposal_id", F.col("c.at").alias("closed_at"), "c.original_path",
-             "c.stored_hash", "c.current_hash")
+             "c.stored_hash", "c.current_hash", F.col("c.notes").alias("closing_notes"))
     fresh = ~F.coalesce(
         cost.is_stale(F.col("stored_hash"), F.col("current_hash")), F.lit(False)
     )
     applied_before = (
         (F.col("before") == "applied") & F.col("was_applied") & F.col("rollback_ts").isNull()
+        & F.col("has_backup")
     )
     rolls_back = F.col("action") == "rollback"
     restored = asked.where(rolls_back & applied_before).groupBy("original_path", "proposal_id").agg(
@@ -178,7 +191,7 @@ def apply_decisions(decisions: DataFrame, state: DataFrame, scripts: DataFrame,
     guarded = F.coalesce(F.col("stored_hash"), F.lit("")) != ""
     later = F.struct("closed_at", "proposal_id") > F.col("first")
     closed = closing.join(first_on_script, "original_path", "left").select(
-        "proposal_id", "closed_at",
+        "proposal_id", "closed_at", "closing_notes",
         F.when(F.col("closed_at.action") == "reject", "rejected")
         .when(~fresh | (guarded & F.coalesce(later, F.lit(False))), "stale")
         .otherwise("applied").alias("closed_as"),
@@ -200,16 +213,22 @@ def apply_decisions(decisions: DataFrame, state: DataFrame, scripts: DataFrame,
         _refusal(F.col("action"), status_then, F.col("v2_path")),
         F.when((F.col("action") == "approve"), "the script does not exist"),
         F.when(F.col("was_applied").isNull(), "no applied change found"),
-        F.lit("already rolled back"),
+        F.when(F.col("rollback_ts").isNotNull(), "already rolled back"),
+        F.lit("the backup text is missing"),
     )
     result = (
         F.when(F.col("at") == F.col("closed_at"), F.col("closed_as"))
         .when(F.col("at") == F.col("undone_at"), "rolled_back")
         .otherwise("refused")
     )
+    # an approval earlier in the batch has already replaced the note
+    notes_then = F.when(F.col("at") > F.col("closed_at"), F.col("closing_notes")).otherwise(
+        F.col("old_notes")
+    )
     return judged.withColumn("result", result).select(
-        "proposal_id", "task_key", "original_path", "v2_path", "backup_path",
-        "action", "actor", "decided_ts", "notes", "old_notes", "result",
+        "proposal_id", "task_key", "original_path", "v2_path",
+        F.when(F.col("before") == "applied", F.col("backup_path")).alias("backup_path"),
+        "action", "actor", "decided_ts", "notes", notes_then.alias("old_notes"), "result",
         F.when(F.col("result") == "refused", refusal).otherwise("").alias("reason"),
     )
 
@@ -230,13 +249,21 @@ def decision_events(outcome: DataFrame) -> DataFrame:
     )
 
 
+def backup_place(backup_dir: str) -> Column:
+    """Where the text goes that an approval replaces: a path per proposal and time."""
+    stamp = F.date_format("decided_ts", "yyyyMMdd_HHmmss")
+    return F.concat(
+        F.lit(f"{backup_dir}/"), F.col("task_key"), F.lit("_"), F.col("proposal_id"), F.lit("_"),
+        stamp,
+    )
+
+
 def applied_rows(outcome: DataFrame, backup_dir: str = "backups") -> DataFrame:
     """A row for every change that went in, with the place of its backup."""
-    stamp = F.date_format("decided_ts", "yyyyMMdd_HHmmss")
     return outcome.where(F.col("result") == "applied").select(
         F.col("decided_ts").alias("applied_ts"), "proposal_id",
         F.col("original_path").alias("script_path"),
-        F.concat(F.lit(f"{backup_dir}/"), F.col("task_key"), F.lit("_"), stamp).alias("backup_path"),
+        backup_place(backup_dir).alias("backup_path"),
         F.col("actor").alias("applied_by"),
         F.lit(None).cast("timestamp_ntz").alias("rollback_ts"),
         F.lit(None).cast("string").alias("rollback_by"),
@@ -276,24 +303,66 @@ def applied_state(applied: DataFrame, rollbacks: DataFrame, reported: DataFrame)
     )
 
 
+def script_changes(outcome: DataFrame) -> DataFrame:
+    """(original_path, proposal_id, result, base, now, last, decided_ts, task_key):
+    the changes of a batch, script by script.
+
+    ``base`` and ``now`` are the paths of the text that a change finds and that
+    it leaves: its new script, the backup of an earlier batch, or for a change
+    undone within the batch what its approval found. The changes of one script
+    in one batch come as an array and are gone through in order of time.
+    """
+    changed = outcome.where(F.col("result").isin("applied", "rolled_back"))
+    step = F.struct(
+        "decided_ts", "action", "actor", "proposal_id", "result", "v2_path", "backup_path",
+        "task_key",
+    )
+    told = changed.groupBy("original_path").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    change = "struct<proposal_id:string,result:string,base:string,now:string,decided_ts:timestamp_ntz,task_key:string>"
+
+    def after(state: Column, s: Column) -> Column:
+        own = F.get(
+            F.filter(state["done"], lambda d: (d["proposal_id"] == s["proposal_id"])
+                     & (d["result"] == "applied")), 0
+        )
+        now = F.when(s["result"] == "applied", s["v2_path"]).otherwise(
+            F.coalesce(own["base"], s["backup_path"])
+        )
+        row = F.struct(
+            s["proposal_id"], s["result"], state["text"], now, s["decided_ts"], s["task_key"]
+        ).cast(change)
+        return F.struct(now.alias("text"), F.concat(state["done"], F.array(row)).alias("done"))
+
+    start = F.struct(
+        F.col("original_path").alias("text"), F.array().cast(f"array<{change}>").alias("done")
+    )
+    done = F.aggregate("steps", start, after, lambda state: state["done"])
+    rows = told.select("original_path", F.size("steps").alias("n"), F.posexplode(done).alias("k", "c"))
+    return rows.select("original_path", "c.*", (F.col("k") == F.col("n") - 1).alias("last"))
+
+
 def script_updates(outcome: DataFrame, scripts: DataFrame) -> DataFrame:
     """New text of each script that changed; its last change in the batch wins.
 
     ``scripts`` holds all texts by path: current ones, new ones and backups.
     """
-    changed = outcome.where(F.col("result").isin("applied", "rolled_back")).select(
-        "original_path", "decided_ts", "proposal_id",
-        F.when(F.col("result") == "applied", F.col("v2_path"))
-        .otherwise(F.col("backup_path")).alias("path"),
-    )
-    newest = first_row(
-        changed, ["original_path"], [("decided_ts", "desc"), ("proposal_id", "desc")]
-    )
+    newest = script_changes(outcome).where("last").select("original_path", F.col("now").alias("path"))
     return newest.join(scripts.select("path", "source"), "path").select(
         F.col("original_path").alias("path"), "source"
     )
 
 
+def script_backups(outcome: DataFrame, scripts: DataFrame,
+                   backup_dir: str = "backups") -> DataFrame:
+    """(path, source) of the text that each approval replaces, under its backup path."""
+    replaced = script_changes(outcome).where(F.col("result") == "applied").select(
+        F.col("base").alias("path"), backup_place(backup_dir).alias("backup_path")
+    )
+    return replaced.join(scripts.select("path", "source"), "path").select(
+        F.col("backup_path").alias("path"), "source"
+    )
+
+
 def mark_reported(applied: DataFrame, gains: DataFrame, reported_ts: str | dt.datetime,
                   sent: bool = True) -> DataFrame:
     """Events for the gains that were shown, if the report went out."""

@@ -86,7 +86,7 @@ def lookup_names(key: Column) -> Column:
 
 
 def unsafe_closure(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None,
-                   max_hops: int | None = None, written: bool = False) -> DataFrame:
+                   written: bool = False) -> DataFrame:
     """Everything that is derived, directly or not, from an unsafe input.
 
     ``edges`` has the keys, dst and src; ``seeds`` has the keys and name. Gives
@@ -109,7 +109,7 @@ def unsafe_closure(edges: DataFrame, seeds: DataFrame, keys: list[str] | None =
     )
     frontier = materialize(first, "unsafe-0")
     seen, hop = [frontier], 0
-    while max_hops is None or hop < max_hops:
+    while True:
         hop += 1
         known = reduce(DataFrame.unionByName, [r.select(*node) for r in seen])
         reached = (

@@ -117,9 +117,9 @@ def scored_tasks(durations: DataFrame, paths: DataFrame, weights: DataFrame) ->
     )
 
 
-def rank_by_cost(scored: DataFrame, **sizes) -> DataFrame:
+def rank_by_cost(scored: DataFrame) -> DataFrame:
     """All tasks of each job, dearest first. Eager, see ``rank_in_group``."""
-    return rank_in_group(scored, ["job_id"], BY_SCORE, **sizes)
+    return rank_in_group(scored, ["job_id"], BY_SCORE)
 
 
 def rank_labels(scored: DataFrame) -> DataFrame:

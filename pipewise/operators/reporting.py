@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipewise.functions import report, responses
@@ -47,6 +47,23 @@ def gain_lines(gains: DataFrame) -> DataFrame:
     return gains.select("job_id", "task_key", line.alias("line"))
 
 
+def counted_weight() -> Column:
+    """The cost weight a report shows: errors and unchanged scripts have none (1)."""
+    plain = F.col("outcome").isin("export_error", "llm_error", "no_changes")
+    return F.when(plain, 1.0).otherwise(F.coalesce("cost_weight", F.lit(1.0)))
+
+
+def report_labels(jobs: DataFrame, reported: DataFrame) -> DataFrame:
+    """(job_id, rank_label) for every job: do weights count among what is reported?"""
+    weighted = reported.groupBy("job_id").agg(
+        F.bool_or(counted_weight() != 1.0).alias("weighted")
+    )
+    return jobs.select("job_id").distinct().join(weighted, "job_id", "left").select(
+        "job_id",
+        report.rank_label(F.coalesce("weighted", F.lit(False))).alias("rank_label"),
+    )
+
+
 def proposal_cards(reported: DataFrame) -> DataFrame:
     """One card per reported candidate.
 
@@ -60,7 +77,7 @@ def proposal_cards(reported: DataFrame) -> DataFrame:
         "\n",
         report.card_heading(
             F.col("pos"), F.col("task_key"), F.col("tier"), status,
-            F.col("duration_s") / 60.0, F.col("cost_weight"),
+            F.col("duration_s") / 60.0, counted_weight(),
         ),
         F.concat(F.lit("_"), responses.summary_of(F.col("analysis")), F.lit("_")),
         report.card_body(status, F.col("error"), changes),

@@ -24,7 +24,8 @@ def latest_runs(runs: DataFrame, n: int = RUNS_TO_AVERAGE,
     if run_id is not None:
         return runs.where(F.col("run_id") == run_id).withColumn("run_pos", F.lit(1))
     active = first_row(runs.where("is_active"), ["job_id"], NEWEST_RUN)
-    pool = runs.where("NOT is_active").unionByName(active)
+    # a run whose flag is not known counts as completed
+    pool = runs.where("NOT coalesce(is_active, false)").unionByName(active)
     return top_k(pool, ["job_id"], NEWEST_RUN, n, rank="run_pos")
 
 

@@ -25,6 +25,12 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
 
 
+def _reference() -> Column:
+    """The table or path behind a size record's name."""
+    path = F.regexp_extract("name", r"^[^(]* \((.*)\)$", 1)
+    return F.when((F.col("source_type") == "parquet") & (path != ""), path).otherwise(F.col("name"))
+
+
 def direct_sizes(scripts: DataFrame, table_sizes: DataFrame, path_sizes: DataFrame,
                  limit_mb: float = BROADCAST_LIMIT_MB) -> DataFrame:
     """Tables and parquet paths each script reads, where their size is known.
@@ -66,14 +72,17 @@ def parquet_var_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """The size record each parquet variable goes back to; NULLs if there is none.
 
     A record fits if the whole path is inside its name, or the last part of the
-    path is inside its lower-case name; tables come before parquet paths, then
-    by name. The records of a script come as one array, bounded by what the
+    path is inside its lower-case name; tables come before parquet paths, tables
+    by name and paths by path. The records of a script come as one array, bounded by what the
     script itself reads, so no pairs are formed.
     """
     records = sizes.groupBy("script_id").agg(
         F.array_sort(
             F.collect_list(
-                F.struct("source_type", "name", "size_bytes", "size_mb", "broadcast_safe")
+                F.struct(
+                    "source_type", _reference().alias("ref"), "name", "size_bytes", "size_mb",
+                    "broadcast_safe",
+                )
             )
         ).alias("records")
     )

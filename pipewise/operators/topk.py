@@ -16,28 +16,27 @@ def _columns(order: Order) -> list[Column]:
 
 
 def top_k(df: DataFrame, keys: list[str], order: Order, k: int,
-          rank: str = "rank", salts: int = 64, plain_k: int = 64) -> DataFrame:
+          rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group, numbered from 1.
 
-    Spark cuts every group to ``k`` rows in each input partition before the
-    shuffle, so a hot group costs its task k rows per map task. For a small
-    ``k`` that is little. For a larger one the groups are first cut within
-    salts of their rows' order key, so that the work of a hot group is shared
-    and its last task sees at most ``salts * k`` rows.
+    Groups are first cut to ``k`` rows within each input partition, a group of
+    its own per partition, so a hot group is spread over as many tasks as it
+    has partitions of input; only then are the rest brought together. The last
+    task of a group sees at most ``k`` rows per input partition. The plan is
+    the same for every ``k``; up to Spark's limit the first cut already
+    happens before its shuffle.
     """
     if k <= 0:
         return df.withColumn(rank, F.lit(1)).where(F.lit(False))
-    if k > plain_k:
-        salt = F.pmod(F.xxhash64(*[c for c, _ in order]), F.lit(salts))
-        within = Window.partitionBy(*keys, "_salt").orderBy(*_columns(order))
-        df = (
-            df.withColumn("_salt", salt)
-            .withColumn("_first", F.row_number().over(within))
-            .where(F.col("_first") <= k)
-            .drop("_salt", "_first")
-        )
+    within = Window.partitionBy(*keys, "_input").orderBy(*_columns(order))
+    cut = (
+        df.withColumn("_input", F.spark_partition_id())
+        .withColumn("_first", F.row_number().over(within))
+        .where(F.col("_first") <= k)
+        .drop("_input", "_first")
+    )
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*_columns(order)))
-    return df.withColumn(rank, number).where(F.col(rank) <= k)
+    return cut.withColumn(rank, number).where(F.col(rank) <= k)
 
 
 def first_row(df: DataFrame, keys: list[str], order: Order) -> DataFrame:
@@ -46,27 +45,20 @@ def first_row(df: DataFrame, keys: list[str], order: Order) -> DataFrame:
 
 
 def rank_in_group(df: DataFrame, keys: list[str], order: Order, rank: str = "rank",
-                  one_task_rows: int = 1_000_000, parts: int | None = None) -> DataFrame:
+                  parts: int | None = None) -> DataFrame:
     """Number all rows of each group from 1, whatever the size of a group.
 
-    Eager: writes ``df`` once. If all of it is at most ``one_task_rows`` rows, no
-    group can be larger, and a window does. Otherwise the rows are range
-    partitioned by group and order, written, numbered within their partition,
-    and moved up by the number of rows of the same group in earlier
-    partitions. A partition continues at most one group from the partition
-    before it, so there are at most as many offsets as partitions, and they
-    are broadcast.
+    Eager: the rows are range partitioned by group and order and written once,
+    numbered within their partition, and moved up by the number of rows of the
+    same group in earlier partitions. A partition continues at most one group
+    from the partition before it, so there are at most as many offsets as
+    partitions; written, their size is known to Catalyst.
     """
-    stored = materialize(df, "to-rank")
-    if stored.count() <= one_task_rows:
-        window = Window.partitionBy(*keys).orderBy(*_columns(order))
-        return stored.withColumn(rank, F.row_number().over(window))
-
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = [F.col(k) for k in keys] + _columns(order)
     ranged = materialize(
-        stored.repartitionByRange(parts, *spread).withColumn("_part", F.spark_partition_id()),
+        df.repartitionByRange(parts, *spread).withColumn("_part", F.spark_partition_id()),
         "ranged",
     )
     earlier = (
@@ -79,8 +71,10 @@ def rank_in_group(df: DataFrame, keys: list[str], order: Order, rank: str = "ran
         .where(F.col("_before") > 0)
         .drop("_rows")
     )
+    offsets = materialize(offsets, "offsets")
     local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*_columns(order)))
-    joined = ranged.join(F.broadcast(offsets), on=[*keys, "_part"], how="left")
+    numbered = ranged.withColumn("_local", local)
+    joined = numbered.join(offsets, on=[*keys, "_part"], how="left")
     return joined.withColumn(
-        rank, (local + F.coalesce(F.col("_before"), F.lit(0))).cast("int")
-    ).drop("_part", "_before")
+        rank, (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).cast("int")
+    ).drop("_part", "_before", "_local")

@@ -127,7 +127,10 @@ def rewrites_of(found: Candidates, responses: DataFrame, mode: str = "on") -> Da
     candidate whose script is missing is an export error, one without a usable
     response a failed call, one whose text stays the same no change.
     """
-    chosen = changes.choose_rewrite(changes.parse_responses(responses))
+    # used twice below: written, so that each response is parsed once
+    chosen = materialize(
+        changes.choose_rewrite(changes.parse_responses(responses)), "chosen-rewrites"
+    )
     rebuilt = changes.rebuild_scripts(chosen, found.candidates.select(
         "script_id", "source").where(F.col("source").isNotNull()).dropDuplicates(["script_id"]))
     answered = responses.select("response_id", "job_id", "task_key").join(
@@ -138,11 +141,12 @@ def rewrites_of(found: Candidates, responses: DataFrame, mode: str = "on") -> Da
         .when(~F.coalesce("parsed", F.lit(False)), "llm_error")
         .when(F.col("no_change"), "no_changes")
     )
-    return (
+    rewritten = (
         found.candidates.join(answered, ["job_id", "task_key"], "left")
         .withColumn("outcome", outcome)
         .withColumn("check", scan.rewrite_check(F.col("tier"), F.col("side_effects"), mode))
     )
+    return materialize(rewritten, "rewrites")
 
 
 def settle(found: Candidates, rewrites: DataFrame, checked: DataFrame, day: Day, model: str,
@@ -157,7 +161,10 @@ def settle(found: Candidates, rewrites: DataFrame, checked: DataFrame, day: Day,
     ).withColumn(
         "outcome", F.coalesce("outcome", "validation_status", F.lit("skipped"))
     ).withColumn("rank_pos", F.col("rank"))
-    reported = materialize(acceptance.accept_candidates(named, day.top_n), "reported")
+    # the report needs no text
+    reported = materialize(
+        acceptance.accept_candidates(named, day.top_n).drop("source", "rewrite"), "reported"
+    )
     primary = found.chosen_runs.where(F.col("run_pos") == 1).select("job_id", "run_id")
     stamp = F.regexp_replace(F.lit(day.as_of[:10]), "-", "")
     has_v2 = F.col("accepted")
@@ -174,7 +181,11 @@ def settle(found: Candidates, rewrites: DataFrame, checked: DataFrame, day: Day,
             F.sha2(F.concat_ws("\x1f", "job_id", "task_key", F.lit(day.as_of)), 256),
         ).alias("proposal_id"),
         F.when(
-            has_v2, F.concat(F.lit(f"{v2_dir}/"), F.col("task_key"), F.lit("_v2_"), stamp)
+            has_v2,
+            F.concat(
+                F.lit(f"{v2_dir}/"), F.col("job_id").cast("string"), F.lit("/"), F.col("task_key"),
+                F.lit("_v2_"), stamp,
+            ),
         ).alias("v2_path"),
         F.col("script_path").alias("original_path"),
         F.col("avg_s").alias("duration_original_s"),
@@ -190,7 +201,8 @@ def settle(found: Candidates, rewrites: DataFrame, checked: DataFrame, day: Day,
     placed = rows.join(positions(reported), ["job_id", "rank_pos"])
     report = reporting.report_rows(
         reporting.report_header(
-            found.chosen_runs, ranking.rank_labels(found.ranked), day.top_n, day.as_of
+            found.chosen_runs, reporting.report_labels(found.chosen_runs, reported), day.top_n,
+            day.as_of,
         ),
         reporting.gain_lines(found.gains),
         reporting.proposal_cards(placed),

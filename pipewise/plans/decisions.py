@@ -12,13 +12,14 @@ from pipewise.sources.scratch import materialize
 
 @dataclass(frozen=True)
 class Decided:
-    """What a batch of decisions leads to."""
+    """What a batch of decisions leads to. ``backups`` are written before ``scripts``."""
 
     outcome: DataFrame
     events: DataFrame
     applied: DataFrame
     rollbacks: DataFrame
     scripts: DataFrame
+    backups: DataFrame
     audit: DataFrame
 
 
@@ -37,5 +38,6 @@ def decide(decisions: DataFrame, events: DataFrame, proposals: DataFrame, script
         applied=ledger.applied_rows(outcome),
         rollbacks=ledger.rollback_rows(outcome),
         scripts=ledger.script_updates(outcome, scripts),
+        backups=ledger.script_backups(outcome, scripts),
         audit=reporting.result_lines(outcome),
     )

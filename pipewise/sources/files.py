@@ -2,94 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipewise.functions.fixed_values import LISTING_CAP
+UNKNOWN = -1
+_PLACE = r"^([A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?(.*)$"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark._jsc.hadoopConfiguration()
-    try:
-        return bool(hadoop_path.getFileSystem(conf).exists(hadoop_path))
-    except Exception:
-        return False
+def _place(path: Column) -> tuple[Column, Column]:
+    """File system (scheme and authority, empty if not named) and path within it.
+    ``file:///x`` and ``file:/x`` are the same place."""
+    system = F.regexp_replace(F.lower(F.regexp_extract(path, _PLACE, 1)), "//$", "")
+    inside = F.regexp_replace(F.regexp_extract(path, _PLACE, 2), "/+", "/")
+    return system, F.regexp_replace(inside, "(?<=.)/$", "")
 
 
-def dir_sizes(spark: SparkSession, roots: list[str], cap: int | None = LISTING_CAP) -> DataFrame:
-    """Bytes below each root; -1 if it is missing or has more than ``cap`` entries.
+def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(path, length) of every file below the roots that exist; names as they are.
 
-    Files and directories both count as entries. Only file metadata is read
-    (``content`` is pruned away). Every file is counted for each of its parent
-    directories, so roots are found by an equi join and may lie in one another.
+    Only file metadata is read. Many roots are listed by Spark's own parallel
+    listing; if some are missing, each is tried by itself.
     """
-    wanted = spark.createDataFrame([(r, r.rstrip("/")) for r in roots], "root string, dir string")
-    present = [r for r in roots if _exists(spark, r)]
-    unknown = F.lit(-1).cast("bigint")
+    def listed(paths: list[str]) -> DataFrame:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        return reader.load(paths).select("path", "length")
+
+    def found(path: str) -> bool:
+        try:
+            listed([path])
+        except AnalysisException:
+            return False
+        return True
+
+    try:
+        return listed(roots).distinct()
+    except AnalysisException:
+        present = [r for r in roots if found(r)]
     if not present:
-        return wanted.select("root", unknown.alias("size_bytes"))
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    files = reader.load(present).select(
-        F.regexp_replace(F.url_decode("path"), "^[a-z0-9]+:/+", "/").alias("file"), "length"
-    ).distinct()
+        return spark.createDataFrame([], "path string, length bigint")
+    return listed(present).distinct()
+
+
+def dir_sizes(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, size_bytes): bytes of the files below each root, or -1.
+
+    ``files`` has path and length, one row per file; ``roots`` has root. A root
+    may be a file, lie in another, and name its file system or not; one that no
+    file lies below is of unknown size. Every file is counted for each of its
+    parent directories, so roots are found by an equi join.
+    """
+    system, inside = _place(F.col("path"))
+    placed = files.select(system.alias("system"), inside.alias("file"), "length")
     parts = F.split("file", "/")
-    # every parent directory, and the file itself for roots that are files
     above = F.transform(
         F.sequence(F.lit(1), F.size(parts)),
         lambda n: F.array_join(F.slice(parts, 1, n), "/"),
     )
-    level = (
-        files.select("length", "file", F.explode(above).alias("dir"))
-        .join(wanted.withColumn("dir", F.regexp_replace("dir", "^[a-z0-9]+:/+", "/")), "dir")
-    )
-    inside = F.size(F.split("file", "/")) - F.size(F.split("dir", "/"))
-    folders = F.transform(
-        F.sequence(F.lit(1), F.greatest(inside, F.lit(1))),
-        lambda n: F.when(n < inside, F.array_join(
-            F.slice(F.split("file", "/"), 1, F.size(F.split("dir", "/")) + n), "/")),
+    level = placed.select("system", "length", F.explode(above).alias("dir"))
+    level = level.select(
+        "length",
+        F.explode(F.array_distinct(F.array("system", F.lit("")))).alias("system"),
+        F.when(F.col("dir") == "", "/").otherwise(F.col("dir")).alias("dir"),
     )
-    entries = level.select("root", F.explode(folders).alias("folder")).where(
-        F.col("folder").isNotNull()
-    ).distinct().groupBy("root").agg(F.count(F.lit(1)).alias("n_dirs"))
-    totals = level.groupBy("root").agg(
-        F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("n_files")
+    system, inside = _place(F.col("root"))
+    wanted = roots.select("root").distinct().select(
+        "root", system.alias("system"), inside.alias("dir")
     )
-    n = F.col("n_files") + F.coalesce("n_dirs", F.lit(0))
-    size = F.coalesce("bytes", F.lit(0).cast("bigint"))
-    if cap is not None:
-        size = F.when(F.coalesce(n, F.lit(0)) > cap, unknown).otherwise(size)
-    known = spark.createDataFrame([(r, r in set(present)) for r in roots], "root string, found boolean")
-    return (
-        known.join(totals, "root", "left").join(entries, "root", "left")
-        .select("root", F.when(F.col("found"), size).otherwise(unknown).alias("size_bytes"))
+    totals = level.join(wanted.select("system", "dir").distinct(), ["system", "dir"]).groupBy(
+        "system", "dir"
+    ).agg(F.sum("length").alias("bytes"))
+    return wanted.join(totals, ["system", "dir"], "left").select(
+        "root", F.coalesce("bytes", F.lit(UNKNOWN).cast("bigint")).alias("size_bytes")
     )
 
 
-def table_sizes(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
-    """Size on disk of named tables, given their locations."""
-    names = spark.createDataFrame(sorted(tables.items()), "name string, root string")
-    return names.join(dir_sizes(spark, sorted(set(tables.values())), cap=None), "root").select(
-        F.lower("name").alias("name"), "size_bytes"
-    )
+def table_sizes(files: DataFrame, tables: DataFrame) -> DataFrame:
+    """(name, size_bytes): size on disk of named tables (name, root); the name in
+    lower case."""
+    sizes = dir_sizes(files, tables)
+    return tables.join(sizes, "root").select(F.lower("name").alias("name"), "size_bytes")
 
 
-def table_location(spark: SparkSession, name: str) -> str | None:
-    """Where a catalog table lies; None if it cannot be resolved."""
-    try:
-        described = spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:name)", args={"name": name})
-        row = described.where(F.col("col_name") == "Location").select("data_type").first()
-    except Exception:
-        return None
-    return row[0] if row else None
-
-
-def catalog_table_sizes(spark: SparkSession, names: list[str]) -> DataFrame:
-    """Size of catalog tables; -1 where a name cannot be resolved."""
-    found = {n: table_location(spark, n) for n in names}
-    rows = [(n.lower(), n) for n in names if found[n] is None]
-    lost = spark.createDataFrame(rows, "name string, was string").select(
-        "name", F.lit(-1).cast("bigint").alias("size_bytes")
-    )
-    located = {n: place for n, place in found.items() if place}
-    return table_sizes(spark, located).unionByName(lost) if located else lost
+def path_sizes(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """``dir_sizes`` of paths, listed now."""
+    asked = spark.createDataFrame([(r,) for r in roots], "root string")
+    return dir_sizes(list_files(spark, roots), asked)

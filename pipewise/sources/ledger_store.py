@@ -5,56 +5,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENTS = (
-    "proposal_id STRING, event_ts TIMESTAMP_NTZ, seq INT, status STRING, actor STRING, "
-    "notes STRING, event_month DATE"
-)
-PROPOSALS = (
-    "proposal_id STRING, created_ts TIMESTAMP_NTZ, run_id BIGINT, task_key STRING, "
-    "original_path STRING, v2_path STRING, duration_original_s DOUBLE, tier STRING, "
-    "tier_reason STRING, target_tables ARRAY<STRING>, side_effects ARRAY<STRING>, "
-    "llm_model STRING, llm_analysis STRING, llm_duration_s DOUBLE, validation_status STRING, "
-    "validation_details STRING, validation_run_id BIGINT, original_source_hash STRING, "
-    "job_id BIGINT, status STRING, status_updated_ts TIMESTAMP_NTZ, status_updated_by STRING, "
-    "notes STRING"
-)
-APPLIED = (
-    "applied_ts TIMESTAMP_NTZ, proposal_id STRING, script_path STRING, backup_path STRING, "
-    "applied_by STRING, rollback_ts TIMESTAMP_NTZ, rollback_by STRING, "
-    "first_reported_ts TIMESTAMP_NTZ"
-)
-
-
-def create_ledger(spark: SparkSession, schema: str, location: str | None = None) -> None:
-    """Create the ledger's tables where they do not exist."""
-    at = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}{at}")
-    for name, columns, partition in [
-        ("events", EVENTS, "PARTITIONED BY (event_month)"),
-        ("proposals", PROPOSALS, "PARTITIONED BY (status)"),
-        ("applied_changes", APPLIED, ""),
-    ]:
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {schema}.{name} ({columns}) USING parquet {partition}"
+TABLES = {
+    "events": (
+        "proposal_id STRING, event_ts TIMESTAMP_NTZ, seq INT, status STRING, actor STRING, "
+        "notes STRING",
+        "event_ts",
+    ),
+    "proposals": (
+        "proposal_id STRING, created_ts TIMESTAMP_NTZ, run_id BIGINT, task_key STRING, "
+        "original_path STRING, v2_path STRING, duration_original_s DOUBLE, tier STRING, "
+        "tier_reason STRING, target_tables ARRAY<STRING>, side_effects ARRAY<STRING>, "
+        "llm_model STRING, llm_analysis STRING, llm_duration_s DOUBLE, validation_status STRING, "
+        "validation_details STRING, validation_run_id BIGINT, original_source_hash STRING, "
+        "job_id BIGINT, status STRING, status_updated_ts TIMESTAMP_NTZ, "
+        "status_updated_by STRING, notes STRING",
+        "created_ts",
+    ),
+    "applied_changes": (
+        "applied_ts TIMESTAMP_NTZ, proposal_id STRING, script_path STRING, backup_path STRING, "
+        "applied_by STRING, rollback_ts TIMESTAMP_NTZ, rollback_by STRING, "
+        "first_reported_ts TIMESTAMP_NTZ",
+        "applied_ts",
+    ),
+    "rollbacks": (
+        "proposal_id STRING, rollback_ts TIMESTAMP_NTZ, rollback_by STRING",
+        "rollback_ts",
+    ),
+    "reported": (
+        "proposal_id STRING, applied_ts TIMESTAMP_NTZ, first_reported_ts TIMESTAMP_NTZ",
+        "first_reported_ts",
+    ),
+}
+"""Columns of each table, and the time whose month parts it into folders."""
+
+
+def create_ledger(spark: SparkSession, place: str) -> None:
+    """The ledger's tables below ``place``, empty where they do not exist."""
+    for name, (columns, _) in TABLES.items():
+        spark.createDataFrame([], f"{columns}, month DATE").write.mode("ignore").parquet(
+            f"{place}/{name}"
         )
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Append to the event log, a folder per month.
+def append(rows: DataFrame, place: str, table: str) -> None:
+    """Append to a table of the ledger, a folder per month.
 
     The rows of a month are brought together first, so that a batch writes a
     few files per month and not one per task; adaptive execution splits a month
     that holds most of the rows.
     """
-    month = F.trunc("event_ts", "month")
-    dated = events.withColumn("event_month", month)
-    dated.hint("rebalance", "event_month").write.mode("append").partitionBy("event_month").parquet(
-        path
+    columns, time = TABLES[table]
+    names = [c.split()[0] for c in columns.split(", ")]
+    dated = rows.select(*names, F.trunc(time, "month").alias("month"))
+    dated.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(
+        f"{place}/{table}"
     )
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENTS).parquet(path)
+def read(spark: SparkSession, place: str, table: str) -> DataFrame:
+    return spark.read.schema(f"{TABLES[table][0]}, month DATE").parquet(f"{place}/{table}")
 
 
 def write_clustered(df: DataFrame, path: str, by: list[str], files: int) -> None:

@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 def read_scripts(spark: SparkSession, root: str) -> DataFrame:
     """One row per file under ``root``: its path below the root, and its text.
 
-    Small files share partitions, as many as fit in
-    ``spark.sql.files.maxPartitionBytes``.
+    The path is what follows the root's own path where the file's path begins
+    with it. File URIs have percent signs for special characters; only these
+    are decoded, a plus sign stays. Small files share partitions, as many as
+    fit in ``spark.sql.files.maxPartitionBytes``.
     """
     base = root.rstrip("/")
+    inside_base = base.split(":", 1)[-1] if "://" not in base else "/" + base.split("://", 1)[1].partition("/")[2]
     files = spark.read.option("recursiveFileLookup", True).text(base, wholetext=True)
-    inside = F.split_part(F.url_decode(F.col("_metadata.file_path")), F.lit(base), F.lit(2))
-    return files.select(inside.alias("path"), F.col("value").alias("source"))
+    uri = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    path = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    clean = "/" + inside_base.strip("/")
+    return files.select(
+        F.substring(path, F.lit(len(clean) + 1), F.length(path)).alias("path"),
+        F.col("value").alias("source"),
+    )

@@ -39,6 +39,10 @@ def world(seed, n=60, paths=12):
         state.append((f"p{i}", f"t{i}", path, v2, stored, status, None, "green", "passed"))
         if status == "applied" and rng.random() < 0.8:
             applied.append((f"p{i}", T0, f"/b/{i}", T0 if rng.random() < 0.3 else None))
+            if rng.random() < 0.9:
+                texts[f"/b/{i}"] = f"backup {i}"
+        if v2:
+            texts[v2] = f"new {i}"
         for _ in range(rng.randrange(5)):
             decisions.append(
                 (f"p{i}", rng.choice(["approve", "approve", "reject", "rollback", "x"]), "u",
@@ -49,13 +53,15 @@ def world(seed, n=60, paths=12):
 
 
 def one_by_one(texts, state, applied, decisions):
-    """The decisions carried out in order of time."""
+    """The decisions carried out in order of time, texts and notes included."""
+    texts, saved, notes = dict(texts), {}, {s[0]: s[6] for s in state}
+    found = {a[0]: a[2] for a in applied}
     rows = {s[0]: s for s in state}
     status = {s[0]: s[5] for s in state}
-    undoable = {a[0]: a[3] is None for a in applied}
+    undoable = {a[0]: a[3] is None and a[2] in texts for a in applied}
     changed = set()
     out = []
-    for pid, action, _, _, _ in decisions:
+    for pid, action, _, at, note in decisions:
         result = "refused"
         if pid in rows:
             _, _, path, v2, stored, *_ = rows[pid]
@@ -67,19 +73,30 @@ def one_by_one(texts, state, applied, decisions):
                 if result == "applied":
                     changed.add(path)
                     undoable[pid] = True
+                    found[pid] = f"backups/{rows[pid][1]}_{pid}_{at:%Y%m%d_%H%M%S}"
+                    texts[found[pid]] = saved[found[pid]] = texts[path]
+                    texts[path] = texts[v2]
+                    notes[pid] = note
+                else:
+                    notes[pid] = (notes[pid] or "") + "[STALE: notebook manually edited after proposal]"
             elif action == "reject" and now == "proposed":
                 result = status[pid] = "rejected"
+                notes[pid] = note
             elif action == "rollback" and now == "applied" and undoable.get(pid):
                 result, status[pid] = "rolled_back", "rejected"
                 changed.add(path)
+                texts[path] = texts[found[pid]]
+                notes[pid] = (notes[pid] or "") + "\n[ROLLBACK] "
         out.append(result)
-    return out, status
+    scripts = {rows[p][2]: texts[rows[p][2]] for p, r in zip([d[0] for d in decisions], out)
+               if r in ("applied", "rolled_back")}
+    return out, status, notes, scripts, saved
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_batch_equals_one_by_one(spark, seed):
     texts, state, applied, decisions = world(seed)
-    want, final = one_by_one(texts, state, applied, decisions)
+    want, final, notes, changed, saved = one_by_one(texts, state, applied, decisions)
     scripts = spark.createDataFrame(sorted(texts.items()), "path string, source string")
     state_df = spark.createDataFrame(state, STATE)
     got = ledger.apply_decisions(
@@ -100,6 +117,12 @@ def test_batch_equals_one_by_one(spark, seed):
                   spark.createDataFrame(applied, APPLIED))
     current = ledger.ledger_current(first.unionByName(made.events)).collect()
     assert {r.proposal_id: r.status for r in current} == final
+    touched = {d[0] for d, w in zip(decisions, want) if w != "refused"}
+    assert {r.proposal_id: r.notes for r in current if r.proposal_id in touched} == {
+        p: notes[p] for p in touched
+    }
+    assert {r.path: r.source for r in made.scripts.collect()} == changed
+    assert {r.path: r.source for r in made.backups.collect()} == saved
     assert made.applied.count() == sum(w == "applied" for w in want)
     assert {r.action for r in made.audit.select(F.lit("x").alias("action")).collect()} <= {"x"}
 
@@ -145,22 +168,23 @@ def test_history_is_bounded_and_skips_bad_json(spark):
 
 
 def test_event_log_is_appended_by_month(spark):
-    path = new_path(spark, "events")
+    place = new_path(spark, "ledger")
     for day in (1, 40):
         rows = [("p", T0 + dt.timedelta(days=day), 0, "proposed", "a", None)]
-        ledger_store.append_events(
+        ledger_store.append(
             spark.createDataFrame(
                 rows, "proposal_id string, event_ts timestamp_ntz, seq int, status string, "
                 "actor string, notes string",
             ),
-            path,
+            place,
+            "events",
         )
-    back = ledger_store.read_events(spark, path)
+    back = ledger_store.read(spark, place, "events")
     assert back.count() == 2
-    february = back.where("event_month = DATE '1998-02-01'")
+    february = back.where("month = DATE '1998-02-01'")
     assert february.count() == 1
     plan = february._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(event_month" in plan
+    assert "PartitionFilters: [isnotnull(month" in plan
 
 
 def test_clustered_copy_and_empty_copy(spark):

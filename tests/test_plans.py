@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+from checks import registry
 from checks.fixtures import AS_OF
 from checks.registry import fx
 from pipewise.operators import corpus, ledger, lineage, runs
@@ -80,7 +80,9 @@ def test_a_day_from_runs_to_report(spark, day):
     assert len(rows) == sum(r.in_ledger for r in reported)
     assert {r.status for r in rows} == {"proposed"}
     assert all((r.v2_path is None) == (r.validation_status == "llm_error") for r in rows)
-    assert done.proposals.columns == [c.split()[0] for c in ledger_store.PROPOSALS.split(", ")]
+    assert done.proposals.columns == [
+        c.split()[0] for c in ledger_store.TABLES["proposals"][0].split(", ")
+    ]
 
     gains = found.gains.collect()
     assert {r.proposal_id for r in done.shown_gains.collect()} == {g.proposal_id for g in gains}
@@ -88,8 +90,10 @@ def test_a_day_from_runs_to_report(spark, day):
     report_sink.write_report(done.report, path, "text")
     assert spark.read.text(path).count() > 0
     events = new_path(spark, "events")
-    ledger_store.append_events(done.events, events)
-    state = ledger.ledger_current(ledger_store.read_events(spark, events)).collect()
+    ledger_store.append(done.events, events, "events")
+    ledger_store.append(done.proposals, events, "proposals")
+    state = ledger.ledger_current(ledger_store.read(spark, events, "events")).collect()
+    assert ledger_store.read(spark, events, "proposals").count() == len(rows)
     assert {s.proposal_id for s in state} == {r.proposal_id for r in rows}
 
 
@@ -122,15 +126,18 @@ def test_scans_do_not_shuffle_and_read_only_text(spark, sf):
 
 def test_groups_are_cut_before_the_shuffle(spark, sf):
     df = fx(spark, sf, "fx_runs")
-    for n, shuffles in ((2, 1), (200, 2)):
+    for n in (5, 1500):
         plan = plan_of(top_k(df, ["job_id"], runs.NEWEST_RUN, n))
-        assert len(re.findall(rf"WindowGroupLimit.*, {n}, Partial", plan)) == shuffles
-        assert plan.count("Exchange hashpartitioning") == shuffles
+        # cut within input partitions first, then between them
+        assert plan.count("Exchange hashpartitioning") == 2
+        assert "hashpartitioning(job_id" in plan and "_input" in plan
+        limits = len(re.findall(rf"WindowGroupLimit.*, {n}, Partial", plan))
+        assert limits == (2 if n <= 1000 else 0)
 
 
 def test_no_python_in_any_plan(spark, sf):
     eager = {"script_corpus"}
-    for name, fn in entry.queries().items():
+    for name, fn in registry.QUERIES.items():
         if name not in eager:
             plan = plan_of(fn(spark, sf))
             assert "Python" not in plan and "CartesianProduct" not in plan, name

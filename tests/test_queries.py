@@ -3,9 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import registry
 from checks.compare import difference
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLES = {name: registry.oracle_sql(name) for name in registry.ORACLES}
 
 
 def test_entry_gives_rows(spark):

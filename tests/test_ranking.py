@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pipewise.operators import ranking, runs
@@ -78,8 +79,9 @@ def skewed(spark, n=3000):
 def test_rank_over_many_tasks_equals_rank_in_one(spark):
     df = skewed(spark)
     order = [("score", "desc"), ("task_key", "asc")]
-    plain = rank_in_group(df, ["job_id"], order)
-    spread = rank_in_group(df, ["job_id"], order, one_task_rows=10, parts=7)
+    window = Window.partitionBy("job_id").orderBy(F.desc("score"), "task_key")
+    plain = df.withColumn("rank", F.row_number().over(window))
+    spread = rank_in_group(df, ["job_id"], order, parts=7)
     assert sorted(plain.collect()) == sorted(spread.select(plain.columns).collect())
     hot = spread.where("job_id = 0").agg(F.count("*"), F.max("rank"), F.countDistinct("rank")).first()
     assert hot[0] == hot[1] == hot[2] > 1000
@@ -88,8 +90,11 @@ def test_rank_over_many_tasks_equals_rank_in_one(spark):
 def test_salted_top_k_equals_plain(spark):
     df = skewed(spark)
     order = [("score", "desc"), ("task_key", "asc")]
-    want = sorted(top_k(df, ["job_id"], order, 50).collect())
-    assert sorted(top_k(df, ["job_id"], order, 50, plain_k=10).collect()) == want
+    window = Window.partitionBy("job_id").orderBy(F.desc("score"), "task_key")
+    ranked = df.withColumn("rank", F.row_number().over(window))
+    for k in (1, 50, 1500):
+        want = sorted(ranked.where(F.col("rank") <= k).collect())
+        assert sorted(top_k(df.repartition(5), ["job_id"], order, k).collect()) == want
     assert top_k(df, ["job_id"], order, 0).count() == 0
 
 

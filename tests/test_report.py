@@ -1,9 +1,10 @@
+import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
 from pipewise.functions import report
 from pipewise.operators import reporting
-from pipewise.sources import files, ledger_store
+from pipewise.sources import ledger_store
 from pipewise.sources.scratch import new_path
 
 STATUSES = "tier string, status string, run bigint, m array<string>, a array<string>, c array<string>"
@@ -74,17 +75,15 @@ def test_header(spark):
 
 def test_ledger_tables(spark):
     place = new_path(spark, "ledger")
-    ledger_store.create_ledger(spark, "pipewise_test", place)
-    ledger_store.create_ledger(spark, "pipewise_test", place)
-    assert spark.table("pipewise_test.proposals").count() == 0
-    assert len(spark.table("pipewise_test.proposals").columns) == 23
-    assert "first_reported_ts" in spark.table("pipewise_test.applied_changes").columns
-    spark.sql(
-        "INSERT INTO pipewise_test.applied_changes (proposal_id, applied_by) VALUES ('p', 'u')"
+    ledger_store.create_ledger(spark, place)
+    assert ledger_store.read(spark, place, "proposals").count() == 0
+    assert len(ledger_store.read(spark, place, "proposals").columns) == 24
+    rows = spark.createDataFrame(
+        [("p", "u", dt.datetime(1998, 2, 3))],
+        "proposal_id string, rollback_by string, rollback_ts timestamp_ntz",
     )
-    sizes = files.catalog_table_sizes(spark, ["pipewise_test.applied_changes", "pipewise_test.none"])
-    got = {r.name: r.size_bytes for r in sizes.collect()}
-    assert got["pipewise_test.none"] == -1 and got["pipewise_test.applied_changes"] > 0
-    names = [f"pipewise_test.{t}" for t in ("events", "proposals", "applied_changes")]
-    ledger_store.drop_scratch(spark, names)
-    spark.sql("DROP SCHEMA pipewise_test")
+    ledger_store.append(rows, place, "rollbacks")
+    ledger_store.create_ledger(spark, place)
+    assert [r.month for r in ledger_store.read(spark, place, "rollbacks").collect()] == [
+        dt.date(1998, 2, 1)
+    ]
