@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 _EXACT = float(1 << 53)
 """Below this every whole number is a double of its own."""
+_LARGE = 1e26
+"""Below this 10**12 doubles add up within a decimal."""
 
 
 @dataclass(frozen=True)
@@ -130,20 +132,22 @@ def _column_sums(field: T.StructField, i: int, digits: int) -> list[str]:
     return [
         *_sliced_sums(whole, 54, name),
         f"sum({fraction}) AS {name}_fraction",
-        f"sum(CASE WHEN NOT {fits} THEN {x} END) AS {name}_rough",
+        f"sum(CASE WHEN NOT {fits} AND abs({x}) < {_LARGE}D THEN CAST({x} AS DECIMAL(38,0)) END) AS {name}_large",
+        f"sum(CASE WHEN NOT {fits} AND NOT abs({x}) < {_LARGE}D THEN {x} END) AS {name}_rough",
     ]
 
 
 def _column_record(field: T.StructField, i: int, digits: int) -> str:
-    """``struct(i, exact, rough)``: the sum of column i is their total.
+    """``struct(i, exact, large, rough)``: the sum of column i is their total.
 
-    ``exact`` is a decimal as text and does not depend on the order of
-    addition. Doubles of 2**53 and more, infinities and NaN are added as
-    doubles in ``rough``. Each is NULL when there is nothing to add.
+    ``exact`` and ``large`` (doubles from 2**53, which are whole) are decimals
+    as text and do not depend on the order of addition. Doubles from 1e26,
+    infinities and NaN are added as doubles in ``rough``. Each is NULL when
+    there is nothing to add.
     """
     name, kind = f"c{i}", field.dataType
     wide = f"DECIMAL(38,{digits})"
-    rough = "CAST(NULL AS DOUBLE)"
+    large, rough = "CAST(NULL AS STRING)", "CAST(NULL AS DOUBLE)"
     if isinstance(kind, T.IntegralType):
         exact = f"CAST(CAST({_whole_sum(_BITS[type(kind)], name)} AS {wide}) AS STRING)"
     elif isinstance(kind, T.DecimalType):
@@ -155,8 +159,8 @@ def _column_record(field: T.StructField, i: int, digits: int) -> str:
         fraction = f"CAST({name}_fraction AS DECIMAL(20,0)) * {unit}"
         whole = f"CAST({_whole_sum(54, name)} AS {wide})"
         exact = f"CAST(CAST({whole} + {fraction} AS {wide}) AS STRING)"
-        rough = f"{name}_rough"
-    return f"named_struct('i', {i}, 'exact', {exact}, 'rough', {rough})"
+        large, rough = f"CAST({name}_large AS STRING)", f"{name}_rough"
+    return f"named_struct('i', {i}, 'exact', {exact}, 'large', {large}, 'rough', {rough})"
 
 
 def table_profile(df: DataFrame, columns: list[str] | None = None,
@@ -171,7 +175,7 @@ def table_profile(df: DataFrame, columns: list[str] | None = None,
     sums = [s for i, f in enumerate(fields) for s in _column_sums(f, i, digits)]
     rows = (
         f"named_struct('i', -1, 'exact', CAST(CAST(n_rows AS DECIMAL(38,{digits})) AS STRING), "
-        "'rough', CAST(NULL AS DOUBLE))"
+        "'large', CAST(NULL AS STRING), 'rough', CAST(NULL AS DOUBLE))"
     )
     records = [rows] + [_column_record(f, i, digits) for i, f in enumerate(fields)]
     names = F.array(*[F.lit(f.name) for f in fields])
@@ -179,9 +183,11 @@ def table_profile(df: DataFrame, columns: list[str] | None = None,
     return sums_row.selectExpr(f"inline(array({', '.join(records)}))").select(
         F.when(F.col("i") >= 0, F.get(names, F.col("i"))).alias("column"),
         "exact",
+        "large",
         "rough",
         F.expr(
-            "coalesce(CAST(exact AS DOUBLE) + rough, CAST(exact AS DOUBLE), rough)"
+            "CASE WHEN coalesce(exact, large, CAST(rough AS STRING)) IS NOT NULL THEN "
+            "coalesce(CAST(exact AS DOUBLE), 0D) + coalesce(CAST(large AS DOUBLE), 0D) + coalesce(rough, 0D) END"
         ).alias("total"),
     )
 
@@ -191,7 +197,8 @@ def table_diff(reference: DataFrame, candidate: DataFrame, rel_tol: float = 0.0,
     """Row counts and sums of the common numeric columns, side by side.
 
     Two NULL sums match and so do two NaN; otherwise sums must be equal, or
-    within ``rel_tol`` of each other for floating-point columns.
+    within ``rel_tol`` of each other for floating-point columns. At 0 doubles
+    are held against each other at ``digits`` decimals, whatever their size.
     """
     theirs = set(numeric_columns(candidate))
     common = [c for c in numeric_columns(reference) if c in theirs]
@@ -204,18 +211,13 @@ def table_diff(reference: DataFrame, candidate: DataFrame, rel_tol: float = 0.0,
     def side(df: DataFrame, prefix: str) -> DataFrame:
         return table_profile(df, common, digits).select(
             F.coalesce("column", F.lit("")).alias("column"),
-            *[F.col(c).alias(f"{prefix}_{c}") for c in ("exact", "rough", "total")],
+            *[F.col(c).alias(f"{prefix}_{c}") for c in ("exact", "large", "rough", "total")],
         )
 
     both = side(reference, "ref").join(side(candidate, "cand"), "column")
-    # Values added as doubles: their order of addition may show.
-    rough_tol = max(rel_tol, 1e-9)
-    rough_same = F.col("ref_rough").eqNullSafe(F.col("cand_rough")) | F.coalesce(
-        F.abs(F.col("ref_rough") - F.col("cand_rough"))
-        <= rough_tol * F.greatest(F.abs("ref_rough"), F.abs("cand_rough")),
-        F.lit(False),
-    )
-    match = F.col("ref_exact").eqNullSafe(F.col("cand_exact")) & rough_same
+    match = F.lit(True)
+    for part in ("exact", "large", "rough"):
+        match = match & F.col(f"ref_{part}").eqNullSafe(F.col(f"cand_{part}"))
     if rel_tol > 0 and floats:
         near = F.abs(F.col("ref_total") - F.col("cand_total")) <= rel_tol * F.greatest(
             F.abs("ref_total"), F.abs("cand_total")
@@ -234,12 +236,14 @@ def table_diff(reference: DataFrame, candidate: DataFrame, rel_tol: float = 0.0,
 def ladder(checks: DataFrame) -> DataFrame:
     """Status of each proposal from the checks of its pairs.
 
-    ``checks`` has proposal, smoke_ok, smoke_only, schema_match and data_match,
-    one row per pair; a proposal without targets has one row with NULL matches.
-    A check that failed or could not be made counts as a mismatch of its step.
+    ``checks`` has proposal, smoke_ok, smoke_only, schema_match, data_match and
+    broken (the comparison itself raised), one row per pair; a proposal without
+    targets has one row with NULL matches. A proposal with a broken check has
+    failed, whatever its other pairs say.
     """
     verdict = (
-        F.when(~F.col("smoke_ok"), "smoke_failed")
+        F.when(F.col("broken"), "failed")
+        .when(~F.col("smoke_ok"), "smoke_failed")
         .when(F.col("smoke_only"), "smoke_passed")
         .when(~F.col("schemas_ok"), "schema_mismatch")
         .when(~F.col("data_ok") | (F.col("n_pairs") == 0), "data_mismatch")
@@ -248,6 +252,7 @@ def ladder(checks: DataFrame) -> DataFrame:
     return (
         checks.groupBy("proposal")
         .agg(
+            F.bool_or("broken").alias("broken"),
             F.bool_and("smoke_ok").alias("smoke_ok"),
             F.bool_or("smoke_only").alias("smoke_only"),
             F.bool_and(F.coalesce("schema_match", F.col("table").isNull())).alias("schemas_ok"),

@@ -85,6 +85,54 @@ def lookup_names(key: Column) -> Column:
     return F.array_distinct(F.array(simple, last))
 
 
+def closure_in_scripts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """As ``unsafe_closure`` with the key script_id, for lineage inside scripts.
+
+    A script's edges and seeds come as arrays, bounded by its own text, and the
+    closure is worked out within its row: no loop, no scratch table, one
+    shuffle of either side.
+    """
+    reach = "struct<name:string,derived_from:string,hops:int>"
+    own = edges.groupBy("script_id").agg(F.collect_set(F.struct("dst", "src")).alias("edges"))
+    found = seeds.groupBy("script_id").agg(F.collect_set("name").alias("seeds"))
+    none = F.lit(None).cast("string")
+
+    def step(state: Column, hop: Column) -> Column:
+        known = F.transform(state["all"], lambda r: r["name"])
+        met = F.filter(
+            F.col("edges"),
+            lambda e: F.array_contains(state["last"], e["src"])
+            & ~F.array_contains(known, e["dst"]),
+        )
+
+        def extended(met: Column) -> Column:
+            names = F.array_distinct(F.transform(met, lambda e: e["dst"]))
+            new = F.transform(
+                names,
+                lambda n: F.struct(
+                    n,
+                    F.array_min(
+                        F.transform(F.filter(met, lambda e: e["dst"] == n), lambda e: e["src"])
+                    ),
+                    hop,
+                ).cast(reach),
+            )
+            return F.struct(names.alias("last"), F.concat(state["all"], new).alias("all"))
+
+        return F.when(F.size(state["last"]) == 0, state).otherwise(text.let(met, extended))
+
+    start = F.struct(
+        F.col("seeds").alias("last"),
+        F.transform("seeds", lambda n: F.struct(n, none, F.lit(0)).cast(reach)).alias("all"),
+    )
+    # a longest path has as many steps as there are names to reach
+    steps = F.sequence(F.lit(1), F.size("edges") + 1)
+    edges_or_none = F.coalesce("edges", F.array().cast("array<struct<dst:string,src:string>>"))
+    joined = found.join(own, "script_id", "left").withColumn("edges", edges_or_none)
+    spread = F.aggregate(steps, start, step, lambda state: state["all"])
+    return joined.select("script_id", F.explode(spread).alias("r")).select("script_id", "r.*")
+
+
 def unsafe_closure(edges: DataFrame, seeds: DataFrame, keys: list[str] | None = None,
                    written: bool = False) -> DataFrame:
     """Everything that is derived, directly or not, from an unsafe input.

@@ -13,7 +13,7 @@ from pipewise.functions import cost, report
 from pipewise.functions.fixed_values import BROADCAST_LIMIT_MB, NO_SIZES_TEXT
 from pipewise.functions.text import let
 from pipewise.operators.corpus import read_inputs
-from pipewise.operators.lineage import lineage_edges, lookup_names, unsafe_closure
+from pipewise.operators.lineage import closure_in_scripts, lineage_edges, lookup_names
 from pipewise.sources.scratch import materialize
 
 COLUMNS = [
@@ -111,8 +111,7 @@ def parquet_var_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
 def derived_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """Variables and views that come from something too large or of unknown size.
 
-    Eager, see ``unsafe_closure``; ``edges`` and ``sizes`` are read several
-    times and should be written tables.
+    ``edges`` and ``sizes`` are read several times and should be written tables.
     """
     variables = parquet_var_sizes(edges, sizes)
     sized = variables.where(~F.col("broadcast_safe")).select(
@@ -134,9 +133,8 @@ def derived_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
         unsized.select("script_id", "name")
     )
     spread = (
-        unsafe_closure(
-            edges.where(F.col("kind") != "parquet").select("script_id", "dst", "src"),
-            seeds, keys=["script_id"], written=True,
+        closure_in_scripts(
+            edges.where(F.col("kind") != "parquet").select("script_id", "dst", "src"), seeds
         )
         .where(F.col("hops") > 0)
         .select("script_id", "name", "derived_from")
@@ -167,7 +165,7 @@ def script_input_sizes(scripts: DataFrame, table_sizes: DataFrame, path_sizes: D
     """All sized inputs of every script with what is derived from them.
 
     Inputs of unknown size are left out; a derived record stands in for a
-    direct one of the same name. Eager, see ``unsafe_closure``.
+    direct one of the same name. Eager: sizes and edges are written once.
     """
     # Both come from scanning all scripts and are used several times over.
     sizes = materialize(direct_sizes(scripts, table_sizes, path_sizes, limit_mb), "sizes")

@@ -13,7 +13,7 @@ from pipewise.sources.scratch import materialize
 
 CHECKS = (
     "proposal string, table string, smoke_ok boolean, smoke_only boolean, "
-    "schema_match boolean, data_match boolean"
+    "schema_match boolean, data_match boolean, broken boolean"
 )
 
 
@@ -46,23 +46,32 @@ def smoke(pairs: list[Pair]) -> tuple[list[Pair], set[str]]:
     return written, failed
 
 
-def _isolated(pair: Pair, rel_tol: float) -> DataFrame | None:
-    """The comparison of one pair on its own; None if it cannot be made."""
+def _compared(pairs: list[Pair], rel_tol: float) -> tuple[list[DataFrame], list[Pair]]:
+    """Written comparisons, and the pairs whose comparison raises. All are one
+    plan; only if that raises is each run by itself."""
+    if not pairs:
+        return [], []
     try:
-        return materialize(data_checks([pair], rel_tol), "check")
-    except Exception:  # noqa: BLE001 - a check that fails is a mismatch
-        return None
+        return [materialize(data_checks(pairs, rel_tol), "checks")], []
+    except Exception:  # noqa: BLE001 - told apart below
+        if len(pairs) == 1:
+            return [], pairs
+    done, broken = [], []
+    for pair in pairs:
+        own, lost = _compared([pair], rel_tol)
+        done, broken = done + own, broken + lost
+    return done, broken
 
 
 def validate_tables(spark: SparkSession, pairs: list[Pair], smoke_failed: set[str] = frozenset(),
                     smoke_only: set[str] = frozenset(), proposals: list[str] | None = None,
-                    rel_tol: float = 0.0, isolate: bool = False) -> DataFrame:
-    """Validation status of every proposal.
+                    rel_tol: float = 0.0) -> DataFrame:
+    """Validation status of every proposal. Eager: the comparisons are written.
 
     The schema step reads metadata only; data is scanned only for proposals
     whose schemas all match and that are to be checked in full. ``proposals``
-    names those without any pair, too. All comparisons are one plan; with
-    ``isolate`` each is run by itself, and one that raises is a mismatch.
+    names those without any pair, too. All comparisons are one plan; if it
+    raises, pairs are compared one by one, and those that raise have ``failed``.
     """
     names = sorted(set(proposals or []) | {p.proposal for p in pairs})
     fields = {
@@ -80,24 +89,21 @@ def validate_tables(spark: SparkSession, pairs: list[Pair], smoke_failed: set[st
     ]
     rows = [
         (p.proposal, p.table, p.proposal not in smoke_failed, p.proposal in smoke_only,
-         fields[id(p)][0] == fields[id(p)][1], None)
+         fields[id(p)][0] == fields[id(p)][1], None, False)
         for p in pairs if p not in full
     ] + [
-        (n, None, n not in smoke_failed, n in smoke_only, None, None)
+        (n, None, n not in smoke_failed, n in smoke_only, None, None, False)
         for n in names if n not in {p.proposal for p in pairs}
     ]
-    compared = [data_checks(full, rel_tol)] if full else []
-    if isolate:
-        each = [(p, _isolated(p, rel_tol)) for p in full]
-        compared = [df for _, df in each if df is not None]
-        rows += [(p.proposal, p.table, True, False, True, False) for p, df in each if df is None]
+    compared, broken = _compared(full, rel_tol)
+    rows += [(p.proposal, p.table, True, False, True, None, True) for p in broken]
     checks = spark.createDataFrame(rows, CHECKS)
     for df in compared:
         measured = df.groupBy("proposal", "table").agg(
             F.bool_and("match").alias("data_match")
         ).select(
             "proposal", "table", F.lit(True).alias("smoke_ok"), F.lit(False).alias("smoke_only"),
-            F.lit(True).alias("schema_match"), "data_match",
+            F.lit(True).alias("schema_match"), "data_match", F.lit(False).alias("broken"),
         )
         checks = checks.unionByName(measured)
     return ladder(checks)
