@@ -34,7 +34,8 @@ from pipewise.sources.scratch import materialize
 SEED = 42
 LIMIT = 4096
 """Nodes of a bucket that one task compares."""
-SMALL = 64
+SMALL = 512
+"""Up to so many, all pairs of a bucket are compared at once."""
 _HASHES_AT_ONCE = 1 << 16
 
 
@@ -42,9 +43,10 @@ _HASHES_AT_ONCE = 1 << 16
 class Scheme:
     """What is hashed and what counts as near.
 
-    shingle: words per shingle; words: 64-bit words of a signature; bands: bits
-    per band and bands per word; radius: bits in which a band may differ;
-    distance: bits in which linked signatures may differ.
+    shingle: words per shingle; words: 64-bit words of a signature; bands: the
+    bits [low, high) of each band of a word; radius: bits in which a band may
+    differ; distance: bits in which linked signatures may differ; banded: so
+    many words have tables, all are compared.
     """
 
     shingle: int
@@ -52,18 +54,31 @@ class Scheme:
     bands: tuple[tuple[int, int], ...]
     radius: int
     distance: int
+    banded: int
 
 
-EXACT64 = Scheme(shingle=3, words=1, bands=((0, 64),), radius=3, distance=3)
+EXACT64 = Scheme(shingle=3, words=1, bands=((0, 64),), radius=3, distance=3, banded=1)
 """Fingerprints of 64 bits, linked at 3 or fewer differing bits, none missed."""
 
 
-def similar(similarity: float, shingle: int = 5, words: int = 4) -> Scheme:
+def similar(
+    similarity: float, shingle: int = 5, words: int = 8, banded: int = 6, key_bits: int = 16
+) -> Scheme:
     """Documents whose shingle sets have at least this Jaccard similarity, as
     far as signatures tell: a similarity s is a cosine of 2s / (1 + s), hence
-    an expected share acos(cosine) / pi of differing bits."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return Scheme(shingle, words, ((0, 28), (32, 60)), 2, int(64 * words * share))
+    an expected share acos(cosine) / pi of differing bits. The estimate is off
+    by sqrt(share (1 - share) bits) bits on average; so much more is allowed,
+    so that pairs at the similarity itself are linked five times out of six.
+    Of the pairs linked, nearly all share a table: each banded word has three
+    bands, covered for one differing bit by keys of ``key_bits``. Buckets grow
+    with the number of documents over 2^key_bits; beyond 10^8 documents take
+    longer keys and more words with tables.
+    """
+    width = key_bits * 3 // 2
+    bands = ((0, width), ((64 - width) // 2, (64 + width) // 2), (64 - width, 64))
+    share, bits = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 64 * words
+    distance = int(bits * share + np.sqrt(bits * share * (1 - share)))
+    return Scheme(shingle, words, bands, 1, distance, banded)
 
 
 def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
@@ -128,7 +143,7 @@ def covering_masks(bits: list[int], radius: int) -> list[int]:
     """Masks over the given bit positions such that any ``radius`` of them are
     left out together by some mask."""
     size = (1 << (radius + 1)) - 1
-    vector = {bit: 1 + k * 7 % size for k, bit in enumerate(bits)}
+    vector = {bit: 1 + k % size for k, bit in enumerate(bits)}
     return [
         sum(1 << bit for bit in bits if (vector[bit] & v).bit_count() & 1)
         for v in range(1, size + 1)
@@ -138,7 +153,7 @@ def covering_masks(bits: list[int], radius: int) -> list[int]:
 def _tables(scheme: Scheme) -> list[tuple[int, int, list[int]]]:
     """(word, mask, masks that refine it) of every table."""
     out = []
-    for word in range(scheme.words):
+    for word in range(scheme.banded):
         for low, high in scheme.bands:
             for mask in covering_masks(list(range(low, high)), scheme.radius):
                 rest = [b for b in range(low, high) if not mask >> b & 1]
