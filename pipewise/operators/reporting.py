@@ -29,14 +29,19 @@ def validation_lines(proposals: DataFrame, url: str = "") -> DataFrame:
     Optional columns: validation_run_id, and the name arrays missing_columns,
     added_columns and changed_columns.
     """
-    def optional(name: str):
-        return F.col(name) if name in proposals.columns else None
+    line = _checked(proposals, F.col("validation_status"), url)
+    return proposals.select("proposal_id", line.alias("line"))
+
 
-    line = report.validation_line(
-        F.col("tier"), F.col("validation_status"), optional("validation_run_id"),
+def _checked(rows: DataFrame, status: Column, url: str | None) -> Column:
+    """The validation line, with the run and the columns that differ where known."""
+    def optional(name: str) -> Column | None:
+        return F.col(name) if name in rows.columns else None
+
+    return report.validation_line(
+        F.col("tier"), status, optional("validation_run_id"),
         optional("missing_columns"), optional("added_columns"), optional("changed_columns"), url,
     )
-    return proposals.select("proposal_id", line.alias("line"))
 
 
 def gain_lines(gains: DataFrame) -> DataFrame:
@@ -64,12 +69,13 @@ def report_labels(jobs: DataFrame, reported: DataFrame) -> DataFrame:
     )
 
 
-def proposal_cards(reported: DataFrame) -> DataFrame:
+def proposal_cards(reported: DataFrame, url: str | None = None) -> DataFrame:
     """One card per reported candidate.
 
     ``reported`` has job_id, pos (place in the report), task_key, tier,
     outcome, duration_s, cost_weight, analysis (JSON), error, v2_path and
-    proposal_id.
+    proposal_id; validation_run_id, missing_columns, added_columns and
+    changed_columns are told too where it has them.
     """
     changes = responses.applied_changes_of(F.col("analysis"))
     status = F.col("outcome")
@@ -82,7 +88,7 @@ def proposal_cards(reported: DataFrame) -> DataFrame:
         F.concat(F.lit("_"), responses.summary_of(F.col("analysis")), F.lit("_")),
         report.card_body(status, F.col("error"), changes),
         report.card_footer(
-            report.validation_line(F.col("tier"), status), F.col("v2_path"), F.col("proposal_id")
+            _checked(reported, status, url), F.col("v2_path"), F.col("proposal_id")
         ),
     )
     return reported.select("job_id", "pos", text.alias("card"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipewise.functions import scan
@@ -61,13 +61,19 @@ class Candidates:
     prompts: DataFrame
 
 
-def prompt_batch(day: Day) -> Candidates:
+def prompt_batch(day: Day, ranks: tuple[int, int] | None = None) -> Candidates:
     """Rank, leave out what is in cooldown, scan and size the scripts.
 
+    ``ranks`` (first, last) prepares only that stretch of each job's ranking, so
+    that a caller can go on further down while too few candidates are accepted.
+    No run at all is an error.
+
     The chosen runs are written first: their real size then decides whether
     the join with all task runs is a broadcast or a shuffle.
     """
     chosen = materialize(runs.latest_runs(day.runs, day.runs_to_average, day.run_id), "runs")
+    if chosen.isEmpty():
+        raise ValueError("no run of any job is known")
     durations = materialize(
         runs.avg_task_durations(day.task_runs, chosen, day.self_task), "durations"
     )
@@ -80,6 +86,8 @@ def prompt_batch(day: Day) -> Candidates:
     gains = ranking.performance_gains(day.applied, day.proposals, durations, day.as_of)
 
     free = ranked.join(cooled, ["job_id", "task_key"], "left_anti")
+    if ranks is not None:
+        free = free.where(F.col("rank").between(*ranks))
     # only scripts of tasks in the ranking are scanned, each of them once
     in_ranking = day.scripts.join(
         free.select(F.col("script_path").alias("path")).distinct(), "path", "left_semi"
@@ -133,7 +141,9 @@ def rewrites_of(found: Candidates, responses: DataFrame, mode: str = "on") -> Da
     )
     rebuilt = changes.rebuild_scripts(chosen, found.candidates.select(
         "script_id", "source").where(F.col("source").isNotNull()).dropDuplicates(["script_id"]))
-    answered = responses.select("response_id", "job_id", "task_key").join(
+    answered = responses.select(
+        "response_id", "job_id", "task_key", _known(responses, "llm_duration_s", "double")
+    ).join(
         rebuilt.drop("script_id"), "response_id"
     ).join(chosen.select("response_id", "parsed"), "response_id")
     outcome = (
@@ -149,15 +159,30 @@ def rewrites_of(found: Candidates, responses: DataFrame, mode: str = "on") -> Da
     return materialize(rewritten, "rewrites")
 
 
+def _known(df: DataFrame, name: str, kind: str) -> Column:
+    """A column that may be absent."""
+    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+
+
 def settle(found: Candidates, rewrites: DataFrame, checked: DataFrame, day: Day, model: str,
            v2_dir: str = "proposals") -> Settled:
     """Accept candidates, and derive ledger rows and the report from them.
 
     ``checked`` has job_id, task_key and validation_status for the rewrites
-    that were checked; all others count as skipped.
+    that were checked; all others count as skipped. Its validation_details,
+    validation_run_id and lists of missing, added and changed columns go to the
+    ledger and the cards where it has them.
     """
+    details = [
+        _known(checked, name, kind)
+        for name, kind in [
+            ("validation_details", "string"), ("validation_run_id", "bigint"),
+            *[(f"{c}_columns", "array<string>") for c in ("missing", "added", "changed")],
+        ]
+    ]
     named = rewrites.join(
-        checked.select("job_id", "task_key", "validation_status"), ["job_id", "task_key"], "left"
+        checked.select("job_id", "task_key", "validation_status", *details),
+        ["job_id", "task_key"], "left",
     ).withColumn(
         "outcome", F.coalesce("outcome", "validation_status", F.lit("skipped"))
     ).withColumn("rank_pos", F.col("rank"))
@@ -191,9 +216,6 @@ def settle(found: Candidates, rewrites: DataFrame, checked: DataFrame, day: Day,
         F.col("avg_s").alias("duration_original_s"),
         F.col("reason").alias("tier_reason"),
         analysis.alias("llm_analysis"),
-        F.lit(None).cast("double").alias("llm_duration_s"),
-        F.lit(None).cast("string").alias("validation_details"),
-        F.lit(None).cast("bigint").alias("validation_run_id"),
         F.col("source_hash").alias("original_source_hash"),
         error.alias("error"),
     ).drop("validation_status")

@@ -69,7 +69,8 @@ def test_a_day_from_runs_to_report(spark, day):
         else:
             assert r.outcome == {0: "llm_error", 1: "no_changes"}.get(n % 4)
     checked = rewrites.where("check = 'full' AND outcome IS NULL").select(
-        "job_id", "task_key", F.lit("passed").alias("validation_status")
+        "job_id", "task_key", F.lit("passed").alias("validation_status"),
+        F.lit(77).cast("bigint").alias("validation_run_id"),
     )
     done = daily.settle(found, rewrites, checked, day, "some-model")
     reported = done.reported.collect()
@@ -80,6 +81,7 @@ def test_a_day_from_runs_to_report(spark, day):
     assert len(rows) == sum(r.in_ledger for r in reported)
     assert {r.status for r in rows} == {"proposed"}
     assert all((r.v2_path is None) == (r.validation_status == "llm_error") for r in rows)
+    assert {r.validation_run_id for r in rows if r.validation_status == "passed"} == {77}
     assert done.proposals.columns == [
         c.split()[0] for c in ledger_store.TABLES["proposals"][0].split(", ")
     ]
