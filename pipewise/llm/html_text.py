@@ -161,7 +161,8 @@ def first_pass(block: Block) -> int:
     """1 text, -1 none, 0 ambiguous."""
     text = block.text()
     letters = len(text.replace(" ", ""))
-    if block.hint < 0 or block.linked > LINK_DENSITY * letters or "\N{COPYRIGHT SIGN}" in text and len(text) < 2 * LONG:
+    notice = "\N{COPYRIGHT SIGN}" in text and len(text) < 2 * LONG
+    if block.hint < 0 or block.linked > LINK_DENSITY * letters or notice:
         return -1
     if len(text) < SHORT:
         return 0
