@@ -272,7 +272,9 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         docs["doc_id"].cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text")
     )
-    sizes = rows.filter("id IS NOT NULL").select("id", "mark", F.char_length("text").alias("n"))
+    # filtered alike wherever it is joined, so that texts are exchanged once
+    named = rows.filter("id IS NOT NULL")
+    sizes = named.select("id", "mark", F.char_length("text").alias("n"))
     order = next_in_order(sizes)
     wanted = order.join(sizes.distinct(), ["id", "mark"]).select(
         F.col("id").alias("for_id"), F.col("mark").alias("for_mark"), "n",
@@ -280,7 +282,7 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     )
     wanted = materialize(wanted, "next-documents")
     third = F.floor(F.col("n") / 3).cast("int")
-    heads = rows.join(wanted, ["id", "mark"]).select(
+    heads = named.join(wanted, ["id", "mark"]).select(
         "for_id",
         "for_mark",
         F.substring(F.col("text"), F.lit(1), third).alias("head"),
@@ -289,11 +291,15 @@ def compare_versions(docs: DataFrame) -> DataFrame:
     heads = heads.groupBy("for_id", "for_mark").agg(
         F.first("head").alias("head"), F.first("next").alias("next")
     )
-    joined = rows.join(
+    joined = named.join(
         heads,
         (F.col("id") == F.col("for_id")) & (F.col("mark") == F.col("for_mark")),
         "left",
+    ).select("id", "text", "head", "next")
+    alone = rows.filter("id IS NULL").select(
+        "id", "text", F.lit("").alias("head"), F.array().cast("array<bigint>").alias("next")
     )
+    joined = joined.unionByName(alone)
     n = F.char_length("text")
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")),
