@@ -130,9 +130,10 @@ def train(
     schema = "ratios binary, weights binary, rest binary"
     ordered = sample.selectExpr("rank", "label", "cast(text AS binary) AS text")
     ordered = ordered.coalesce(1).sortWithinPartitions("rank", "label")
-    ratios, weights, rest = [
-        np.frombuffer(x, np.float64) for x in ordered.mapInArrow(fitted, schema).first()
-    ]
+    found = ordered.mapInArrow(fitted, schema).first()
+    if found is None:  # an empty sample may have no task at all
+        return fit_model([], np.empty(0), size, fitter)
+    ratios, weights, rest = [np.frombuffer(x, np.float64) for x in found]
     return Model(ratios, weights, *map(float, rest))
 
 
