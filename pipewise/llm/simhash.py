@@ -46,7 +46,8 @@ class Scheme:
     shingle: words per shingle; words: 64-bit words of a signature; bands: the
     bits [low, high) of each band of a word; radius: bits in which a band may
     differ; distance: bits in which linked signatures may differ; banded: so
-    many words have tables, all are compared.
+    many words have tables, all are compared; similarity: if given,
+    ``keep_one_of_each`` goes by the shingle sets, not by signatures.
     """
 
     shingle: int
@@ -55,6 +56,7 @@ class Scheme:
     radius: int
     distance: int
     banded: int
+    similarity: float | None = None
 
 
 EXACT64 = Scheme(shingle=3, words=1, bands=((0, 64),), radius=3, distance=3, banded=1)
@@ -78,7 +80,7 @@ def similar(
     bands = ((0, width), ((64 - width) // 2, (64 + width) // 2), (64 - width, 64))
     share, bits = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 64 * words
     distance = int(bits * share + np.sqrt(bits * share * (1 - share)))
-    return Scheme(shingle, words, bands, 1, distance, banded)
+    return Scheme(shingle, words, bands, 1, distance, banded, similarity)
 
 
 def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
@@ -312,8 +314,14 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT64, limit: int = LIMI
 def keep_one_of_each(docs: DataFrame, scheme: Scheme, limit: int = LIMIT) -> DataFrame:
     """The documents, same columns, less all but the smallest ``doc_id`` of each
     group of near duplicates; of rows repeated under that id one stays. Rows
-    without an id cannot be grouped and stay."""
-    found = near_duplicates(docs, scheme, limit)
+    without an id cannot be grouped and stay. With a similarity in the scheme,
+    near duplicates are all pairs of that Jaccard similarity and no others."""
+    from pipewise.llm import near_sets
+
+    if scheme.similarity is None:
+        found = near_duplicates(docs, scheme, limit)
+    else:
+        found = near_sets.similar_documents(docs, scheme.similarity, scheme.shingle, limit)
     kept = found.filter("id = component").select(F.col("id").alias("_kept")).distinct()
     own = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
     return own.dropDuplicates(["doc_id"]).union(docs.filter(docs["doc_id"].isNull()))

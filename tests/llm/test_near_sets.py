@@ -1,0 +1,84 @@
+import random
+
+import numpy as np
+import pytest
+
+from pipewise.llm import near_sets, simhash
+
+
+def plain_sets(pairs, size=5):
+    out = {}
+    for i, text in pairs:
+        words = (text or "").lower().split()
+        runs = [tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))]
+        out[i] = set(runs) if words else set()
+    return out
+
+
+def brute(pairs, similarity):
+    """Smallest id reachable over pairs of true Jaccard similarity."""
+    sets = plain_sets(pairs)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if not either or both >= similarity * either - 1e-9:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in root}
+
+
+def around(similarity, rng, ids):
+    """Pairs of texts with similarities a little under and over the given one."""
+    out = []
+    for i in ids:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 150, 300]))]
+        share = similarity + rng.uniform(-0.06, 0.06)
+        n = len(words) - 4
+        tail = round(n * (1 - share) / (1 + share))
+        other = words[: len(words) - tail] + [f"v{rng.randrange(10**6)}" for _ in range(tail)]
+        out += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    return out
+
+
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_links_are_all_pairs_of_the_jaccard_similarity_and_no_others(docs_of, limit):
+    rng = random.Random(3)
+    pairs = around(0.8, rng, range(0, 160, 2))
+    base = [f"b{k}" for k in range(200)]
+    for k in range(30):  # a group of near copies of one text
+        words = list(base)
+        words[rng.randrange(200)] = f"x{k}"
+        pairs.append((1000 + k, " ".join(words)))
+    pairs += [(2000, None), (2001, ""), (2002, "one"), (2003, "ONE"), (2004, "one two three four five")]
+    want = brute(pairs, 0.8)
+    got = near_sets.similar_documents(docs_of(pairs), 0.8, 5, limit).collect()
+    assert {r["id"]: r["component"] for r in got} == want and len(got) == len(pairs)
+    kept = simhash.keep_one_of_each(docs_of(pairs), simhash.similar(0.8), limit)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, c in want.items() if i == c}
+
+
+def test_similar_sets_share_a_prefix():
+    rng = np.random.default_rng(0)
+    for _ in range(2000):
+        n, m = rng.integers(1, 30, 2)
+        a, b = set(rng.integers(0, 32, n).tolist()), set(rng.integers(0, 32, m).tolist())
+        if len(a & b) >= 0.8 * len(a | b) - 1e-9:
+            first = [set(sorted(s)[: near_sets.prefix_length(len(s), 0.8)]) for s in (a, b)]
+            assert first[0] & first[1]
+
+
+def test_stage_on_the_given_documents(spark, sf, table):
+    import corpus_pipeline
+
+    docs = table("documents")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, sf).collect()
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], 0.8)
+    assert {r.doc_id for r in kept} == {i for i, c in want.items() if i == c}
