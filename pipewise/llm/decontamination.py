@@ -32,7 +32,9 @@ WINDOW = 8
 LITERAL = 4
 """Tokens of a window that must be words, not placeholders."""
 SHARE = 0.5
-"""Share of an item's windows that must match on one diagonal."""
+"""Share of an item's windows that must match on one diagonal, or a chain of them."""
+SLACK = 8
+"""Tokens put in or left out between two diagonals of a chain, at most."""
 BITMAP_WORDS = 1 << 20
 BATCH_BYTES = 1 << 20
 
@@ -102,7 +104,15 @@ class Template:
 
 
 def template_of(texts: list[bytes]) -> Template:
-    """Canonical tokens. A word is what white space leaves together, less signs
+    """The first of ``readings_of``."""
+    return readings_of(texts)[0]
+
+
+def readings_of(texts: list[bytes]) -> list[Template]:
+    """Canonical tokens in each reading: names told within sentences only, and
+    words that begin a sentence with a capital taken as names too.
+
+    Canonical tokens. A word is what white space leaves together, less signs
     at both ends; words of signs only are no token. A number begins with a
     digit and has at most three letters (5kg, 3rd), or is a number word. A name
     begins with a capital, does not begin a sentence or line, and does not end
@@ -134,16 +144,20 @@ def template_of(texts: list[bytes]) -> Template:
     raised = lower != buffer
     second = np.minimum(start + 1, end - 1)
     high = raised[start] | (raised[second] & (buffer[start] >= 0xC0))
-    name = high & ~(raised[end - 1] & (end - start > 1) & (letters[end] - letters[start] > 1)) & ~begins
+    inside = high & ~(raised[end - 1] & (end - start > 1) & (letters[end] - letters[start] > 1))
     first = np.r_[True, owner[1:] != owner[:-1]][: len(owner)]
     behind_number = np.r_[False, number[:-1]][: len(owner)] & ~first
-    kind = np.where(name, NAME, WORD)
-    kind = np.where(_within(code, _UNIT_CODES) & behind_number, UNIT, kind)
-    kind = np.where(number, NUMBER, kind)
-    code = np.where(kind == WORD, code, _SLOT_CODES[kind])
-    # of a run of names the first stays
-    stays = ~((kind == NAME) & (np.r_[0, kind[:-1]][: len(kind)] == NAME) & ~first)
-    return Template(text, *(x[stays] for x in (code, kind, owner, start, end)))
+    unit = _within(code, _UNIT_CODES) & behind_number
+    out = []
+    for name in (inside & ~begins, inside):
+        kind = np.where(name, NAME, WORD)
+        kind = np.where(unit, UNIT, kind)
+        kind = np.where(number, NUMBER, kind)
+        slotted = np.where(kind == WORD, code, _SLOT_CODES[kind])
+        # of a run of names the first stays
+        stays = ~((kind == NAME) & (np.r_[0, kind[:-1]][: len(kind)] == NAME) & ~first)
+        out.append(Template(text, *(x[stays] for x in (slotted, kind, owner, start, end))))
+    return out
 
 
 def _within(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -163,7 +177,7 @@ def windows_of(found: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 ITEM_WINDOWS = (
-    "item_id long, at int, size int, h long, item_slots array<string>, item_windows int"
+    "item_id long, reading int, at int, size int, h long, item_slots array<string>, item_windows int"
 )
 
 
@@ -175,11 +189,11 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
         for table in tables:
             rows = []
             for item, text in zip(*(c.to_pylist() for c in table.columns)):
-                own = template_of([text])
-                width = min(size, len(own.code))
-                places, hashes = windows_of(own, width) if width else ((), ())
-                for p, h in zip(places.tolist() if width else (), hashes.tolist() if width else ()):
-                    rows.append((item, p, width, h, own.slots(p, width), len(places)))
+                for n, own in enumerate(readings_of([text])):
+                    width = min(size, len(own.code))
+                    places, hashes = windows_of(own, width) if width else ((), ())
+                    for p, h in zip(places.tolist() if width else (), hashes.tolist() if width else ()):
+                        rows.append((item, n, p, width, h, own.slots(p, width), len(places)))
             yield record_batch(rows, ITEM_WINDOWS)
 
     texts = benchmark.filter("item_id IS NOT NULL").select(
@@ -202,7 +216,7 @@ def _bits(windows: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-HITS = "doc_id long, pos int, size int, h long, doc_slots array<string>"
+HITS = "doc_id long, reading int, pos int, size int, h long, doc_slots array<string>"
 
 
 def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
@@ -210,16 +224,17 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def hits(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
-        own, bitmap, rows = template_of(texts), shared.value, []
-        # places are counted from the first token of a text
-        firsts = np.searchsorted(own.owner, np.arange(len(texts)))
-        for size in sizes:
-            places, hashes = windows_of(own, size)
-            bit = hashes & (64 * BITMAP_WORDS - 1)
-            hit = bitmap[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1) > 0
-            for p, h in zip(places[hit].tolist(), hashes[hit].tolist()):
-                k = own.owner[p]
-                rows.append((ids[k], int(p - firsts[k]), size, h, own.slots(p, size)))
+        bitmap, rows = shared.value, []
+        for n, own in enumerate(readings_of(texts)):
+            # places are counted from the first token of a text
+            firsts = np.searchsorted(own.owner, np.arange(len(texts)))
+            for size in sizes:
+                places, hashes = windows_of(own, size)
+                bit = hashes & (64 * BITMAP_WORDS - 1)
+                hit = bitmap[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1) > 0
+                for p, h in zip(places[hit].tolist(), hashes[hit].tolist()):
+                    k = own.owner[p]
+                    rows.append((ids[k], n, int(p - firsts[k]), size, h, own.slots(p, size)))
         return record_batch(rows, HITS)
 
     def found(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +256,67 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
     return texts.mapInArrow(found, HITS)
 
 
+def chain(runs: np.ndarray) -> list[tuple[int, int, int]]:
+    """The runs (pos, at, length), sorted by place, that follow each other in
+    document and item on diagonals at most ``SLACK`` apart and hold most windows;
+    what two runs share counts once."""
+    pos, at, size = runs.T
+    best, back = size.copy(), np.full(len(runs), -1)
+    cut = np.zeros(len(runs), np.int64)
+    for k in range(1, len(runs)):
+        i = np.flatnonzero(np.abs((pos[:k] - at[:k]) - (pos[k] - at[k])) <= SLACK)
+        lost = np.maximum(0, np.maximum(at[i] + size[i] - at[k], pos[i] + size[i] - pos[k]))
+        value = np.where((at[i] <= at[k]) & (lost < size[k]), best[i] + size[k] - lost, 0)
+        if len(i) and value.max() > best[k]:
+            best[k], back[k], cut[k] = value.max(), i[value.argmax()], lost[value.argmax()]
+    out, k = [], int(best.argmax())
+    while k >= 0:
+        out.append((int(pos[k] + cut[k]), int(at[k] + cut[k]), int(size[k] - cut[k])))
+        k = int(back[k])
+    return out
+
+
+CHAINED = "doc_id long, item_id long, matched int, item_windows int, changed int"
+
+
+def _chained(met: DataFrame, share: float) -> DataFrame:
+    """Documents and items whose windows match often enough over a chain of diagonals."""
+
+    def found(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            rows = []
+            for doc, item, total, windows in zip(*(c.to_pylist() for c in table.columns)):
+                slots = {(w["pos"], w["at"]): (w["item_slots"], w["doc_slots"]) for w in windows}
+                runs = []
+                for p, a in sorted(slots, key=lambda x: (x[0] - x[1], x[0])):
+                    if runs and runs[-1][0] + runs[-1][2] == p and runs[-1][1] + runs[-1][2] == a:
+                        runs[-1][2] += 1
+                    else:
+                        runs.append([p, a, 1])
+                own = chain(np.array(sorted(runs), np.int64))
+                pairs = {
+                    pair
+                    for p, a, n in own
+                    for k in range(n)
+                    for pair in zip(*slots[p + k, a + k])
+                }
+                one_to_one = len({i for i, _ in pairs}) == len({d for _, d in pairs}) == len(pairs)
+                matched = sum(n for _, _, n in own)
+                if matched >= share * total and one_to_one:
+                    rows.append((doc, item, matched, total, sum(i != d for i, d in pairs)))
+            yield record_batch(rows, CHAINED)
+
+    window = F.struct("pos", "at", "item_slots", "doc_slots")
+    grouped = met.groupBy("doc_id", "item_id", "reading").agg(
+        F.max("item_windows").alias("item_windows"),
+        F.count_distinct("at").alias("places"),
+        F.collect_list(window).alias("windows"),
+    )
+    grouped = grouped.filter(F.col("places") >= share * F.col("item_windows"))
+    columns = grouped.select("doc_id", "item_id", "item_windows", "windows")
+    return columns.mapInArrow(found, CHAINED)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, share: float = SHARE
 ) -> DataFrame:
@@ -249,7 +325,9 @@ def contaminated(
 
     An item is held if on one diagonal at least ``share`` of its windows match
     and their slots are consistent; of several diagonals the one with most
-    windows, then fewest changed slots, is reported. ``changed_slots`` counts
+    windows, then fewest changed slots, is reported. Where no diagonal does, a
+    chain of neighbouring ones counts: words put in, left out or written as more
+    words. Both hold in any reading. ``changed_slots`` counts
     the values that differ: 0 for a copy, more for a question asked again.
     Items without a window of enough words (few words, or placeholders only)
     are never found. Null texts are empty; rows without an id are left out, as
@@ -260,10 +338,11 @@ def contaminated(
     # one row per window size, at most ``size`` of them
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     hits = document_windows(docs, _bits(items), sizes).distinct()
-    met = hits.join(items, ["h", "size"]).filter(F.size("doc_slots") == F.size("item_slots"))
+    met = hits.join(items, ["h", "size", "reading"]).filter(F.size("doc_slots") == F.size("item_slots"))
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d"))
     # at most one row per window of the item on a diagonal
-    lines = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+    met = materialize(met, "met-windows")
+    lines = met.filter("reading = 0").groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.count_distinct("at").cast("int").alias("matched"),
         F.max("item_windows").alias("item_windows"),
         F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"),
@@ -279,13 +358,39 @@ def contaminated(
         F.max(F.struct("matched", (-changed).alias("same"))).alias("best"),
         F.max("item_windows").alias("item_windows"),
     )
-    return best.select(
+    best = best.select(
         "doc_id",
         "item_id",
         F.col("best.matched").alias("matched"),
         "item_windows",
-        (F.col("best.matched") / F.col("item_windows")).alias("coverage"),
-        (-F.col("best.same")).alias("changed_slots"),
+        (-F.col("best.same")).alias("changed"),
+    )
+    best = materialize(best, "single-diagonals")
+    more = _chained(met.join(best, ["doc_id", "item_id"], "left_anti"), share)
+    more = more.groupBy("doc_id", "item_id").agg(
+        F.max(
+            F.struct(
+                (F.col("matched") / F.col("item_windows")).alias("coverage"),
+                "matched",
+                (-F.col("changed")).alias("same"),
+                "item_windows",
+            )
+        ).alias("best")
+    )
+    more = more.select(
+        "doc_id",
+        "item_id",
+        F.col("best.matched").alias("matched"),
+        F.col("best.item_windows").alias("item_windows"),
+        (-F.col("best.same")).alias("changed"),
+    )
+    return best.unionByName(more).select(
+        "doc_id",
+        "item_id",
+        "matched",
+        "item_windows",
+        (F.col("matched") / F.col("item_windows")).alias("coverage"),
+        F.col("changed").alias("changed_slots"),
     )
 
 
