@@ -30,7 +30,7 @@ from pipewise.sources.scratch import materialize
 
 WINDOW = 8
 LITERAL = 4
-"""Tokens of a window that must be words, not placeholders."""
+"""Tokens of a window that must be words, not placeholders. The words as written have none."""
 SHARE = 0.5
 """Share of an item's windows that must match on one diagonal, or a chain of them."""
 SLACK = 8
@@ -39,6 +39,8 @@ BITMAP_WORDS = 1 << 20
 BATCH_BYTES = 1 << 20
 
 WORD, NUMBER, NAME, UNIT = range(4)
+PLAIN = 2
+"""The reading of words as written."""
 _SLOT_CODES = np.array([0, 0x9AE16A3B2F90404F, 0xC949D7C7509E6557, 0xE7037ED1A0B428DB], np.uint64)
 
 NUMBER_WORDS = frozenset(
@@ -109,8 +111,9 @@ def template_of(texts: list[bytes]) -> Template:
 
 
 def readings_of(texts: list[bytes]) -> list[Template]:
-    """Canonical tokens in each reading: names told within sentences only, and
-    words that begin a sentence with a capital taken as names too.
+    """Canonical tokens in each reading: names told within sentences only; words
+    that begin a sentence with a capital taken as names too; and the words as
+    written, in lower case, without a placeholder, so that every window counts.
 
     Canonical tokens. A word is what white space leaves together, less signs
     at both ends; words of signs only are no token. A number begins with a
@@ -157,7 +160,8 @@ def readings_of(texts: list[bytes]) -> list[Template]:
         # of a run of names the first stays
         stays = ~((kind == NAME) & (np.r_[0, kind[:-1]][: len(kind)] == NAME) & ~first)
         out.append(Template(text, *(x[stays] for x in (slotted, kind, owner, start, end))))
-    return out
+    plain = np.full(len(code), WORD)
+    return [*out, Template(text, code, plain, owner, start, end)]
 
 
 def _within(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -276,16 +280,19 @@ def chain(runs: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-CHAINED = "doc_id long, item_id long, matched int, item_windows int, changed int"
+CHAINED = (
+    "doc_id long, item_id long, reading int, matched int, item_windows int, changed int, held boolean"
+)
 
 
 def _chained(met: DataFrame, share: float) -> DataFrame:
-    """Documents and items whose windows match often enough over a chain of diagonals."""
+    """Documents and items whose windows match often enough over a chain of
+    diagonals; not held if its slots are not one-to-one."""
 
     def found(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
             rows = []
-            for doc, item, total, windows in zip(*(c.to_pylist() for c in table.columns)):
+            for doc, item, reading, total, windows in zip(*(c.to_pylist() for c in table.columns)):
                 slots = {(w["pos"], w["at"]): (w["item_slots"], w["doc_slots"]) for w in windows}
                 runs = []
                 for p, a in sorted(slots, key=lambda x: (x[0] - x[1], x[0])):
@@ -302,8 +309,9 @@ def _chained(met: DataFrame, share: float) -> DataFrame:
                 }
                 one_to_one = len({i for i, _ in pairs}) == len({d for _, d in pairs}) == len(pairs)
                 matched = sum(n for _, _, n in own)
-                if matched >= share * total and one_to_one:
-                    rows.append((doc, item, matched, total, sum(i != d for i, d in pairs)))
+                if matched >= share * total:
+                    changed = sum(i != d for i, d in pairs)
+                    rows.append((doc, item, reading, matched, total, changed, one_to_one))
             yield record_batch(rows, CHAINED)
 
     window = F.struct("pos", "at", "item_slots", "doc_slots")
@@ -313,7 +321,7 @@ def _chained(met: DataFrame, share: float) -> DataFrame:
         F.collect_list(window).alias("windows"),
     )
     grouped = grouped.filter(F.col("places") >= share * F.col("item_windows"))
-    columns = grouped.select("doc_id", "item_id", "item_windows", "windows")
+    columns = grouped.select("doc_id", "item_id", "reading", "item_windows", "windows")
     return columns.mapInArrow(found, CHAINED)
 
 
@@ -330,7 +338,8 @@ def contaminated(
     words. Both hold in any reading. ``changed_slots`` counts
     the values that differ: 0 for a copy, more for a question asked again.
     Items without a window of enough words (few words, or placeholders only)
-    are never found. Null texts are empty; rows without an id are left out, as
+    are found as written only, an item of one word in every text that has it;
+    signs between words are not compared. Null texts are empty; rows without an id are left out, as
     no pair can name them; repeated rows count once. Empty tables give an empty
     result.
     """
@@ -367,6 +376,14 @@ def contaminated(
     )
     best = materialize(best, "single-diagonals")
     more = _chained(met.join(best, ["doc_id", "item_id"], "left_anti"), share)
+    more = materialize(more, "chains")
+    # a part as written does not count where the template says that values were mixed up
+    part = (F.col("reading") == PLAIN) & (F.col("matched") < F.col("item_windows"))
+    mixed = more.filter("reading = 0 AND NOT held").select("doc_id", "item_id")
+    more = more.filter("held")
+    more = more.filter(~part).unionByName(
+        more.filter(part).join(mixed, ["doc_id", "item_id"], "left_anti")
+    )
     more = more.groupBy("doc_id", "item_id").agg(
         F.max(
             F.struct(

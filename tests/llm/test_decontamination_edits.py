@@ -33,3 +33,19 @@ def test_chain_keeps_the_order():
     runs = np.array([[0, 0, 5], [9, 8, 5], [40, 5, 3]])
     assert sorted(dc.chain(runs)) == [(0, 0, 5), (9, 8, 5)]
     assert dc.chain(np.array([[0, 8, 5], [9, 0, 5]])) in ([(0, 8, 5)], [(9, 0, 5)])
+
+
+def test_few_words_and_many_numbers_as_written(docs_of, items_of):  # noqa: F811
+    items = items_of(
+        [(1, "What is 12 + 30?"), (2, "3 kg 5 m 7 s 9 g 11 cm 13 mm"), (3, "Blue whale"), (4, "May 5, 1821; June 6, 1822")]
+    )
+    docs = docs_of(
+        [
+            (10, "It was asked: what is 12 + 30? Then they left."),
+            (20, "Given 3 kg 5 m 7 s 9 g 11 cm 13 mm of it."),
+            (30, "They saw a blue whale there."),
+            (40, "On May 5, 1821; June 6, 1822 and later."),
+            (50, "What is 13 + 31? They saw a blue car and 4 kg 6 m 8 s 10 g 12 cm 14 mm."),
+        ]
+    )
+    assert set(found(docs, items)) == {(10, 1), (20, 2), (30, 3), (40, 4)}
