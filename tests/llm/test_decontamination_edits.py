@@ -49,3 +49,9 @@ def test_few_words_and_many_numbers_as_written(docs_of, items_of):  # noqa: F811
         ]
     )
     assert set(found(docs, items)) == {(10, 1), (20, 2), (30, 3), (40, 4)}
+
+
+def test_copies_in_capitals_and_in_lower_case(docs_of, items_of):  # noqa: F811
+    items = items_of([(70, ITEM), (71, STORY)])
+    got = found(docs_of([(1, ITEM.upper()), (2, ITEM.lower()), (3, STORY.upper())]), items)
+    assert {k: c for k, (_, _, c) in got.items()} == {(1, 70): 0, (2, 70): 0, (3, 71): 0}
