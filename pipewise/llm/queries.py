@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pipewise.llm import (
+    cross_polytope,
     decontamination,
+    fill_in_middle,
     fingerprints,
     html_text,
+    importance_resampling,
     line_dedup,
     packing,
     quality,
@@ -151,6 +154,58 @@ def op10(spark, sf_dir):
     )
 
 
+@query("op11_approximate_nearest_neighbours")
+def op11(spark, sf_dir):
+    return cross_polytope.nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
+MIDDLE_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS digest,
+         regexp_extract_all(coalesce(text, ''),
+           '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents
+), drawn AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n,
+         CAST('0x' || substr(digest, 1, 8) AS BIGINT) AS h1,
+         CAST('0x' || substr(digest, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(digest, 17, 8) AS BIGINT) AS h3,
+         CAST('0x' || substr(digest, 25, 8) AS BIGINT) AS h4
+  FROM cut
+), placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+                OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, coalesce(array_to_string(units[1:a], ''), '') AS p,
+         coalesce(array_to_string(units[a + 1:b], ''), '') AS m,
+         coalesce(array_to_string(units[b + 1:n], ''), '') AS s
+  FROM placed
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op12_fill_in_middle", MIDDLE_SQL)
+def op12(spark, sf_dir):
+    return fill_in_middle.round_trip(read(spark, sf_dir, "documents"))
+
+
+@query("op13_importance_resampling")
+def op13(spark, sf_dir):
+    docs, target = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return importance_resampling.resample(docs, target)
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
