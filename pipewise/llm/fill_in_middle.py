@@ -38,6 +38,8 @@ PLAIN_PERCENT = 50
 SPM_PERCENT = 80
 PIECE = 1 << 16
 """Bytes of a piece."""
+PART_BYTES = 32 << 20
+"""Bytes of text that a task sorts, about; the sort itself spills."""
 PREFIX, MIDDLE, SUFFIX = 0, 1, 2
 SENTINELS = {b"<P>": PREFIX, b"<M>": MIDDLE, b"<S>": SUFFIX}
 ORDERS = {"plain": (PREFIX,), "psm": (PREFIX, SUFFIX, MIDDLE), "spm": (SUFFIX, PREFIX, MIDDLE)}
@@ -129,11 +131,16 @@ def _dealt(key: tuple) -> int:
     return xxhash.xxh3_64_intdigest(b"%d:%d:%d:" % (has_id, number, repeat) + digest)
 
 
-def _sorted(pieces: RDD) -> RDD:
-    """Each document's pieces together and in order, as many partitions as before."""
-    return pieces.repartitionAndSortWithinPartitions(
-        numPartitions=max(1, pieces.getNumPartitions()), partitionFunc=_dealt
-    )
+def _tasks(rows: DataFrame, column: str) -> int:
+    """How many tasks the sorts take: the bytes of the texts, counted by a scan, by
+    ``PART_BYTES``. No later step can change that number."""
+    total = rows.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
+    return 1 + total // PART_BYTES
+
+
+def _sorted(pieces: RDD, tasks: int) -> RDD:
+    """Each document's pieces together and in order."""
+    return pieces.repartitionAndSortWithinPartitions(numPartitions=tasks, partitionFunc=_dealt)
 
 
 def _named(rows: Iterator[tuple], part: int) -> Iterator[tuple[tuple, int | None, bytes, tuple]]:
@@ -192,7 +199,8 @@ def examples(docs: DataFrame, seed: int = SEED, size: int = PIECE) -> DataFrame:
         for _, head, stream in _documents(pieces):
             yield (*head, b"".join(stream).decode("utf-8", "replace"))
 
-    rows = _sorted(_pieces(docs, seed, size)).mapPartitions(joined)
+    pieces = _pieces(docs, seed, size)
+    rows = _sorted(pieces, _tasks(docs, "text")).mapPartitions(joined)
     return docs.sparkSession.createDataFrame(rows, f"{EXAMPLE}, output string", verifySchema=False)
 
 
@@ -216,7 +224,8 @@ def restore(outputs: DataFrame, size: int = PIECE) -> DataFrame:
             yield doc_id, b"".join(stream).decode("utf-8", "replace")
 
     texts = outputs.select(F.col("doc_id").cast("long"), F.col("output").cast("binary"), "form")
-    rows = _sorted(texts.rdd.mapPartitionsWithIndex(cut)).mapPartitions(joined)
+    tasks = _tasks(outputs, "output")
+    rows = _sorted(texts.rdd.mapPartitionsWithIndex(cut), tasks).mapPartitions(joined)
     return outputs.sparkSession.createDataFrame(
         rows, "doc_id long, text string", verifySchema=False
     )
@@ -252,7 +261,8 @@ def round_trip(docs: DataFrame, seed: int = SEED, size: int = PIECE) -> DataFram
                 digest.update(piece)
             yield (*head, head[-1] if head[2] == "plain" else digest.hexdigest())
 
-    outputs = _sorted(_pieces(docs, seed, size)).mapPartitions(written)
-    rows = _sorted(outputs).mapPartitions(restored)
+    tasks = _tasks(docs, "text")
+    outputs = _sorted(_pieces(docs, seed, size), tasks).mapPartitions(written)
+    rows = _sorted(outputs, tasks).mapPartitions(restored)
     schema = f"{EXAMPLE}, output_sha256 string, restored_sha256 string"
     return docs.sparkSession.createDataFrame(rows, schema, verifySchema=False)

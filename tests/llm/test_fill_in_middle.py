@@ -71,7 +71,7 @@ def test_no_rows(docs_of):
 def test_one_hot_row_spreads(docs_of):
     """Rows of one id, even wholly equal ones, are dealt to many tasks."""
     docs = docs_of([(1, "the same row")] * 400).repartition(4)
-    dealt = fill_in_middle._sorted(fill_in_middle._pieces(docs, 42, 64)).glom().map(len).collect()
+    dealt = fill_in_middle._sorted(fill_in_middle._pieces(docs, 42, 64), 8).glom().map(len).collect()
     assert max(dealt) < 2 * sum(dealt) / len(dealt)
 
 
