@@ -46,8 +46,7 @@ class Scheme:
     shingle: words per shingle; words: 64-bit words of a signature; bands: the
     bits [low, high) of each band of a word; radius: bits in which a band may
     differ; distance: bits in which linked signatures may differ; banded: so
-    many words have tables, all are compared; similarity: if given,
-    ``keep_one_of_each`` goes by the shingle sets, not by signatures.
+    many words have tables, all are compared.
     """
 
     shingle: int
@@ -56,33 +55,12 @@ class Scheme:
     radius: int
     distance: int
     banded: int
-    similarity: float | None = None
 
 
 EXACT64 = Scheme(shingle=3, words=1, bands=((0, 64),), radius=3, distance=3, banded=1)
 """Fingerprints of 64 bits, linked at 3 or fewer differing bits, none missed."""
 
 
-def similar(
-    similarity: float, shingle: int = 5, words: int = 8, banded: int = 6, key_bits: int = 16
-) -> Scheme:
-    """Documents whose shingle sets have at least this Jaccard similarity, as
-    far as signatures tell: a similarity s is a cosine of 2s / (1 + s), hence
-    an expected share acos(cosine) / pi of differing bits. The estimate is off
-    by sqrt(share (1 - share) bits) bits on average; so much more is allowed,
-    so that pairs at the similarity itself are linked five times out of six.
-    Of the pairs linked, nearly all share a table: each banded word has three
-    bands, covered for one differing bit by keys of ``key_bits``. Buckets grow
-    with the number of documents over 2^key_bits; beyond 10^8 documents take
-    longer keys and more words with tables.
-    """
-    width = key_bits * 3 // 2
-    bands = ((0, width), ((64 - width) // 2, (64 + width) // 2), (64 - width, 64))
-    share, bits = np.arccos(2 * similarity / (1 + similarity)) / np.pi, 64 * words
-    distance = int(bits * share + np.sqrt(bits * share * (1 - share)))
-    return Scheme(shingle, words, bands, 1, distance, banded, similarity)
-
-
 def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
     """XXH64 of all shingles of ``size`` words, repeats included, in blocks."""
     words = text.lower().split()
@@ -95,7 +73,7 @@ def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
         yield np.array([digest(x, SEED) for x in map(b" ".join, runs)], np.uint64)
 
 
-def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many hashes have each bit, highest bit first."""
     bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     whole = len(bits) // 255 * 255
@@ -104,7 +82,7 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return counts + blocks.sum(axis=0, dtype=np.int64)
 
 
-def _word(hashes: np.ndarray, k: int) -> np.ndarray:
+def hash_word(hashes: np.ndarray, k: int) -> np.ndarray:
     """The k-th word of hash bits of each shingle; the first is the hash itself."""
     if k == 0:
         return hashes
@@ -121,7 +99,7 @@ def signature(text: bytes, scheme: Scheme) -> np.ndarray:
     for hashes in shingle_hashes(text, scheme.shingle):
         total += len(hashes)
         for k in range(scheme.words):
-            counts[k] += _bit_counts(_word(hashes, k))
+            counts[k] += bit_counts(hash_word(hashes, k))
     return np.packbits(2 * counts > total, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
@@ -181,33 +159,38 @@ def _blocks(rows: DataFrame, limit: int) -> DataFrame:
     return rows.join(large, "bucket", "left_anti").unionByName(cut.select(rows.columns))
 
 
-def _bucketed(nodes: DataFrame, scheme: Scheme, limit: int) -> DataFrame:
-    """(bucket, rep, words): each node once per table, large buckets keyed again.
+def bucketed(nodes: DataFrame, scheme: Scheme, limit: int, carried: list[str] | None = None,
+             sampled: int = 1) -> DataFrame:
+    """(bucket, columns carried): each node once per table, large buckets keyed again.
 
     A bucket is named by a 64-bit hash of table and key; two buckets that share
-    a name are compared together, which costs time and changes no link.
+    a name are compared together, which costs time and changes no link. Large
+    buckets may be told by one node in ``sampled``: that decides how pairs are
+    compared, not which.
     """
     tables = _tables(scheme)
     words = [F.col(f"w{k}") for k in range(scheme.words)]
+    carried = carried or nodes.columns
     keys = [
         F.xxhash64(F.lit(t), words[word].bitwiseAND(F.lit(_signed(mask))))
         for t, (word, mask, _) in enumerate(tables)
     ]
     first = nodes.select("*", F.posexplode(F.array(*keys)).alias("t", "bucket"))
-    hot = first.groupBy("bucket").count().filter(F.col("count") > limit).select("bucket")
+    counted = first if sampled == 1 else first.where(F.pmod(F.xxhash64(F.lit("counted"), "rep"), F.lit(sampled)) == 0)
+    hot = counted.groupBy("bucket").count().filter(F.col("count") > limit // sampled).select("bucket")
     hot = materialize(hot, "hot-buckets")
-    plain = first.join(hot, "bucket", "left_anti").select("bucket", *nodes.columns)
+    plain = first.join(hot, "bucket", "left_anti").select("bucket", *carried)
     finer = F.array(*[F.array(*[F.lit(_signed(m)) for m in x[2]]) for x in tables])
     word_of = F.array(*[F.lit(x[0]) for x in tables])
     again = first.join(hot, "bucket", "left_semi").select(
-        *nodes.columns,
+        *carried,
         "t",
         F.get(F.array(*words), F.get(word_of, F.col("t"))).alias("own"),
         F.posexplode(F.get(finer, F.col("t"))).alias("n", "mask"),
     )
     again = again.select(
         F.xxhash64("t", "n", F.col("own").bitwiseAND(F.col("mask"))).alias("bucket"),
-        *nodes.columns,
+        *carried,
     )
     return plain.unionByName(_blocks(again, limit))
 
@@ -303,25 +286,9 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT64, limit: int = LIMI
     words = [f"w{k}" for k in range(scheme.words)]
     signed = materialize(signatures(docs, scheme), "signatures")
     nodes = materialize(signed.groupBy(*words).agg(F.min("id").alias("rep")), "nodes")
-    buckets = _bucketed(nodes.filter("rep IS NOT NULL"), scheme, limit)
+    buckets = bucketed(nodes.filter("rep IS NOT NULL"), scheme, limit)
     roots = components(_links(buckets, scheme))
     named = nodes.join(roots, F.col("rep") == F.col("node"), "left").select(
         *words, F.coalesce("root", "rep").alias("component")
     )
     return signed.join(named, words).select("id", *words, "component")
-
-
-def keep_one_of_each(docs: DataFrame, scheme: Scheme, limit: int = LIMIT) -> DataFrame:
-    """The documents, same columns, less all but the smallest ``doc_id`` of each
-    group of near duplicates; of rows repeated under that id one stays. Rows
-    without an id cannot be grouped and stay. With a similarity in the scheme,
-    near duplicates are all pairs of that Jaccard similarity and no others."""
-    from pipewise.llm import near_sets
-
-    if scheme.similarity is None:
-        found = near_duplicates(docs, scheme, limit)
-    else:
-        found = near_sets.similar_documents(docs, scheme.similarity, scheme.shingle, limit)
-    kept = found.filter("id = component").select(F.col("id").alias("_kept")).distinct()
-    own = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    return own.dropDuplicates(["doc_id"]).union(docs.filter(docs["doc_id"].isNull()))

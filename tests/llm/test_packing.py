@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from itertools import accumulate
 
 import pytest
 from tokenizers import Tokenizer
@@ -77,4 +79,15 @@ def test_awkward_rows(docs_of, plain):
     check(packing.pack_documents(docs_of(list(texts.items())), tokenizer_path()).collect(), texts, plain)
     assert packing.pack_documents(docs_of([]), tokenizer_path()).collect() == []
     again = packing.pack_documents(docs_of([(7, "a b"), (7, "a b"), (None, "c")]), tokenizer_path())
-    assert sorted(r.length for r in again.collect()) == [2, 3, 3]
+    rows = again.collect()
+    # cut anywhere: the two rows under one id hold every one of their ids, each in one piece
+    assert sum(r.length for r in rows if r.doc_id is None) == 2
+    taken = Counter(k for r in rows if r.doc_id == 7 for k in range(r.start, r.start + r.length))
+    assert taken == {0: 2, 1: 2, 2: 2}
+    windows = {}
+    for r in rows:
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in windows.values():
+        assert [o for o, _ in sorted(pieces)] == [*accumulate([0, *[n for _, n in sorted(pieces)]])][:-1]
+        total = sum(n for _, n in pieces)
+        assert total & (total - 1) == 0

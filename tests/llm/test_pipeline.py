@@ -1,51 +1,52 @@
 import corpus_pipeline
-from pipewise.llm import decontamination, line_dedup, quality, simhash
-from pipewise.llm.queries import QUERIES
+from pipewise.llm import decontamination, line_dedup, quality
 from pipewise.llm.shared import read, tokenizer_path
+from pipewise.sources.scratch import materialize
 from tests.llm.test_line_dedup import brute as brute_lines
+from tests.llm.test_near_copies import groups, similar_pairs
 from tests.llm.test_packing import check
 
 
 def test_stages_against_brute_force(spark, sf):
     """Every stage by plain Python on the rows its predecessor kept."""
-    import numpy as np
     from tokenizers import Tokenizer
 
     docs = read(spark, sf, "documents")
     model = quality.fit(docs, read(spark, sf, "labels"))
-    texts = {
-        r.doc_id: r.text
-        for r in docs.collect()
-        if model.score(quality.word_ngrams(r.text.encode())) >= quality.THRESHOLD
-    }
-    texts = {i: t for i, _, _, t in brute_lines(list(texts.items()), line_dedup.MIN_DOCS)}
-    scheme = corpus_pipeline.NEAR
-    signs = {i: simhash.signature(t.encode(), scheme) for i, t in texts.items()}
-    root = {i: i for i in texts}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    masks = [(word, np.uint64(mask)) for word, mask, _ in simhash._tables(scheme)]
-    ids = sorted(texts)
-    for k, i in enumerate(ids):
-        for j in ids[:k]:
-            near = np.bitwise_count(signs[i] ^ signs[j]).sum() <= scheme.distance
-            if near and any((signs[i][w] ^ signs[j][w]) & m == 0 for w, m in masks):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    texts = {i: t for i, t in texts.items() if find(i) == i}
-    kept = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    held = {r.doc_id for r in decontamination.contaminated(kept, read(spark, sf, "benchmark")).collect()}
-    texts = {i: t for i, t in texts.items() if i not in held}
-
-    tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    rows = QUERIES["pipeline"](spark, sf).collect()
-    check(rows, texts, lambda t: tokenizer.encode(t, add_special_tokens=False).ids)
-    assert 0 < len(texts) < docs.count()
+    texts, out = {r.doc_id: r.text for r in docs.collect()}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialize(stage(spark, out, sf), "stage")
+        rows = out.collect()
+        kept = {r.doc_id: r["text"] for r in rows} if name != "packing" else {}
+        if name == "quality_classifier":
+            want = {
+                i: t for i, t in texts.items()
+                if model.score(quality.word_ngrams(t.encode())) >= quality.THRESHOLD
+            }
+            assert kept == want
+        elif name == "line_dedup":
+            assert kept == {i: t for i, _, _, t in brute_lines(list(texts.items()), line_dedup.MIN_DOCS)}
+        elif name == "simhash_near_dedup":
+            # nothing goes without a near copy that stays, nine tenths of the pairs are found
+            pairs = similar_pairs(list(texts.items()), 0.8)
+            root = groups(texts, pairs)
+            assert all(texts[i] == t for i, t in kept.items())
+            assert {i for i, c in root.items() if i == c} <= set(kept)
+            left = sum(i in kept and j in kept for i, j in pairs)
+            assert pairs and left <= 0.1 * len(pairs)
+        elif name == "benchmark_decontamination":
+            held = decontamination.contaminated(
+                spark.createDataFrame(list(texts.items()), "doc_id long, text string"),
+                read(spark, sf, "benchmark"),
+            )
+            gone = {r.doc_id for r in held.collect()}
+            assert gone and kept == {i: t for i, t in texts.items() if i not in gone}
+        else:
+            tokenizer = Tokenizer.from_file(tokenizer_path())
+            tokenizer.encode_special_tokens = True
+            check(rows, texts, lambda t: tokenizer.encode(t, add_special_tokens=False).ids)
+        texts = kept
+    assert sum(r.length for r in rows) > 0
 
 
 def test_columns_between_stages(spark, sf):

@@ -93,17 +93,6 @@ def test_without_id_and_without_rows(docs_of):
     assert simhash.near_duplicates(docs_of([])).collect() == []
 
 
-def test_keeps_one_of_each_group_and_the_columns(docs_of, table):
-    text = table("documents").filter("n_chars > 3000").first()["text"]
-    rng = random.Random(2)
-    pairs = [(7, text), (3, edited(text, rng, 2)), (8, text), (3, edited(text, rng, 2))]
-    pairs += [(20, "quite another text of a few words"), (None, text)]
-    docs = docs_of(pairs)
-    got = simhash.keep_one_of_each(docs, simhash.similar(0.8))
-    assert got.columns == docs.columns
-    assert sorted((r["doc_id"] or 0) for r in got.collect()) == [0, 3, 20]
-
-
 def test_components_of_a_long_chain(spark):
     chain = [(k, k + 1) for k in range(0, 200)] + [(500, 400), (400, 450), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
