@@ -123,20 +123,21 @@ def tier_reason(n_chars: Column, effects: Column, targets: Column, own: Column,
     )
 
 
-def scratch_name(table: Column, suffix: str, schema: str) -> Column:
+def scratch_name(table: Column, suffix: str | Column, schema: str) -> Column:
     """Scratch table for a target: everything after the first dot, suffixed."""
     rest = F.regexp_replace(table, r"^[^.]*\.?", "")
-    return F.concat(F.lit(f"{schema}."), rest, F.lit(f"_test_{suffix}"))
+    end = F.lit(suffix) if isinstance(suffix, str) else suffix
+    return F.concat(F.lit(f"{schema}."), rest, F.lit("_test_"), end)
 
 
-def suffix_targets(source: Column, targets: Column, suffix: str,
+def suffix_targets(source: Column, targets: Column, suffix: str | Column,
                    schema: str = "scratch") -> Column:
     """Point a script at scratch copies of its targets, target by target.
 
-    Quoted names go first, so that a name ending in a dot is still caught;
+    A suffix may be a column of plain words, one per script. Quoted names go first, so that a name ending in a dot is still caught;
     what is left is replaced as a whole word.
     """
-    if not re.fullmatch(r"\w+", suffix) or not re.fullmatch(r"\w+", schema):
+    if isinstance(suffix, str) and not re.fullmatch(r"\w+", suffix) or not re.fullmatch(r"\w+", schema):
         raise ValueError("suffix and schema must be plain words")
 
     def rename(text: Column, table: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +9,6 @@ from pipewise.functions import text
 from pipewise.functions.fixed_values import PARQUET_VAR, SQL_SOURCE, SQL_VAR, TEMP_VIEW
 from pipewise.sources.scratch import materialize
 
-_ROUNDS_APART = 16
-"""So many rounds are kept as tables of their own before they are put together."""
-
 
 def _pairs(code: Column, folded: Column, word: str, pattern: str) -> Column:
     """Both groups of every match, as ``array<struct<a, b>>``.
@@ -139,38 +134,45 @@ def unsafe_closure(edges: DataFrame, seeds: DataFrame, keys: list[str] | None =
 
     ``edges`` has the keys, dst and src; ``seeds`` has the keys and name. Gives
     the keys, name, derived_from (NULL for a seed; the smallest of the sources
-    that made it unsafe first) and hops.
-
-    Eager: the edges (unless they are ``written`` already) and every round are
-    written to the scratch folder, so the edges are worked out once, the plan does not grow, and a lost executor
-    costs one round. A round whose frontier is small on disk is broadcast by
-    Catalyst and leaves the edges unshuffled. Known names are never entered
-    again, so cycles end by themselves and the loop stops at the first round
-    that finds nothing new.
+    that made it unsafe first) and hops, the fewest there are.
+
+    Reach doubles: round k has steps of 2^k edges, found from two steps of half
+    the length, and takes every name less than 2^k hops away on by one of them.
+    A chain of n names takes log2(n) rounds. A step onto a name that is known is
+    of no use any more, neither now nor as part of a longer one, and is dropped,
+    so cycles end by themselves; the loop ends at the first round that finds
+    nothing new. Eager: the edges (unless they are ``written`` already) and every
+    round are written to the scratch folder, so the plan does not grow and a lost
+    executor costs one round.
     """
     keys = keys or []
     node = [*keys, "name"]
+    edges = edges.select(*keys, "dst", "src")
     if not written:
-        edges = materialize(edges.select(*keys, "dst", "src").distinct(), "edges")
-    first = seeds.select(*node).distinct().select(
-        *node, F.lit(None).cast("string").alias("derived_from"), F.lit(0).alias("hops")
-    )
-    frontier = materialize(first, "unsafe-0")
-    seen, hop = [frontier], 0
+        edges = materialize(edges.distinct(), "edges")
+    known = materialize(seeds.select(*node).distinct().withColumn("hops", F.lit(0)), "unsafe-0")
+    steps, length = edges.where("dst <> src"), 1
     while True:
-        hop += 1
-        known = reduce(DataFrame.unionByName, [r.select(*node) for r in seen])
+        useful = steps.join(known.select(*keys, F.col("name").alias("dst")), [*keys, "dst"], "left_anti")
+        useful = materialize(useful, f"steps-{length}")
         reached = (
-            edges.join(frontier.select(*keys, F.col("name").alias("src")), [*keys, "src"])
+            useful.join(known.withColumnRenamed("name", "src"), [*keys, "src"])
             .groupBy(*keys, F.col("dst").alias("name"))
-            .agg(F.min("src").alias("derived_from"))
-            .join(known, node, "left_anti")
-            .select(*node, "derived_from", F.lit(hop).alias("hops"))
+            .agg((F.min("hops") + length).cast("int").alias("hops"))
         )
-        frontier = materialize(reached, f"unsafe-{hop}")
-        if frontier.isEmpty():
+        reached = materialize(reached, f"unsafe-{length}")
+        if reached.isEmpty():
             break
-        seen.append(frontier)
-        if len(seen) > _ROUNDS_APART:
-            seen = [materialize(reduce(DataFrame.unionByName, seen), "unsafe-so-far")]
-    return reduce(DataFrame.unionByName, seen)
+        known = materialize(known.unionByName(reached), f"unsafe-to-{2 * length}")
+        on = useful.select(*keys, F.col("src").alias("middle"), F.col("dst").alias("end"))
+        longer = useful.withColumnRenamed("dst", "middle").join(on, [*keys, "middle"])
+        steps = longer.select(*keys, F.col("end").alias("dst"), "src").where("dst <> src").distinct()
+        length *= 2
+    before = known.select(*keys, F.col("name").alias("src"), (F.col("hops") + 1).alias("hops"))
+    sources = (
+        edges.join(before, [*keys, "src"])
+        .join(known.withColumnRenamed("name", "dst"), [*keys, "dst", "hops"])
+        .groupBy(*keys, F.col("dst").alias("name"), "hops")
+        .agg(F.min("src").alias("derived_from"))
+    )
+    return known.join(sources, [*node, "hops"], "left").select(*node, "derived_from", "hops")

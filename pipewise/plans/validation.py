@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pipewise.functions import scan
 from pipewise.operators.equivalence import Pair, ladder, schema_diff, schema_summary, table_diff
-from pipewise.sources.scratch import materialize
+from pipewise.sources.ledger_store import drop_scratch, empty_copy
+from pipewise.sources.scratch import materialize, new_path
 
 CHECKS = (
     "proposal string, table string, smoke_ok boolean, smoke_only boolean, "
@@ -112,3 +116,99 @@ def validate_tables(spark: SparkSession, pairs: list[Pair], smoke_failed: set[st
 def schema_report(spark: SparkSession, pairs: list[Pair]) -> DataFrame:
     """Which columns of each pair are missing, added or changed."""
     return schema_summary(schema_diff(spark, pairs))
+
+
+# --- from scanned scripts to statuses ------------------------------------------
+
+Run = Callable[[SparkSession, str, str], None]
+"""Runs a script, given the proposal and the text; raises if it fails."""
+
+
+def check_plan(scripts: DataFrame, mode: str = "on", schema: str = "scratch") -> DataFrame:
+    """(proposal_id, check, target_tables, scratch_tables, source): which check each
+    rewrite gets, and its text pointed at scratch tables of its own.
+
+    ``scripts`` has proposal_id, source (the new text), tier, side_effects and
+    target_tables, as ``scan_scripts`` gives them. The suffix of a proposal's
+    scratch tables is a hash of its id, so that proposals with one target keep
+    apart.
+    """
+    suffix = F.lower(F.hex(F.xxhash64("proposal_id")))
+    return scripts.select(
+        "proposal_id",
+        scan.rewrite_check(F.col("tier"), F.col("side_effects"), mode).alias("check"),
+        "target_tables",
+        F.transform("target_tables", lambda t: scan.scratch_name(t, suffix, schema)).alias("scratch_tables"),
+        scan.suffix_targets(F.col("source"), F.col("target_tables"), suffix, schema).alias("source"),
+    )
+
+
+def _table(spark: SparkSession, name: str) -> DataFrame:
+    """The table; one that cannot be read has columns that nothing equals."""
+    try:
+        return spark.table(name)
+    except PySparkException:
+        return spark.createDataFrame([], f"no_table_{abs(hash(name))} int")
+
+
+def _smoke_run(spark: SparkSession, row, run: Run) -> str | None:
+    """What went wrong: ``failed`` before the script ran, ``smoke_failed`` in it."""
+    folded = [t.lower() for t in row.scratch_tables]
+    if len(set(folded)) < len({t.lower() for t in row.target_tables}):
+        return "failed"  # two targets would share a scratch table
+    try:
+        for target, stand_in in zip(row.target_tables, row.scratch_tables):
+            if spark.catalog.tableExists(target):
+                empty_copy(spark.table(target)).write.saveAsTable(stand_in)
+    except PySparkException:
+        return "failed"
+    try:
+        run(spark, row.proposal_id, row.source)
+    except Exception:  # noqa: BLE001 - whatever stops a script is its failure
+        return "smoke_failed"
+    return None
+
+
+def validate_scripts(spark: SparkSession, scripts: DataFrame, run: Run, mode: str = "on",
+                     schema: str = "scratch", rel_tol: float = 0.0) -> DataFrame:
+    """(proposal, n_pairs, validation_status): every rewrite run against scratch
+    tables and held against the tables its targets are.
+
+    ``scripts`` as for ``check_plan``; the batch comes to the driver, where runs
+    are started, so it is as large as the day's quota of proposals. Each script
+    finds an empty copy of every target that exists, with the target's columns.
+    Two targets on one scratch name, or a copy that cannot be made: failed. A
+    target or scratch table that cannot be read after the run is a schema
+    mismatch. Not checked by mode, tier or side effects: skipped. All data
+    comparisons are one plan. Scratch tables are dropped at the end, whatever
+    happens. Eager.
+    """
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema} LOCATION '{new_path(spark, schema)}'")
+    rows = sorted(check_plan(scripts, mode, schema).collect(), key=lambda r: r.proposal_id)
+    pairs, fixed, smoke_failed, smoke_only, checked = [], [], set(), set(), []
+    try:
+        for row in rows:
+            if row.check == "skip":
+                fixed.append((row.proposal_id, 0, "skipped"))
+                continue
+            wrong = _smoke_run(spark, row, run)
+            if wrong == "failed":
+                fixed.append((row.proposal_id, 0, "failed"))
+                continue
+            checked.append(row.proposal_id)
+            if wrong:
+                smoke_failed.add(row.proposal_id)
+            if row.check == "smoke":
+                smoke_only.add(row.proposal_id)
+            elif not wrong:
+                pairs += [
+                    Pair(row.proposal_id, target, _table(spark, target), _table(spark, stand_in))
+                    for target, stand_in in zip(row.target_tables, row.scratch_tables)
+                ]
+        statuses = spark.createDataFrame(fixed, "proposal string, n_pairs long, validation_status string")
+        if checked:
+            found = validate_tables(spark, pairs, smoke_failed, smoke_only, checked, rel_tol)
+            statuses = statuses.unionByName(found)
+        return materialize(statuses, "validated")
+    finally:
+        drop_scratch(spark, [t for row in rows if row.check != "skip" for t in row.scratch_tables])

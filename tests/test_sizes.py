@@ -156,3 +156,88 @@ def test_script_paths_begin_after_the_root(spark, tmp_path):
     for asked in (str(root), f"file:{root}/", f"file://{root}"):
         got = [r.path for r in scripts.read_scripts(spark, asked).collect()]
         assert got == [f"/jobs{root}/a+b%41/z.py"]
+
+
+def test_missing_roots_are_listed_with_the_others(spark, tmp_path, monkeypatch):
+    for name in ("plain", "odd {a,b}*[x]?", "c^d"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f").write_bytes(b"1" * 9)
+    asked = [f"{tmp_path}/{n}" for n in ("plain", "odd {a,b}*[x]?", "c^d", "none", "odd a")]
+    asked += [f"file:{tmp_path}/plain", f"file:{tmp_path}/none"]
+    got = {r.root: r.size_bytes for r in files.path_sizes(spark, asked).collect()}
+    assert got == dict(zip(asked, [9, 9, 9, -1, -1, 9, -1]))
+
+
+def test_one_path_on_two_file_systems(spark):
+    rows = [("hdfs://h:1/d/x", 5), ("s3a://b/d/x", 7), ("/d/y", 11)]
+    listed = spark.createDataFrame(rows, "path string, length bigint")
+    asked = ["/d", "hdfs://h:1/d", "s3a://b/d", "s3a://b/e"]
+    roots = spark.createDataFrame([(r,) for r in asked], "root string")
+    got = {r.root: r.size_bytes for r in files.dir_sizes(listed, roots, "hdfs://h:1").collect()}
+    assert got == dict(zip(asked, [16, 16, 7, -1]))
+
+
+def test_sizes_of_named_tables(spark, tmp_path):
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS named LOCATION '{tmp_path}/named'")
+    rows = spark.range(1000).selectExpr("id", "id % 2 AS part")
+    rows.where("part = 0").write.partitionBy("part").saveAsTable("named.parted")
+    rows.where("part = 1").drop("part").write.parquet(f"{tmp_path}/elsewhere")
+    spark.sql(f"ALTER TABLE named.parted ADD PARTITION (part = 1) LOCATION '{tmp_path}/elsewhere'")
+    rows.limit(0).write.saveAsTable("named.empty")
+    spark.sql("CREATE VIEW named.seen AS SELECT 1 AS one")
+    names = ["named.parted", "NAMED.Parted", "named.empty", "named.seen", "named.none", "not a name"]
+    sizes_of = files.named_table_sizes(spark, names)
+    got = {r.name: r.size_bytes for r in sizes_of.collect()}
+    inside = sum(p.stat().st_size for p in (tmp_path / "named" / "parted").rglob("*.parquet"))
+    outside = sum(p.stat().st_size for p in (tmp_path / "elsewhere").glob("*.parquet"))
+    assert inside and outside
+    assert got == {
+        "named.parted": inside + outside, "named.empty": 0, "named.seen": -1, "named.none": -1, "not a name": -1,
+    }
+    assert files.named_table_sizes(spark, []).count() == 0
+    spark.sql("DROP SCHEMA named CASCADE")
+
+
+def test_long_chains_close_in_few_rounds(spark, monkeypatch):
+    from pipewise.operators import lineage
+
+    rounds = []
+
+    def counted(df, name):
+        rounds.append(name)
+        return materialize(df, name)
+
+    materialize = lineage.materialize
+    monkeypatch.setattr(lineage, "materialize", counted)
+    edges = spark.range(10_000).selectExpr("concat('n', id + 1) AS dst", "concat('n', id) AS src")
+    cycle = spark.createDataFrame([("n3", "n9000"), ("x", "x"), ("y", "n0"), ("y", "a")], "dst string, src string")
+    seeds = spark.createDataFrame([("n0",), ("z",), ("x",)], "name string")
+    got = {r.name: r for r in unsafe_closure(edges.union(cycle), seeds).collect()}
+    assert len([n for n in rounds if n.startswith("steps-")]) < 20
+    assert len(got) == 10_004 and got["n10000"].hops == 10_000 and got["n10000"].derived_from == "n9999"
+    assert (got["y"].hops, got["y"].derived_from, got["x"].hops) == (1, "n0", 0)
+
+
+def test_closure_equals_breadth_first_search(spark):
+    import random
+
+    rng = random.Random(6)
+    for n, m in ((12, 20), (40, 60), (60, 45), (30, 200)):
+        rows = [(rng.randrange(2), rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        starts = [(k, rng.randrange(n)) for k in (0, 1) for _ in range(2)]
+        want = {}
+        for key in (0, 1):
+            hops = {name: 0 for k, name in starts if k == key}
+            last, hop = set(hops), 0
+            while last:
+                hop += 1
+                last = {d for k, d, s in rows if k == key and s in last} - set(hops)
+                hops.update(dict.fromkeys(last, hop))
+            for name, h in hops.items():
+                before = [s for k, d, s in rows if k == key and d == name and hops.get(s) == h - 1]
+                want[key, name] = (min(before, key=str) if h else None, h)
+        e = spark.createDataFrame([(k, str(d), str(s)) for k, d, s in rows], "key int, dst string, src string")
+        s = spark.createDataFrame([(k, str(x)) for k, x in starts], "key int, name string")
+        got = unsafe_closure(e, s, ["key"]).collect()
+        assert {(r.key, int(r.name)): (None if r.derived_from is None else int(r.derived_from), r.hops) for r in got} == want
+        assert len(got) == len(want)
