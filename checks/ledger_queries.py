@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from checks.fixtures import AS_OF
@@ -9,7 +11,7 @@ from checks.registry import PARTS, fx, query
 from checks.run_queries import _gains
 from pipewise.operators import acceptance, ledger, reporting
 from pipewise.plans.daily import positions
-from pipewise.sources.ledger_store import append, read
+from pipewise.sources.ledger_store import append, current_events, read, write_state
 from pipewise.sources.report_sink import write_report
 from pipewise.sources.scratch import new_path
 
@@ -153,6 +155,17 @@ def ledger_current(spark, sf):
     return ledger.ledger_current(fx(spark, sf, "fx_events"))
 
 
+@query("ledger_state", "SELECT * FROM oq_current")
+def ledger_state(spark, sf):
+    """A batch appended twice, and the state from two written months and the rest."""
+    place, events = new_path(spark, "ledger"), fx(spark, sf, "fx_events")
+    for _ in range(2):
+        append(events, place, "events", batch="all")
+    for month in (dt.date(1994, 1, 1), dt.date(1996, 7, 1)):
+        write_state(spark, place, month)
+    return ledger.ledger_current(current_events(spark, place))
+
+
 @query(
     "proposal_details",
     """SELECT s.proposal_id, created_ts, task_key, original_path, v2_path, duration_original_s, tier, validation_status,

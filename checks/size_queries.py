@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 
 from pyspark.sql import functions as F
 
-from checks.registry import PARTS, fx, query, table
+from checks.registry import PARTS, TABLES, fx, query, table
 from pipewise.operators import equivalence, lineage, sizes
 from pipewise.operators.equivalence import Pair
-from pipewise.plans.validation import data_checks, validate_tables
+from pipewise.operators.corpus import scan_scripts
+from pipewise.plans.validation import data_checks, validate_scripts, validate_tables
 from pipewise.sources import files
+from pipewise.sources.scratch import new_path
 
 LIMIT = 200 * 1024 * 1024
 
@@ -274,3 +278,65 @@ def table_diff(spark, sf):
 )
 def validate_all(spark, sf):
     return validate_tables(spark, _pairs(spark, sf))
+
+
+def _catalog(spark, sf, kind):
+    """A schema of the catalog for this folder of tables."""
+    name = f"{kind}_{zlib.crc32(sf.encode()):08x}"
+    if not spark.catalog.databaseExists(name):
+        spark.sql(f"CREATE SCHEMA {name} LOCATION '{new_path(spark, name)}'")
+    return name
+
+
+@query("named_table_sizes")
+def named_table_sizes(spark, sf):
+    """Sizes of the given tables by their name in the catalog, and of names that
+    are none; DuckDB cannot see files, so the tests compare with the disk."""
+    schema = _catalog(spark, sf, "given")
+    for t in TABLES:
+        if not spark.catalog.tableExists(f"{schema}.{t}"):
+            spark.sql(f"CREATE TABLE {schema}.{t} USING parquet LOCATION '{sf}/{t}.parquet'")
+    names = [f"{schema}.{t}" for t in (*TABLES, "no_table")]
+    return files.named_table_sizes(spark, names).withColumn("name", F.split_part("name", F.lit("."), F.lit(2)))
+
+
+def _rewrites(schema, sf):
+    """Scripts that fill a copy of orders, in ways that lead to every status."""
+    write = f"INSERT INTO {schema}.orders SELECT * FROM parquet.`{sf}/orders.parquet`"
+    value = "o_totalprice + CASE WHEN o_orderkey = 1 THEN 1 ELSE 0 END AS o_totalprice"
+    shape = f"CREATE TABLE {schema}.orders USING parquet AS SELECT *, 1 AS extra FROM parquet.`{sf}/orders.parquet`"
+    scripts = {
+        "same": [write],
+        "fewer rows": [f"{write} WHERE o_orderkey % 7 <> 0"],
+        "other sum": [write.replace("SELECT *", f"BY NAME SELECT * EXCEPT (o_totalprice), {value}")],
+        "other shape": [f"DROP TABLE {schema}.orders", shape],
+        "crash": [f"{write} WHERE no_such_column = 1"],
+        "no target": [f"SELECT count(*) FROM parquet.`{sf}/orders.parquet`"],
+        "mails": [write, "SELECT 1 -- requests.post(url)"],
+        "one scratch name": [f"INSERT INTO {schema}.orders SELECT 1", f"INSERT INTO {schema}_b.orders SELECT 1"],
+    }
+    return {p: "\n".join(f'spark.sql("{x}")' for x in own) for p, own in scripts.items()}
+
+
+@query(
+    "validate_scripts",
+    """SELECT 'same' AS proposal, CAST(1 AS BIGINT) AS n_pairs, 'passed' AS validation_status
+UNION ALL SELECT 'fewer rows', 1, CASE WHEN count(*) FILTER (o_orderkey % 7 = 0) = 0 THEN 'passed' ELSE 'data_mismatch' END FROM orders
+UNION ALL SELECT 'other sum', 1, CASE WHEN count(*) FILTER (o_orderkey = 1) = 0 THEN 'passed' ELSE 'data_mismatch' END FROM orders
+UNION ALL SELECT 'other shape', 1, 'schema_mismatch'
+UNION ALL SELECT 'crash', 0, 'smoke_failed'
+UNION ALL SELECT 'no target', 0, 'smoke_passed'
+UNION ALL SELECT 'mails', 0, 'skipped'
+UNION ALL SELECT 'one scratch name', 0, 'failed'""",
+)
+def validate_all_scripts(spark, sf):
+    schema = _catalog(spark, sf, "checked")
+    if not spark.catalog.tableExists(f"{schema}.orders"):
+        table(spark, sf, "orders").write.saveAsTable(f"{schema}.orders")
+    scripts = spark.createDataFrame(list(_rewrites(schema, sf).items()), "proposal_id string, source string")
+
+    def run(spark, proposal, source):
+        for statement in re.findall(r'spark\.sql\("(.*?)"\)', source, re.S):
+            spark.sql(statement).collect()
+
+    return validate_scripts(spark, scan_scripts(scripts), run)

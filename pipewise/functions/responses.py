@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from pipewise.functions.text import is_blank, let, trim_all
@@ -29,9 +32,41 @@ def json_texts(raw: Column) -> list[Column]:
     return [text, unfenced, block, outer]
 
 
+_REPEATED = "spark.sql.variant.allowDuplicateKeys"
+
+
+@contextmanager
+def repeated_keys(spark: SparkSession) -> Iterator[None]:
+    """Variants parsed by plans made within may repeat keys: the last one counts.
+    The session is left as it was."""
+    before = spark.conf.get(_REPEATED)
+    spark.conf.set(_REPEATED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_REPEATED, before)
+
+
+_LOOSE_NUMBER = (
+    r'(?s)\G((?:[^"NI-]++|"(?:[^"\\]++|\\.)*+"|-(?!Infinity)|N(?!aN)|I(?!nfinity))*+)(NaN|-?Infinity)'
+)
+"""Text up to the next NaN or Infinity outside of a string, and that number."""
+
+
+def quoted_numbers(text: Column) -> Column:
+    """NaN and the infinities, which JSON does not have, as strings of that name;
+    inside strings nothing changes."""
+    return F.when(
+        text.contains("NaN") | text.contains("Infinity"),
+        F.regexp_replace(text, _LOOSE_NUMBER, '$1"$2"'),
+    ).otherwise(text)
+
+
 def parsed_response(raw: Column) -> Column:
     """``struct(method, is_object, doc)`` of the first reading that is JSON as a
-    whole; NULL if none is. Readings after it are not tried."""
+    whole; NULL if none is. Readings after it are not tried. NaN and the
+    infinities are read as strings. Of a key that an object repeats the last
+    counts if the session reads variants so (``repeated_keys``)."""
 
     def whole(text: Column) -> Column:
         # The parser stops after the first value. With more text behind it, the
@@ -44,7 +79,7 @@ def parsed_response(raw: Column) -> Column:
 
     def parse(method: int, text: Column) -> Column:
         # Failing to parse is the dear case, so what cannot be JSON is not tried.
-        doc = F.when(text.rlike(r'^[\[{"\-0-9tfn]'), whole(text))
+        doc = F.when(text.rlike(r'^[\[{"\-0-9tfnNI]'), whole(quoted_numbers(text)))
         return let(
             doc,
             lambda d: F.when(

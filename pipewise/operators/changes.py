@@ -48,9 +48,11 @@ def parse_responses(raw_responses: DataFrame) -> DataFrame:
     """Parsed document of each response (NULL if none) and how it was found.
 
     ``method`` is 1 to 4, or 0 where nothing parses; a document that is no
-    object is an error too.
+    object is an error too. Of repeated keys the last counts; NaN and the
+    infinities are read as strings.
     """
-    parsed = raw_responses.withColumn("_p", responses.parsed_response(F.col("raw")))
+    with responses.repeated_keys(raw_responses.sparkSession):
+        parsed = raw_responses.withColumn("_p", responses.parsed_response(F.col("raw")))
     return parsed.select(
         *raw_responses.columns,
         F.coalesce(F.col("_p.method"), F.lit(0)).alias("method"),

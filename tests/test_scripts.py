@@ -258,3 +258,28 @@ def test_blank_and_fold(spark):
         text.is_blank(F.col("a")), text.fold(F.col("b")).contains("isk")
     ).first()
     assert tuple(row) == (True, True)
+
+
+def test_repeated_keys_and_loose_numbers(spark):
+    import json
+
+    texts = [
+        '{"optimized_code": "first", "optimized_code": "last"}',
+        '{"a": {"b": 1, "b": 2, "b": 3}, "optimized_code": "x"}',
+        '{"analysis": {"x": NaN, "y": [Infinity, -Infinity, -1], "z": "NaN \\" Infinity"}, "optimized_code": "N"}',
+        'text {"optimized_code": "Infinity -Infinity NaN", "n": NaN} more',
+        '{"optimized_code": "open, NaN}',
+        '{"n": NaNs}',
+        '{"n": -Infinity, "optimized_code": "' + "a \\\\ b" * 20000 + '"}',
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "response_id int, raw string")
+    rows = changes.choose_rewrite(changes.parse_responses(df)).select(
+        "response_id", "method", "parsed", "whole_script", "analysis", F.col("doc").cast("string").alias("doc")
+    )
+    got = {r.response_id: r for r in rows.collect()}
+    assert got[0].whole_script == "last" and got[1].whole_script == "x"
+    assert json.loads(got[2].analysis) == {"x": "NaN", "y": ["Infinity", "-Infinity", -1], "z": 'NaN " Infinity'}
+    assert got[3].whole_script == "Infinity -Infinity NaN" and got[3].method == 4
+    assert not got[4].parsed and not got[5].parsed
+    assert got[6].whole_script == json.loads(texts[6].replace("-Infinity", "0"))["optimized_code"]
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
