@@ -236,7 +236,13 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
                 places, hashes = windows_of(own, size)
                 bit = hashes & (64 * BITMAP_WORDS - 1)
                 hit = bitmap[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1) > 0
-                for p, h in zip(places[hit].tolist(), hashes[hit].tolist()):
+                places, hashes = places[hit], hashes[hit]
+                if size < LITERAL:
+                    # words only, one window per item: one place in a text says all
+                    keys = np.stack([own.owner[places], hashes])
+                    once = np.unique(keys, axis=1, return_index=True)[1] if len(places) else []
+                    places, hashes = places[once], hashes[once]
+                for p, h in zip(places.tolist(), hashes.tolist()):
                     k = own.owner[p]
                     rows.append((ids[k], n, int(p - firsts[k]), size, h, own.slots(p, size)))
         return record_batch(rows, HITS)
@@ -267,8 +273,11 @@ def chain(runs: np.ndarray) -> list[tuple[int, int, int]]:
     pos, at, size = runs.T
     best, back = size.copy(), np.full(len(runs), -1)
     cut = np.zeros(len(runs), np.int64)
+    # at most the item's length and SLACK lie between the places of neighbours
+    lows = np.searchsorted(pos, pos - (int(at.max()) + SLACK))
     for k in range(1, len(runs)):
-        i = np.flatnonzero(np.abs((pos[:k] - at[:k]) - (pos[k] - at[k])) <= SLACK)
+        low = int(lows[k])
+        i = low + np.flatnonzero(np.abs((pos[low:k] - at[low:k]) - (pos[k] - at[k])) <= SLACK)
         lost = np.maximum(0, np.maximum(at[i] + size[i] - at[k], pos[i] + size[i] - pos[k]))
         value = np.where((at[i] <= at[k]) & (lost < size[k]), best[i] + size[k] - lost, 0)
         if len(i) and value.max() > best[k]:
@@ -335,7 +344,9 @@ def contaminated(
     and their slots are consistent; of several diagonals the one with most
     windows, then fewest changed slots, is reported. Where no diagonal does, a
     chain of neighbouring ones counts: words put in, left out or written as more
-    words. Both hold in any reading. ``changed_slots`` counts
+    words. Both hold in any reading; the words as written have no slots, so an
+    item whose windows match often enough as written is held, also where two of
+    its values became one. ``changed_slots`` counts
     the values that differ: 0 for a copy, more for a question asked again.
     Items without a window of enough words (few words, or placeholders only)
     are found as written only, an item of one word in every text that has it;
@@ -377,13 +388,8 @@ def contaminated(
     best = materialize(best, "single-diagonals")
     more = _chained(met.join(best, ["doc_id", "item_id"], "left_anti"), share)
     more = materialize(more, "chains")
-    # a part as written does not count where the template says that values were mixed up
-    part = (F.col("reading") == PLAIN) & (F.col("matched") < F.col("item_windows"))
-    mixed = more.filter("reading = 0 AND NOT held").select("doc_id", "item_id")
+    # the words as written have no slots: their share decides alone, whatever a template says
     more = more.filter("held")
-    more = more.filter(~part).unionByName(
-        more.filter(part).join(mixed, ["doc_id", "item_id"], "left_anti")
-    )
     more = more.groupBy("doc_id", "item_id").agg(
         F.max(
             F.struct(

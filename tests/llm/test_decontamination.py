@@ -32,7 +32,7 @@ def again(text, **names):
 
 def test_copies_and_questions_asked_again(docs_of, items_of):
     changed = again(ITEM, Anna_Smith="Carla", Bob="Dr Otto Weiss", Paris="Rome").replace("12", "1,250")
-    mixed = ITEM.replace("5 of them", "12 of them")  # two values of the item become one
+    mixed = ITEM.replace("5 of them", "12 of them")  # two values become one
     docs = docs_of(
         [
             (1, f"Before it. {ITEM} And after."),
@@ -49,7 +49,8 @@ def test_copies_and_questions_asked_again(docs_of, items_of):
     )
     items = items_of([(70, ITEM), (71, OTHER), (72, None), (73, ""), (74, "1 2 3 4 5 6 7 8 9"), (None, ITEM)])
     got = found(docs, items)
-    assert set(got) == {(1, 70), (2, 70), (7, 70), (3, 71)} | ({(4, 70)} & set(got))
+    # 8 differs from the item in one number: held as written
+    assert set(got) == {(1, 70), (2, 70), (4, 70), (7, 70), (8, 70), (3, 71)}
     # in 7 the first word is read as part of a name
     assert got[1, 70][2] == 0 and got[7, 70][2] <= 1 and got[2, 70][2] == 4
     assert got[1, 70][0] == got[1, 70][1]

@@ -55,3 +55,27 @@ def test_copies_in_capitals_and_in_lower_case(docs_of, items_of):  # noqa: F811
     items = items_of([(70, ITEM), (71, STORY)])
     got = found(docs_of([(1, ITEM.upper()), (2, ITEM.lower()), (3, STORY.upper())]), items)
     assert {k: c for k, (_, _, c) in got.items()} == {(1, 70): 0, (2, 70): 0, (3, 71): 0}
+
+
+def test_slots_refuse_only_what_leans_on_changed_placeholders(docs_of, items_of):  # noqa: F811
+    item = "Tom bought 3 kg of rice and 4 kg of beans, then gave 5 kg to Ann for her 6 friends."
+    one = "Tom bought 9 kg of rice and 9 kg of beans, then gave 9 kg to Ann for her 9 friends."
+    asked = "Tom bought 7 kg of rice and 8 kg of beans, then gave 9 kg to Ann for her 2 friends."
+    got = found(docs_of([(1, one), (2, asked), (3, f"{item} {item}".replace("4", "3", 1))]), items_of([(70, item)]))
+    assert set(got) == {(2, 70), (3, 70)}
+
+
+def test_repetitive_texts_are_chained_in_bounded_steps():
+    import time
+
+    import numpy as np
+
+    runs = np.array([[p, 0, 113] for p in range(40000)])
+    began = time.monotonic()
+    assert sum(n for _, _, n in dc.chain(runs)) >= 113
+    assert time.monotonic() - began < 20
+
+
+def test_common_words_count_once_per_text(docs_of, items_of):  # noqa: F811
+    docs = docs_of([(1, "whale " * 5000), (2, "a whale, and another whale"), (3, "whales")])
+    assert found(docs, items_of([(5, "Whale")])) == {(1, 5): (1, 1, 0), (2, 5): (1, 1, 0)}
