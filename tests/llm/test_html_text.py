@@ -1,5 +1,6 @@
 import html
 import re
+from collections import Counter
 
 from pipewise.llm import html_text
 
@@ -61,3 +62,64 @@ def test_awkward_rows(spark):
     got = html_text.extract_main_text(pages).collect()
     assert sorted(r.n_chars for r in got) == [0, 0] + [len(WANT)] * 3
     assert html_text.extract_main_text(pages.limit(0)).collect() == []
+
+
+def test_the_rules_find_the_text_without_article_tags(spark, sf):
+    got = wanted = other = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        whole = Counter(html_text.main_text(r.html).split())
+        found = Counter(html_text.main_text(re.sub(r"</?article>", "", r.html)).split())
+        got, wanted = got + (whole & found).total(), wanted + whole.total()
+        other += (found - whole).total()
+    assert got >= 0.95 * wanted and other <= 0.01 * wanted
+
+
+def test_elements_without_their_end():
+    page = "<article><p>one two</p>{}<p>three four</p></article>"
+    for inside in (
+        "<svg class=i/>",
+        '<svg class="i" /><svg><path d="m"/></svg>',
+        "<svg><text>x</text>",
+        "<object data=x>",
+        "<math><mi>x</mi></math>",
+        "<script>if (a </b) x</script>",
+        "<select><option>x</option></select>",
+    ):
+        assert html_text.main_text(page.format(inside)) == "one two three four", inside
+    head = "<html><head><title>T</title><meta charset=utf-8><body><article><p>text</p></article>"
+    assert html_text.main_text(head) == "text"
+    assert html_text.main_text(head.replace("<body>", "")) == "text"
+    assert html_text.main_text("<article><p>" + "a<svg>" * 20000 + "<p>b").endswith("b")
+
+
+def test_names_count_whole_and_not_everywhere():
+    kept = (
+        '<body class="has-sidebar"><p>{}</p></body>',
+        '<section id="related-work"><p>{}</p></section>',
+        '<div class="warning"><p>{}</p></div>',
+        '<article class="post social"><p>{}</p></article>',
+        '<article><section id="discussion"><p>{}</p></section></article>',
+        '<main class="search"><p>{}</p></main>',
+    )
+    for page in kept:
+        assert html_text.main_text(page.format(TEXT)) == TEXT, page
+    gone = ("cookie-notice", "x comments", "relatedPosts", "ad-2", "share_buttons", "site-footer")
+    for name in gone:
+        page = f'<article><p>{TEXT}</p><div class="{name}"><p>{TEXT}</p></div></article>'
+        assert html_text.main_text(page) == TEXT, name
+    assert html_text.main_text(f'<article><h2 id="search">Search</h2><p>{TEXT}</p></article>') == f"Search {TEXT}"
+
+
+def test_a_language_without_stop_list():
+    lines = [
+        f"Mzee wa kijiji namba {k} alisema kuwa mvua ya masika ni ndefu na watu wa pwani ya "
+        "kusini wana mashua ya mbao na nyavu za kuvulia samaki kila siku ya wiki."
+        for k in range(8)
+    ]
+    text = "".join(f"<p>{x}</p>" for x in lines)
+    links = '<ul><li><a href="/">Nyumbani</a><li><a href="/h">Habari</a></ul>'
+    page = f"<body>{links}<div><h1>Mvua ya masika</h1>{text}</div>{links}</body>"
+    assert html_text.main_text(page) == " ".join(["Mvua ya masika", *lines])
+    signs = ["今日は村の人々が海の近くの市場で魚を売る日です。" * 6 for _ in range(3)]
+    page = f"<body>{links}" + "".join(f"<p>{x}</p>" for x in signs) + "</body>"
+    assert html_text.main_text(page) == " ".join(signs)
