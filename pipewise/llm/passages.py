@@ -14,7 +14,13 @@ texts cannot be shuffled, so text that cannot repeat is sieved out first:
    kept with them.
 3. Distinct segments of a pick meet in one task, where the operator's own
    method finds the windows that occur earlier. A pick with over ``limit``
-   distinct segments is taken apart: its windows are grouped by their digests.
+   distinct segments is taken apart by its earliest holder, found by a grouped
+   minimum: every segment is extended from the pick against it, word by word. The
+   windows both have are settled. The others reach past the first difference on
+   one side; with it the anchor grows by a token or more, and segments meet again
+   by the longer anchor. A round has at most two rows per segment, whatever the
+   size of the group, and there are at most as many rounds as a window is
+   longer than a gram; in practice two or three.
 4. Windows found are joined with the places of their segments, and documents
    with the runs of windows they lose.
 
@@ -28,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +50,9 @@ BITMAP_WORDS = 1 << 20
 """Words of 64 bits of a bitmap: 16 MB at most as a broadcast table."""
 CHUNK_BYTES = 4 << 20
 """Bytes of segments that are matched at once."""
-_SHIFT = np.uint64(24)
+SALTS = 16
+"""Parts that the segments of one pick are dealt to when they meet its earliest holder."""
+_SHIFT = np.uint64(1)
 
 
 @dataclass(frozen=True)
@@ -55,6 +64,10 @@ class Segment:
     start: int
     count: int
     payload: bytes
+    at: int
+    """Place in the segment of the tokens that its group has in common,"""
+    size: int
+    """and their number."""
 
 
 Matcher = Callable[[list[Segment]], list[np.ndarray]]
@@ -80,7 +93,7 @@ class Passages:
         return word_codes(buffer, *word_bounds(buffer))
 
     def picks(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the gram each window picks, and the name of the gram (40 bits)."""
+        """Place of the gram each window picks, and the name of the gram (63 bits)."""
         hashes = rolling(self.codes(text), self.gram)
         place = picked(hashes, self.window - self.gram + 1)
         return place, (hashes[place] >> _SHIFT).astype(np.int64)
@@ -89,9 +102,11 @@ class Passages:
         part = text[start : start + count + self.window - 1]
         return b" ".join(part) if self.by_word else bytes(part)
 
-    def windows(self, payload: bytes, count: int) -> list[bytes]:
-        text = payload.split() if self.by_word else payload
-        return [self.payload(text, k, 1) for k in range(count)]
+    def tokens(self, payload: bytes) -> list[bytes] | bytes:
+        return payload.split() if self.by_word else payload
+
+    def joined(self, tokens) -> bytes:
+        return b" ".join(tokens) if self.by_word else tokens
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -151,7 +166,21 @@ def marked(docs: DataFrame, bits: DataFrame) -> DataFrame:
     return joined.withColumn("listed", listed).drop("word", "bits")
 
 
-PLACES = "key long, a long, b long, id long, text_a long, start int, count int, payload binary"
+def _touching(settled: list[tuple]) -> Iterator[tuple]:
+    """Runs (id, a, start, count) put together where they touch."""
+    held = None
+    for i, a, start, count in sorted(settled):
+        if held and held[:2] == (i, a) and start <= held[2] + held[3]:
+            held = (i, a, held[2], max(held[3], start + count - held[2]))
+            continue
+        if held:
+            yield held
+        held = (i, a, start, count)
+    if held:
+        yield held
+
+
+PLACES = "key long, a long, b long, id long, text_a long, start int, count int, at int, payload binary"
 
 
 def _segments(docs: DataFrame, kind: Passages) -> DataFrame:
@@ -159,7 +188,7 @@ def _segments(docs: DataFrame, kind: Passages) -> DataFrame:
 
     Segments that a batch of rows holds twice give one row; of the others, those
     that surely occur earlier become rows without a key (all windows are lost),
-    the rest rows without payload.
+    the rest rows without payload. Runs without a key that touch are one row.
     """
 
     def found(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,71 +212,150 @@ def _segments(docs: DataFrame, kind: Passages) -> DataFrame:
                     start, count = int(starts[k]), int(lengths[k])
                     payload = kind.payload(own, start, count)
                     name = (int(names[start]), payload)
-                    held.setdefault(name, []).append((i, start, a, count))
-            rows = []
+                    held.setdefault(name, []).append((i, start, a, count, int(place[start]) - start))
+            rows, settled = [], []
             for (key, payload), places in held.items():
                 digest = xxhash.xxh3_128_intdigest(payload)
                 dig = [(x & (1 << 64) - 1) - (1 << 63) for x in (digest, digest >> 64)]
                 places.sort()
-                i, start, a, count = places[0]
-                rows.append((key, *dig, i, a, start, count, payload))
-                for j, start, a, count in places[1:]:
+                i, start, a, count, at = places[0]
+                rows.append((key, *dig, i, a, start, count, at, payload))
+                for j, start, a, count, at in places[1:]:
                     if kind.within or j > i:
-                        rows.append((None, None, None, j, a, start, count, None))
+                        settled.append((j, a, start, count))
                     else:
-                        rows.append((key, *dig, j, a, start, count, None))
+                        rows.append((key, *dig, j, a, start, count, at, None))
+            rows += [(None, None, None, *run, None, None) for run in _touching(settled)]
             yield record_batch(rows, PLACES)
 
     return docs.select("id", "a", "text", "live").mapInArrow(found, PLACES)
 
 
-def _matched(segments: DataFrame, kind: Passages) -> DataFrame:
-    """(key, a, b, lost): offsets of windows that occur earlier, by the operator's method."""
+OPEN = (
+    "key long, a long, b long, id long, start int, grp long, lo int, hi int, "
+    "left int, right int, payload binary"
+)
+"""Windows lo to hi of a segment (key, a, b), still to be settled within the group
+``grp``, whose members have the tokens from left to right in common."""
+LOST = "key long, a long, b long, lost_at array<long>, lost_n array<long>"
+
+
+def _matched(opened: DataFrame, kind: Passages) -> DataFrame:
+    """Runs of windows that occur earlier, by the operator's method."""
+
+    def segment(row: tuple) -> Segment:
+        _, _, _, i, start, grp, lo, hi, left, right, payload = row
+        own = kind.tokens(payload)
+        if lo or hi + kind.window - 1 < len(own):
+            payload = kind.payload(own, lo, hi - lo)
+        return Segment(grp, i, start + lo, hi - lo, payload, left - lo, right - left)
 
     def found(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def lost(rows: list[tuple]) -> pa.RecordBatch:
-            own = [Segment(r[0], r[3], r[4], r[5], r[6]) for r in rows]
-            offsets = kind.match(own)
-            out = [(*r[:3], o) for r, o in zip(rows, offsets) if len(o)]
-            return record_batch(out, "key long, a long, b long, lost array<long>")
+            out = []
+            for r, offsets in zip(rows, kind.match([segment(r) for r in rows])):
+                if len(offsets):
+                    marked = np.zeros(r[7] - r[6], bool)
+                    marked[offsets] = True
+                    starts, ends = runs(marked)
+                    out.append((*r[:3], starts + r[6], ends - starts))
+            return record_batch(out, LOST)
 
         for table in tables:
             for row in zip(*(c.to_pylist() for c in table.columns)):
-                if size > CHUNK_BYTES and row[0] != held[-1][0]:
+                if size > CHUNK_BYTES and row[5] != held[-1][5]:
                     yield lost(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[6])
+                size += len(row[10])
         if held:
             yield lost(held)
 
-    rows = segments.select("key", "a", "b", "id", "start", "count", "payload")
-    rows = rows.repartition("key").sortWithinPartitions("key", "id", "start", "a", "b")
-    return rows.mapInArrow(found, "key long, a long, b long, lost array<long>")
+    rows = opened.repartition("grp").sortWithinPartitions("grp", "id", "start", "a", "b")
+    return rows.mapInArrow(found, LOST)
+
+
+def _agree(one, other) -> int:
+    """How many tokens both begin with."""
+    least = min(len(one), len(other))
+    return next((k for k in range(least) if one[k] != other[k]), least)
 
 
-def _taken_apart(segments: DataFrame, kind: Passages) -> DataFrame:
-    """As ``_matched``, window by window, for picks with many distinct segments."""
+def _group_name(side: str, grp: int, anchor: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(f"{side} {grp} ".encode() + anchor) - (1 << 63)
+
+
+def _against_first(opened: DataFrame, kind: Passages) -> DataFrame:
+    """One round: every segment against the earliest holder of its group. Written.
+
+    Rows of OPEN are still open, under the name of their new group; rows without
+    a group are lost from lo to hi.
+    """
 
     def found(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            rows = []
-            for key, a, b, i, start, count, payload in zip(*(c.to_pylist() for c in table.columns)):
-                for k, window in enumerate(kind.windows(payload, count)):
-                    digest = xxhash.xxh3_128_intdigest(window)
-                    dig = [(x & (1 << 64) - 1) - (1 << 63) for x in (digest, digest >> 64)]
-                    rows.append((key, a, b, k, *dig, i, start + k))
-            yield record_batch(rows, schema)
-
-    schema = "key long, a long, b long, k long, wa long, wb long, id long, at long"
-    rows = segments.select("key", "a", "b", "id", "start", "count", "payload")
-    windows = rows.mapInArrow(found, schema)
-    place = ["id", "at"] if kind.within else ["id"]
-    first = windows.groupBy("wa", "wb").agg(F.min(F.struct(*place)).alias("first"))
-    later = windows.join(first, ["wa", "wb"]).filter(F.struct(*place) > F.col("first"))
-    return later.groupBy("key", "a", "b").agg(F.sort_array(F.collect_list("k")).alias("lost"))
+            out = []
+            for row in zip(*(c.to_pylist() for c in table.columns)):
+                name, (i, start, grp, lo, hi, left, right, payload), first = row[:3], row[3:11], row[11]
+                own, other = kind.tokens(payload), kind.tokens(first["payload"])
+                anchor, at = own[left:right], first["left"]
+                if anchor != other[at : first["right"]]:  # two anchors of one name
+                    rest = _group_name("own", grp, kind.joined(anchor))
+                    out.append((*name, i, start, rest, lo, hi, left, right, payload))
+                    continue
+                if (i, start, *name[1:]) == (first["id"], first["start"], first["a"], first["b"]):
+                    continue
+                low = left - _agree(own[:left][::-1], other[:at][::-1])
+                high = right + _agree(own[right:], other[first["right"] :])
+                some, past = max(lo, low), min(hi, high - kind.window + 1)
+                later = i > first["id"] or (
+                    kind.within and i == first["id"] and start + left > first["place"]
+                )
+                if some < past and later:
+                    out.append((*name, i, start, None, some, past, None, None, None))
+                if lo < min(hi, low):
+                    rest = _group_name("left", grp, kind.joined(own[low - 1 : right]))
+                    out.append((*name, i, start, rest, lo, min(hi, low), low - 1, right, payload))
+                if max(some, past) < hi:
+                    rest = _group_name("right", grp, kind.joined(own[left : high + 1]))
+                    out.append((*name, i, start, rest, max(some, past), hi, left, high + 1, payload))
+            yield record_batch(out, OPEN)
+
+    place = (F.col("start") + F.col("left")).alias("place")
+    names = ["id", place, "start", "a", "b", "left", "right", "payload"]
+    first = opened.groupBy("grp").agg(F.min(F.struct(*names)).alias("first"))
+    parts = F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)]))
+    first = first.select("grp", "first", parts.alias("part"))
+    own = opened.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)))
+    columns = [c.split()[0] for c in OPEN.split(", ")]
+    met = own.join(first, ["grp", "part"]).select(*columns, "first")
+    return materialize(met.mapInArrow(found, OPEN), "against-first")
+
+
+def _sized(opened: DataFrame) -> DataFrame:
+    """With n, the number of members of the group; groups of one are settled."""
+    several = opened.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("n")).filter("n > 1")
+    return opened.join(several, F.col("grp") == F.col("g")).drop("g")
+
+
+def _settled(opened: DataFrame, kind: Passages) -> DataFrame:
+    """Runs of windows of the segments that occur earlier. Written."""
+    sized = _sized(opened)
+    lost = [_matched(sized.filter(F.col("n") <= kind.limit).drop("n"), kind)]
+    large = materialize(sized.filter(F.col("n") > kind.limit).drop("n"), "large-groups")
+    while not large.isEmpty():
+        done = _against_first(large, kind)
+        one = done.filter("grp IS NULL").select(
+            "key", "a", "b",
+            F.array(F.col("lo").cast("long")).alias("lost_at"),
+            F.array((F.col("hi") - F.col("lo")).cast("long")).alias("lost_n"),
+        )
+        sized = _sized(done.filter("grp IS NOT NULL"))
+        lost += [one, _matched(sized.filter(F.col("n") <= kind.limit).drop("n"), kind)]
+        large = materialize(sized.filter(F.col("n") > kind.limit).drop("n"), "large-groups")
+    return materialize(reduce(DataFrame.union, lost), "lost-windows")
 
 
 def _lost_windows(places: DataFrame, kind: Passages) -> DataFrame:
@@ -258,18 +366,17 @@ def _lost_windows(places: DataFrame, kind: Passages) -> DataFrame:
         kept.groupBy(*name).agg(
             F.min(F.struct("id", "start")).alias("first"),
             F.max("count").alias("count"),
+            F.max("at").alias("at"),
             F.max("payload").alias("payload"),
         ),
         "segments",
     )
-    sizes = distinct.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n"))
-    several = sizes.filter("n > 1")
-    own = distinct.join(several, F.col("key") == F.col("k")).select(
-        *name, "first.id", "first.start", "count", "payload", "n"
+    opened = distinct.select(
+        *name, "first.id", "first.start", F.col("key").alias("grp"), F.lit(0).alias("lo"),
+        F.col("count").alias("hi"), F.col("at").alias("left"),
+        (F.col("at") + kind.gram).alias("right"), "payload",
     )
-    matched = _matched(own.filter(F.col("n") <= kind.limit), kind)
-    apart = _taken_apart(own.filter(F.col("n") > kind.limit), kind)
-    lost = materialize(matched.unionByName(apart), "lost-windows")
+    lost = _settled(opened, kind)
     first = distinct.select(*name, F.col("first.id").alias("f_id"), F.col("first.start").alias("f_at"))
     later = F.col("id") > F.col("f_id")
     if kind.within:
@@ -277,9 +384,10 @@ def _lost_windows(places: DataFrame, kind: Passages) -> DataFrame:
     at = kept.select(*name, "id", "text_a", "start", "count").join(first, name).withColumn("later", later)
     whole = at.filter("later").select("id", "text_a", "start", "count")
     some = at.filter("NOT later").join(lost, name)
-    some = some.select("id", "text_a", "start", F.explode("lost").alias("offset"))
+    some = some.select("id", "text_a", "start", F.explode(F.arrays_zip("lost_at", "lost_n")).alias("run"))
     some = some.select(
-        "id", "text_a", (F.col("start") + F.col("offset")).cast("int").alias("start"), F.lit(1).alias("count")
+        "id", "text_a", (F.col("start") + F.col("run.lost_at")).cast("int").alias("start"),
+        F.col("run.lost_n").cast("int").alias("count"),
     )
     settled = places.filter("key IS NULL").select("id", "text_a", "start", "count")
     return settled.unionByName(whole).unionByName(some)
