@@ -7,6 +7,7 @@ import numpy as np
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 """Odd factors of the two polynomial hashes, modulo 2^64."""
 _WORD_BASES = (0x100000001B3, 0xD6E8FEB86659FD93)
+_LOWER = np.uint64(0xFFFFFFFF)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -64,25 +65,21 @@ def rolling(codes: np.ndarray, size: int, k: int = 0) -> np.ndarray:
 def picked(hashes: np.ndarray, width: int) -> np.ndarray:
     """For every ``width`` hashes in a row, the place of the first smallest.
 
-    What is picked depends on these hashes only, so equal runs of text pick
-    the same gram at the same place within them.
+    Hashes are compared by their upper 32 bits, the lower ones hold the place. What
+    is picked depends on these hashes only, so equal runs of text pick the same
+    gram at the same place within them.
     """
     count = len(hashes) - width + 1
     if count <= 0:
         return np.empty(0, np.int64)
-    value, place, length = hashes, np.arange(len(hashes)), 1
+    least = (hashes & ~_LOWER) | np.arange(len(hashes), dtype=np.uint64)
+    length = 1
     while 2 * length <= width:
-        value, place = _first_smaller(value, place, length, len(value) - length)
+        least = np.minimum(least[:-length], least[length:])
         length *= 2
     if length < width:
-        value, place = _first_smaller(value, place, width - length, count)
-    return place[:count]
-
-
-def _first_smaller(value, place, shift, count):
-    left, right = value[:count], value[shift : shift + count]
-    later = right < left
-    return np.where(later, right, left), np.where(later, place[shift : shift + count], place[:count])
+        least = np.minimum(least[:count], least[width - length :])
+    return (least & _LOWER).astype(np.int64)
 
 
 def runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
