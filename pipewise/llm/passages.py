@@ -48,8 +48,10 @@ from pipewise.sources.scratch import materialize
 
 BITMAP_WORDS = 1 << 20
 """Words of 64 bits of a bitmap: 16 MB at most as a broadcast table."""
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 """Bytes of segments that are matched at once."""
+TEXTS = 2500
+"""Texts whose segments a task holds at once, before equal ones become one row."""
 SALTS = 16
 """Parts that the segments of one pick are dealt to when they meet its earliest holder."""
 _SHIFT = np.uint64(1)
@@ -186,13 +188,14 @@ PLACES = "key long, a long, b long, id long, text_a long, start int, count int,
 def _segments(docs: DataFrame, kind: Passages) -> DataFrame:
     """Segments of the texts in ``docs`` (id, a, text, live), one row per place.
 
-    Segments that a batch of rows holds twice give one row; of the others, those
+    Segments that TEXTS rows in a row hold twice give one row; of the others, those
     that surely occur earlier become rows without a key (all windows are lost),
     the rest rows without payload. Runs without a key that touch are one row.
     """
 
     def found(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tables:
+        parts = (t.slice(k, TEXTS) for t in tables for k in range(0, t.num_rows, TEXTS))
+        for table in parts:
             held: dict[tuple[int, bytes], list[tuple]] = {}
             seen = set()
             for i, a, text, live in zip(*(table.column(k).to_pylist() for k in range(4))):
