@@ -32,6 +32,7 @@ let more texts through.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -257,7 +258,10 @@ def _matched(opened: DataFrame, kind: Passages) -> DataFrame:
         held, size = [], 0
 
         def lost(rows: list[tuple]) -> pa.RecordBatch:
-            out = []
+            sizes = Counter(r[5] for r in rows)
+            rows, out = [r for r in rows if sizes[r[5]] > 1], []
+            if not rows:
+                return record_batch(out, LOST)
             for r, offsets in zip(rows, kind.match([segment(r) for r in rows])):
                 if len(offsets):
                     marked = np.zeros(r[7] - r[6], bool)
@@ -337,17 +341,19 @@ def _against_first(opened: DataFrame, kind: Passages) -> DataFrame:
     return materialize(met.mapInArrow(found, OPEN), "against-first")
 
 
-def _sized(opened: DataFrame) -> DataFrame:
-    """With n, the number of members of the group; groups of one are settled."""
-    several = opened.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("n")).filter("n > 1")
-    return opened.join(several, F.col("grp") == F.col("g")).drop("g")
+def _by_size(opened: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups of at most ``limit`` members, and those of larger groups
+    (written). Sizes are counted without the segments' text."""
+    sizes = opened.groupBy("grp").agg(F.count("*").alias("n"))
+    names = materialize(sizes.filter(F.col("n") > limit).select("grp"), "large-names")
+    large = materialize(opened.join(names, "grp", "left_semi").select(opened.columns), "large-groups")
+    return opened.join(names, "grp", "left_anti").select(opened.columns), large
 
 
 def _settled(opened: DataFrame, kind: Passages) -> DataFrame:
     """Runs of windows of the segments that occur earlier. Written."""
-    sized = _sized(opened)
-    lost = [_matched(sized.filter(F.col("n") <= kind.limit).drop("n"), kind)]
-    large = materialize(sized.filter(F.col("n") > kind.limit).drop("n"), "large-groups")
+    small, large = _by_size(opened, kind.limit)
+    lost = [_matched(small, kind)]
     while not large.isEmpty():
         done = _against_first(large, kind)
         one = done.filter("grp IS NULL").select(
@@ -355,9 +361,8 @@ def _settled(opened: DataFrame, kind: Passages) -> DataFrame:
             F.array(F.col("lo").cast("long")).alias("lost_at"),
             F.array((F.col("hi") - F.col("lo")).cast("long")).alias("lost_n"),
         )
-        sized = _sized(done.filter("grp IS NOT NULL"))
-        lost += [one, _matched(sized.filter(F.col("n") <= kind.limit).drop("n"), kind)]
-        large = materialize(sized.filter(F.col("n") > kind.limit).drop("n"), "large-groups")
+        small, large = _by_size(done.filter("grp IS NOT NULL"), kind.limit)
+        lost += [one, _matched(small, kind)]
     return materialize(reduce(DataFrame.union, lost), "lost-windows")
 
 
