@@ -121,8 +121,8 @@ FROM ({_profile("SELECT * FROM lineitem", columns)}) r JOIN ({_profile(_CANDIDAT
 
 def _scripts(spark, sf):
     """Both kinds of scripts under numbers of their own."""
-    rich = fx(spark, sf, "fx_lineage_scripts").select("script_id", "source")
-    plain = fx(spark, sf, "fx_scripts").select(
+    rich = fx(spark, sf, "fx_lineage_scripts", dealt=True).select("script_id", "source")
+    plain = fx(spark, sf, "fx_scripts", dealt=True).select(
         (F.col("script_id") + 1000000000).alias("script_id"), "source"
     )
     return rich.unionByName(plain)

@@ -27,3 +27,15 @@ def test_bundles_hold_any_text(spark):
     write_bundles(rows, root)
     got = {r.path: r.source for r in read_scripts(spark, root, bundled=True).collect()}
     assert got == {f"/j/{k}": t for k, t in enumerate(texts)}
+
+
+def test_texts_of_one_file_are_scanned_by_all_cores(spark, sf):
+    """A scan of one row group, and then the work on all that is made of its rows."""
+    names = "validation_plan self_reference suffix_targets prompt_rows unmatched_changes parquet_var_sizes size_context"
+    for name in names.split():
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
+        physical = plan[plan.index("== Physical Plan ==") :]
+        assert "RoundRobinPartitioning" in physical or name == "size_context", name
+    plan = registry.QUERIES["self_reference"](spark, sf)._jdf.queryExecution().toString()
+    before_dealing = plan[plan.index("== Physical Plan ==") :].split("RoundRobinPartitioning")[1:]
+    assert all("regexp_extract_all" not in part.split("FileScan")[0] for part in before_dealing)
