@@ -129,10 +129,11 @@ def apply_decisions(decisions: DataFrame, state: DataFrame, scripts: DataFrame,
     back: such a proposal has to be made again.
 
     ``result``: applied, stale, rejected, rolled_back or refused (``reason``).
-    Eager: the decisions with the state they meet are written once, so that the
-    ledger and the scripts are scanned once.
+    Eager: the decisions, and with the state they meet, are written once, so that
+    the ledger and the scripts are scanned once.
     """
     moment = F.struct("decided_ts", "action", "actor")
+    decisions = materialize(decisions, "decisions-given")
     named = decisions.select("proposal_id").distinct()
     last = latest_applied(applied.join(named, "proposal_id", "left_semi")).select(
         "proposal_id", F.lit(True).alias("was_applied"), "rollback_ts", "backup_path"
@@ -149,11 +150,15 @@ def apply_decisions(decisions: DataFrame, state: DataFrame, scripts: DataFrame,
     hashes = scripts.join(wanted, "path", "left_semi").select(
         F.col("path").alias("original_path"), F.sha2("source", 256).alias("current_hash")
     )
-    kept = known.select(F.col("backup_path").alias("path")).distinct()
+    kept = known.where("backup_path IS NOT NULL").select(F.col("backup_path").alias("path")).distinct()
     backups = scripts.select("path").join(kept, "path", "left_semi").select(
         F.col("path").alias("backup_path"), F.lit(True).alias("has_backup")
     )
-    known = known.join(hashes, "original_path", "left").join(backups, "backup_path", "left")
+    # proposals without a backup have keys of their own, not all the same null
+    place = F.coalesce("backup_path", F.concat(F.lit("\0"), F.col("proposal_id")))
+    backups = backups.withColumnRenamed("backup_path", "_place")
+    known = known.join(hashes, "original_path", "left").withColumn("_place", place)
+    known = known.join(backups, "_place", "left").drop("_place")
     asked = materialize(
         decisions.join(known, "proposal_id", "left").withColumn("at", moment), "decisions-asked"
     )

@@ -7,7 +7,6 @@ import os
 import checks.queries  # noqa: F401  (fills the registry)
 from checks import registry
 from pipewise.operators import ledger
-from pipewise.sources import report_sink
 from pipewise.sources.scratch import new_path, scratch_dir
 from pipewise.sources.scripts import read_scripts, write_bundles
 
@@ -39,3 +38,48 @@ def test_texts_of_one_file_are_scanned_by_all_cores(spark, sf):
     plan = registry.QUERIES["self_reference"](spark, sf)._jdf.queryExecution().toString()
     before_dealing = plan[plan.index("== Physical Plan ==") :].split("RoundRobinPartitioning")[1:]
     assert all("regexp_extract_all" not in part.split("FileScan")[0] for part in before_dealing)
+
+
+def test_shuffles_begin_by_the_size_of_the_tables(spark, sf, monkeypatch):
+    monkeypatch.setattr(registry, "PART_ROWS", 10)
+    before = spark.conf.get(registry.INITIAL, None)
+    try:
+        registry.fx(spark, sf, "fx_runs")
+        rows = registry.table(spark, sf, "orders").count()
+        assert int(spark.conf.get(registry.INITIAL)) >= rows // 10
+    finally:
+        if before is None:
+            spark.conf.unset(registry.INITIAL)
+        else:
+            spark.conf.set(registry.INITIAL, before)
+
+
+def test_proposals_without_backup_do_not_meet_in_one_task(spark):
+    day = dt.datetime(2026, 1, 1)
+    n = 200
+    decisions = spark.createDataFrame(
+        [(f"p{k}", "rollback" if k else "approve", "u", day, "n") for k in range(n)],
+        "proposal_id string, action string, actor string, decided_ts timestamp_ntz, notes string",
+    )
+    state = spark.createDataFrame(
+        [(f"p{k}", "t", f"/s{k}", f"/v{k}", "", "applied" if k else "proposed", "") for k in range(n)],
+        "proposal_id string, task_key string, original_path string, v2_path string, stored_hash string, status string, notes string",
+    )
+    scripts = spark.createDataFrame([("/s0", "x"), ("b1", "old")], "path string, source string")
+    applied = spark.createDataFrame(
+        [("p1", day, "b1", None)],
+        "proposal_id string, applied_ts timestamp_ntz, backup_path string, rollback_ts timestamp_ntz",
+    )
+    asked = []
+    own = ledger.materialize
+    ledger.materialize = lambda df, name: (asked.append((name, df)), own(df, name))[1]
+    try:
+        out = ledger.apply_decisions(decisions, state, scripts, applied)
+    finally:
+        ledger.materialize = own
+    got = {r.proposal_id: (r.result, r.reason) for r in out.collect()}
+    assert got["p0"] == ("applied", "") and got["p1"] == ("rolled_back", "")
+    assert {got[f"p{k}"] for k in range(2, n)} == {("refused", "no applied change found")}
+    assert [name for name, _ in asked] == ["decisions-given", "decisions-known", "decisions-asked"]
+    plan = dict(asked)["decisions-asked"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter, (backup_path" not in plan
