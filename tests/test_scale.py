@@ -7,6 +7,7 @@ import os
 import checks.queries  # noqa: F401  (fills the registry)
 from checks import registry
 from pipewise.operators import ledger
+from pipewise.sources import report_sink
 from pipewise.sources.scratch import new_path, scratch_dir
 from pipewise.sources.scripts import read_scripts, write_bundles
 
@@ -54,6 +55,21 @@ def test_shuffles_begin_by_the_size_of_the_tables(spark, sf, monkeypatch):
             spark.conf.set(registry.INITIAL, before)
 
 
+def test_report_is_dealt_by_jobs(spark, monkeypatch):
+    monkeypatch.setattr(report_sink, "JOBS", 2)
+    monkeypatch.setattr(report_sink, "JOB_ROWS", 50)
+    rows = [(k % 10, "2 gains", str(k), "x") for k in range(100)]
+    rows += [(77, "3 cards", str(k), "y") for k in range(400)] + [(None, "1 header", "", "z")]
+    df = spark.createDataFrame(rows, "job_id bigint, section string, item string, text string")
+    path = new_path(spark, "report")
+    report_sink.write_report(df, path)
+    files = glob.glob(f"{path}/job_id=*/part-*")
+    tasks = {os.path.basename(f).split("-")[1] for f in files}
+    assert len(tasks) > 3 and len(glob.glob(f"{path}/job_id=77/part-*")) > 1
+    got = spark.read.schema(df.schema).json(path).select(df.columns).collect()
+    assert sorted(map(str, got)) == sorted(map(str, df.collect()))
+
+
 def test_proposals_without_backup_do_not_meet_in_one_task(spark):
     day = dt.datetime(2026, 1, 1)
     n = 200
