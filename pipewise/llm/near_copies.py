@@ -4,9 +4,11 @@ Documents with one and the same set of shingle hashes are one node, named by
 the smallest of them. A node's signature is several 64-bit SimHash words over
 its set; the bands of each word are covered by masks (``simhash``), so nodes that
 differ in at most ``radius`` bits of some band meet in a bucket. Within a bucket
-every node proposes one link, to the nearest node of smaller id, if the words
-that travel with it differ by no more than near copies do. A bucket thus emits
-at most one link per node.
+every node first proposes one link, to the nearest node of smaller id, if the words
+that travel with it differ by no more than near copies do. When these are checked,
+all other pairs of a bucket that are as near and not yet of one component are
+proposed too, so a bucket hides no partner, and a large group of near copies is
+not compared pair by pair.
 
 Links whose whole signatures differ by more than near copies do are dropped next,
 so that texts that share little are not compared. A link counts only if the Jaccard similarity of the two shingle sets is reached,
@@ -45,6 +47,8 @@ bits are independent; more alike pairs meet more surely."""
 COMPARED = 1
 """Words of the signature that travel with a bucket's rows."""
 
+HELD_BYTES = 8 << 20
+"""Shingle sets that a task which checks links holds at once."""
 SAMPLED = 16
 """One node in so many is counted to tell which buckets are large."""
 
@@ -142,33 +146,80 @@ def nearest_smaller(
     return rep[linked], rep[to[linked]], best[linked]
 
 
+def pairs_apart(
+    bucket: np.ndarray, rep: np.ndarray, root: np.ndarray, words: np.ndarray, distance: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(node, node of smaller id in its bucket, bits between them), in blocks: all
+    pairs within ``distance`` of different roots; rows sorted by bucket and rep."""
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    sizes = np.diff(np.r_[starts, len(bucket)])
+    end = np.repeat(starts + sizes, sizes)
+    rows, shift = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes)), 1
+    while len(rows := rows[rows + shift < end[rows]]):
+        apart = rows[root[rows] != root[rows + shift]]
+        bits = np.bitwise_count(words[apart] ^ words[apart + shift]).sum(axis=1)
+        near = (bits <= distance) & (rep[apart] != rep[apart + shift])
+        yield rep[apart[near] + shift], rep[apart[near]], bits[near]
+        shift += 1
+    for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+        for row in range(start + 1, start + size):
+            apart = start + np.flatnonzero(root[start:row] != root[row])
+            bits = np.bitwise_count(words[apart] ^ words[row]).sum(axis=1)
+            near = (bits <= distance) & (rep[apart] != rep[row])
+            yield np.full(near.sum(), rep[row]), rep[apart[near]], bits[near]
+
+
+BLOCK = 1 << 16
+"""Pairs that a task hands on at once."""
+
+
+def _in_blocks(links: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for link in links:
+        held.append(link)
+        size += len(link[0])
+        if size > BLOCK or len(held) > BLOCK:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
+def _batch(links: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*links)]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "bits"])
+
+
 def proposed_links(nodes: DataFrame, scheme: Scheme, limit: int = LIMIT) -> DataFrame:
-    """(a, b, bits): b is smaller than a; each pair once."""
-    compared = [f"w{k}" for k in range(COMPARED)]
-    rows = simhash.bucketed(nodes, scheme, limit, ["rep", *compared], min(SAMPLED, limit))
+    """(a, b, bits): b is smaller than a; each pair once.
 
-    def found(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 2 + len(compared)), np.int64)
+    Nodes without a ``root`` propose their nearest in every bucket; nodes with one
+    propose all nodes of other roots.
+    """
+    compared = [f"w{k}" for k in range(COMPARED)]
+    every = "root" in nodes.columns
+    carried = ["rep", *(["root"] if every else []), *compared]
+    rows = simhash.bucketed(nodes, scheme, limit, carried, min(SAMPLED, limit))
 
-        def linked(rows: np.ndarray) -> pa.RecordBatch:
-            links = nearest_smaller(
-                rows[:, 0], rows[:, 1], rows[:, 2:].view(np.uint64), scheme.distance
-            )
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x.astype(np.int64)) for x in links], names=["a", "b", "bits"]
-            )
+    def linked(rows: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        words = rows[:, -len(compared) :].view(np.uint64)
+        if every:
+            return pairs_apart(*rows[:, :3].T, words, scheme.distance)
+        return iter([nearest_smaller(*rows[:, :2].T, words, scheme.distance)])
 
+    def found(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 1 + len(carried)), np.int64)
         for table in tables:
             new = np.stack([c.to_numpy(zero_copy_only=False) for c in table.columns], axis=1)
             held = np.concatenate([held, new])
             last = np.searchsorted(held[:, 0], held[-1:, 0]) if len(held) else [0]
             if last[0]:
-                yield linked(held[: last[0]])
+                yield from _in_blocks(linked(held[: last[0]]))
                 held = held[last[0] :]
         if len(held):
-            yield linked(held)
+            yield from _in_blocks(linked(held))
 
-    ordered = rows.select("bucket", "rep", *compared).repartition("bucket")
+    ordered = rows.select("bucket", *carried).repartition("bucket")
     links = ordered.sortWithinPartitions("bucket", "rep").mapInArrow(
         found, "a long, b long, bits long"
     )
@@ -203,18 +254,26 @@ def checked(links: DataFrame, texts: DataFrame, similarity: float, shingle: int)
     """Those of the links (a, b) whose shingle sets reach the similarity. Written.
 
     Texts are unpacked in the tasks, a pair at a time; rows come sorted by b, so
-    the set of a node that many link to is made once a task.
+    the set of a node that many link to is made once a task, and sets of nodes with
+    many links are held up to HELD_BYTES.
     """
 
     def compare(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         last, target = None, None
+        held, size = {}, 0
         for table in tables:
             near = []
-            for b, own, other in zip(*(table.column(k) for k in (1, 2, 3))):
+            for a, b, own, other in zip(*(table.column(k) for k in range(4))):
                 if b != last:
                     last, target = b, shingle_set(unpack(other.as_py()), shingle)
-                near.append(jaccard(shingle_set(unpack(own.as_py()), shingle), target) >= similarity - 1e-9)
+                found = held.get(a := a.as_py())
+                if found is None:
+                    if size > HELD_BYTES:
+                        held, size = {}, 0
+                    held[a] = found = shingle_set(unpack(own.as_py()), shingle)
+                    size += found.nbytes
+                near.append(jaccard(found, target) >= similarity - 1e-9)
             yield table.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     first = links.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("packed").alias("own")), "a")
@@ -264,15 +323,40 @@ def _roots(docs: DataFrame, nodes: DataFrame, scheme: Scheme, similarity: float,
     """(node, root) of the nodes that are not the smallest of their group."""
     proposed = materialize(proposed_links(nodes, scheme, limit), "proposed-links")
     links = materialize(_by_signature(proposed, nodes, scheme, similarity), "near-links")
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = _packed_texts(docs, materialize(nodes.join(ends, "rep", "left_semi").select("rep", "h"), "linked"))
+    texts = _texts_of(links, docs, nodes)
     best = links.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("s")).select("a", "s.b")
     first = checked(best, texts, similarity, scheme.shingle)
     roots = components(first)
     rest = materialize(_apart(links.select("a", "b").join(best, ["a", "b"], "left_anti"), roots), "links-apart")
-    if rest.isEmpty():
+    if not rest.isEmpty():
+        first = first.union(checked(rest, texts, similarity, scheme.shingle))
+        roots = components(first)
+    more = _links_left(links, nodes, roots, scheme, similarity, limit)
+    if more.isEmpty():
         return roots
-    return components(first.union(checked(rest, texts, similarity, scheme.shingle)))
+    texts = _texts_of(more, docs, nodes)
+    return components(first.union(checked(more, texts, similarity, scheme.shingle)))
+
+
+def _texts_of(links: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    return _packed_texts(docs, materialize(nodes.join(ends, "rep", "left_semi").select("rep", "h"), "linked"))
+
+
+def _links_left(links: DataFrame, nodes: DataFrame, roots: DataFrame, scheme: Scheme,
+                similarity: float, limit: int) -> DataFrame:
+    """(a, b) of the pairs in a bucket that no link was proposed for, as near as near
+    copies are, between nodes not yet known to be of one component. Written.
+
+    The nearest of a bucket need not be the most alike by shingles; whatever it
+    hides is proposed here. Groups found by then are left out pair by pair, so
+    what is handed on are few pairs, however large a group of near copies.
+    """
+    named = nodes.join(roots, nodes["rep"] == roots["node"], "left")
+    named = named.select(nodes["*"], F.coalesce("root", "rep").alias("root"))
+    apart = materialize(proposed_links(named, scheme, limit), "proposed-apart")
+    near = _by_signature(apart, nodes, scheme, similarity).select("a", "b")
+    return materialize(near.join(links, ["a", "b"], "left_anti"), "links-left")
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE,
