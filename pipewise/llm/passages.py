@@ -378,6 +378,7 @@ def _lost_windows(places: DataFrame, kind: Passages) -> DataFrame:
             F.max("payload").alias("payload"),
         ),
         "segments",
+        "zstd",
     )
     opened = distinct.select(
         *name, "first.id", "first.start", F.col("key").alias("grp"), F.lit(0).alias("lo"),
@@ -438,7 +439,7 @@ def without_repeats(docs: DataFrame, kind: Passages) -> DataFrame:
     shared = materialize(shared.join(copies, ["id", "a"], "left_anti"), "shared-picks")
     texts = marked(keyed, bitmap(shared.select("id"))).filter("listed").select("id", "a", "text")
     texts = texts.join(shared, ["id", "a"])
-    found = materialize(_segments(texts, kind), "places")
+    found = materialize(_segments(texts, kind), "places", "zstd")
     lost = _lost_windows(found, kind).groupBy("id", "text_a")
     lost = lost.agg(F.collect_list(F.struct("start", "count")).alias("lost"))
     whole = copies.select(

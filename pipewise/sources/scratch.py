@@ -32,9 +32,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/pipewise/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write now, return a reader of what was written."""
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write now, return a reader of what was written; texts are smaller by the
+    ``codec`` zstd than by the session's own."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    write = df.write if codec is None else df.write.option("compression", codec)
+    write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
